@@ -95,11 +95,8 @@ def _settle(i: int, size: np.ndarray, q: np.ndarray, out: np.ndarray, draws: np.
             out[j] = q[j] = int(words > 0)
             words -= np.sign(words) * size[j]
     side = side[out[side] == int(words < 0)]
-    if len(side) == 0:  # nothing else can move
-        side = np.array([i])
-        words = words + up * size[i] if (words > 0) == up else words
-    k = side[np.argmin(size[side])]
-    q[k] = min(max((float(out[k]) if k != i else 0.0) + words / size[k], 0.0), 1.0)
+    k = side[np.argmin(size[side])] if len(side) else i
+    q[k] = min(max(float(out[k]) + words / size[k], 0.0), 1.0)
     out[k] = -1 if 1e-12 < q[k] < 1 - 1e-12 else int(q[k] > 0.5)
 
 

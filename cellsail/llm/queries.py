@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsail.llm import decontaminate, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, toxicity, url_filter
+from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, toxicity, url_filter
 from cellsail.llm.training import remainder
 
 
@@ -63,6 +63,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), ["page_id"])
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), ["doc_id"], k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_nbsvm.fit(docs, labels, remainder(F.col("doc_id"), 5) != 0)
@@ -70,7 +75,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_quality_nbsvm)}
 
 
 _OP8 = r"""
