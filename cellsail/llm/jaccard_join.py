@@ -8,8 +8,10 @@ Costs over the whole corpus decide which segments of a band are indexed once,
 twice or not at all (Deng et al., 2015, and Arasu et al., 2006).
 
 Nodes are distinct sets, so exact copies never meet as pairs. Sets with one
-signature are compared with one of them; sets that this leaves in different
-components are then compared with each other. All comparisons are exact.
+signature are compared with one of them. Sets that this leaves in different
+components, though they shared signatures, meet once more by their rarest tokens,
+so that many sets alike, but not alike enough, make no pair. All comparisons are
+exact.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ BAND_RATIO = 1.5
 COST_SHARE = 64
 #: Signatures that a task holds before it passes them on.
 TASK_SIGNATURES = 3_000_000
+#: Tokens of so many sets count as common, and so many common tokens at most are broadcast (16 bytes each).
+LEAST_COMMON, MAX_COMMON = 16, 1_000_000
+#: Rounds of comparing each set left apart with one other, before all pairs that may link.
+STAR_TURNS = 2
 #: Sets that one task compares with one other.
 STAR = 512
 
@@ -328,20 +334,21 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     links2 = materialize(_linked(more, texts, k, percent), "jaccard-links")
     parts = materialize(components(links.unionByName(links2)), "jaccard-components")
 
-    # signatures whose sets are still apart: those of any pair that did not link
+    # sets of components that some pair left apart: only they can have links not yet seen
     apart = _apart(pairs, parts)
     ends = apart.select("ca").unionByName(apart.select(F.col("cb").alias("ca"))).distinct()
     labelled = _labelled(texts.select("sid").distinct(), parts, "sid", "c")
     left = labelled.join(ends, labelled["c"] == ends["ca"], "left_semi")
-    again = texts.join(left, "sid").select("sid", "c", "text").mapInArrow(_signature_rows(k, bands, shared), "sig long, sid long, c long").distinct()
-    again = materialize(again, "jaccard-again")
-    mixed = again.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("sig")
-    open_ = again.join(mixed, "sig")
-    x, y = open_.select("sig", F.col("sid").alias("a"), F.col("c").alias("ca")), open_.select("sig", F.col("sid").alias("b"), F.col("c").alias("cb"))
-    cross = x.join(y, (x["sig"] == y["sig"]) & (x["ca"] != y["cb"]) & (x["a"] > y["b"])).select("a", "b").distinct()
-    cross = cross.join(pairs, ["a", "b"], "left_anti")
-    links3 = materialize(_linked(cross, texts, k, percent), "jaccard-links")
-    parts = materialize(components(links.unionByName(links2).unionByName(links3)), "jaccard-components")
+    left = materialize(texts.join(left, "sid").select("sid", "text"), "jaccard-apart")
+    rows = _prefixes(left, k, percent)
+    links = links.unionByName(links2)
+    for turn in range(STAR_TURNS):
+        near = _prefix_stars(_labelled(rows, parts, "sid", "c"), turn)
+        links = links.unionByName(materialize(_linked(near, texts, k, percent), "jaccard-links"))
+        parts = materialize(components(links), "jaccard-components")
+    cross = _prefix_pairs(_labelled(rows, parts, "sid", "c")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(materialize(_linked(cross, texts, k, percent), "jaccard-links"))
+    parts = materialize(components(links), "jaccard-components")
 
     comp = _labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
     roots = comp.groupBy("c").agg(F.min("id").alias("root"))
@@ -371,13 +378,88 @@ def _same_set(k: int):
     return work
 
 
-def _signature_rows(k: int, bands: Bands, schemes):
+def _prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(t, sid, n, most): tokens by which (sid, text) rows can find sets that link, with the largest partner each serves.
+
+    Linked sets of sizes n and m share o = ceil(percent * (n + m) / (100 + percent))
+    tokens, so with any one order of tokens the first n - o + 1 of one and the first
+    m - o + 1 of the other have one in common. The rarest among these sets come first.
+    """
+    common = sets.mapInArrow(_repeated(k), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    total = common.agg(F.sum("n")).collect()[0][0] or 0
+    listed = common.filter(F.col("n") >= max(LEAST_COMMON, int(total) // MAX_COMMON)).toArrow()  # at most MAX_COMMON rows
+    t, n = np.array(listed["t"], dtype=np.int64), np.array(listed["n"], dtype=np.int64)
+    order = np.argsort(t)
+    shared = sets.sparkSession.sparkContext.broadcast((t[order], n[order]))
+    return materialize(sets.mapInArrow(_prefix_rows(k, percent, shared), "t long, sid long, n long, most long"), "jaccard-prefixes")
+
+
+def _useful(rows: DataFrame) -> DataFrame:
+    """Rows whose token has sets of another component that may fit.
+
+    Among many sets alike but for a few tokens of each, the tokens of all come
+    late, and no two rows of one fit each other; such rows go here.
+    """
+    bounds = rows.groupBy("t").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("t", "low", "high")
+    return rows.join(bounds, "t").filter("most >= low AND n <= high").drop("low", "high")
+
+
+def _prefix_stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Each set with one set (a, b) of another component that may link: of the first of each token, the one met most."""
+    rows = _useful(rows)
+    first = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("most").alias("most2"))).alias("x")).select("t", "x.*")
+    met = rows.join(first, "t").filter("c <> c2 AND n2 <= most AND n <= most2")
+    return met.groupBy("sid", "b").agg(F.count("*").alias("hits")).groupBy(F.col("sid").alias("a")).agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
+
+
+def _prefix_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs a > b of different components that may link."""
+    rows = _useful(rows)
+    y = rows.select(F.col("t").alias("t2"), F.col("sid").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("most").alias("most2"))
+    fits = (F.col("t") == F.col("t2")) & (F.col("c") != F.col("c2")) & (F.col("sid") > F.col("b")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
+    return rows.join(y, fits).select(F.col("sid").alias("a"), "b").distinct()
+
+
+def _repeated(k: int):
+    """Tokens that several sets of a task have, and how many."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            c = batch.column(1).to_numpy()
-            for b in blocks(batch.column(2)):
-                _, h, size, sid = doc_sets(b, k)
-                which, _, _, key = signatures(size, h, bands, schemes.value)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid[which].view(np.int64)), pa.array(c[b.row + which])], ["sig", "sid", "c"])
+            parts = [doc_sets(b, k)[1].view(np.int64) for b in blocks(batch.column(1))]
+            own, n = np.unique(np.concatenate([found, *parts]), return_inverse=True)
+            found, counts = own, np.bincount(n, weights=np.concatenate([counts, np.ones(len(n) - len(counts), np.int64)]), minlength=len(own)).astype(np.int64)
+            if len(found) > TASK_SIGNATURES:
+                yield _counts(found, counts)
+                found, counts = found[:0], counts[:0]
+        yield _counts(found, counts)
+
+    return work
+
+
+def _counts(t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    some = n > 1
+    return pa.RecordBatch.from_arrays([pa.array(t[some]), pa.array(n[some])], ["t", "n"])
+
+
+def _prefix_rows(k: int, percent: int, shared):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            sids = batch.column(0).to_numpy()
+            for b in blocks(batch.column(1)):
+                doc, h, size, _ = doc_sets(b, k)
+                t = h.view(np.int64)
+                at = np.searchsorted(common, t)
+                at[at == len(common)] = 0
+                often = np.where(common[at] == t, counts[at], 0) if len(common) else np.zeros(len(t), np.int64)
+                order = np.lexsort((t, often, doc))
+                doc, t = doc[order], t[order]
+                n = size[doc].astype(np.int64)
+                place = np.arange(len(t)) - (np.cumsum(size) - size)[doc]
+                most = ((100 + percent) * (n - place)) // percent - n
+                use = 100 * most >= percent * n
+                d = doc[use]
+                yield pa.RecordBatch.from_arrays([pa.array(t[use]), pa.array(sids[b.row + d]), pa.array(n[use]), pa.array(most[use])], ["t", "sid", "n", "most"])
 
     return work
