@@ -153,10 +153,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    kept = docs.select(*carry, text_col)
-    plain = kept.select(*carry).schema.fields
-    inner = StructType([*plain, StructField("text", StringType()), StructField("hits", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
-    state = kept.select(*carry, F.col(text_col).alias("text"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    plain = docs.select(*carry).schema.fields
+    inner = StructType([*plain, StructField("_text", StringType()), StructField("_hits", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))])
+    state = docs.select(*carry, F.col(text_col).alias("_text"), F.array().cast("array<bigint>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for i in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
         got = part.toArrow()

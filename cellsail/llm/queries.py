@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, toxicity, url_filter
+from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
 from cellsail.llm.training import remainder
 
 
@@ -25,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, remainder(F.col("doc_id"), 4) != 2)
@@ -75,7 +79,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_quality_nbsvm)}
 
 
 _OP8 = r"""

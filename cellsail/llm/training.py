@@ -101,7 +101,7 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
 
 def score_texts(docs: DataFrame, carry: list[str], margins: Callable[[Block], np.ndarray], text_col: str = "text") -> DataFrame:
     """carry columns and a double score of each row, in Arrow batches."""
-    kept = docs.select(*carry, text_col)
+    kept = docs.select(*carry, F.col(text_col).alias("_text"))
     schema = kept.select(*carry).schema.add("score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
