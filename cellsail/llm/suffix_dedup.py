@@ -71,12 +71,16 @@ def pieces(block: Block, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return doc, lo - block.start[doc], size, h[anchor], span_hash(sums, lo, lo + size - 1 + length)
 
 
-def _later(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
-    """Which rows are not the first of their group by order."""
-    by = np.lexsort((*order[::-1], group))
-    out = np.zeros(len(group), dtype=bool)
-    out[by[1:]] = group[by][1:] == group[by][:-1]
-    return out
+def _later(group: np.ndarray, k: np.ndarray, u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows start later than the first of their group, and which are that first one again."""
+    by = np.lexsort((at, u, k, group))
+    g, place = group[by], [x[by] for x in (k, u, at)]
+    head = np.append(True, g[1:] != g[:-1]) if len(g) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(g) else np.zeros(0, np.int64)
+    same = np.logical_and.reduce([x == x[first] for x in place])
+    later, again = np.zeros(len(g), dtype=bool), np.zeros(len(g), dtype=bool)
+    later[by], again[by] = ~same, same & ~head
+    return later, again
 
 
 def _merge(k: np.ndarray, u: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -112,9 +116,9 @@ def _find_pieces(length: int):
         repeated[1:] |= same
         repeated[:-1] |= same
         some = by[repeated]
-        drop = np.zeros(len(by), dtype=bool)
-        drop[some[_later(both[some], k[some], u[some], lo[some])]] = True
-        yield from _batches(0, *(x[~drop] for x in (fp, ph, k, u, lo, n)))
+        drop, again = np.zeros(len(by), dtype=bool), np.zeros(len(by), dtype=bool)
+        drop[some], again[some] = _later(both[some], k[some], u[some], lo[some])
+        yield from _batches(0, *(x[~drop & ~again] for x in (fp, ph, k, u, lo, n)))
         mk, mu, mlo, mn = _merge(k[drop], u[drop], lo[drop], n[drop])
         spread = (mk ^ mu ^ mlo) * 0x9E3779B1  # any partition will do
         yield from _batches(1, spread, np.zeros(len(mk), np.int64), mk, mu, mlo, mn)
@@ -138,7 +142,7 @@ def _find_pieces(length: int):
 
 def _reduce_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, bytes and place: marks (kind 1), and first pieces whose anchor has others (kind 2)."""
-    last_fp = last_ph = None
+    last_fp = last_ph = last = None
     pending = None  # the only piece so far of the last anchor
     for batch in batches:
         kind, fp, ph, k, u, lo, n = (batch.column(i).to_numpy() for i in range(7))
@@ -146,6 +150,13 @@ def _reduce_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if mark.any():
             yield from _batches(1, *(x[mark] for x in (fp, ph, k, u, lo, n)))
             fp, ph, k, u, lo, n = (x[~mark] for x in (fp, ph, k, u, lo, n))
+        if len(fp) == 0:
+            continue
+        # a repeated row of the input has its pieces twice
+        place = np.stack([fp, ph, k, u, lo])
+        fresh = np.append(last is None or bool((place[:, 0] != last).any()), (place[:, 1:] != place[:, :-1]).any(axis=0))
+        last = place[:, -1]
+        fp, ph, k, u, lo, n = (x[fresh] for x in (fp, ph, k, u, lo, n))
         if len(fp) == 0:
             continue
         head = np.append(fp[0] != last_fp or ph[0] != last_ph, (fp[1:] != fp[:-1]) | (ph[1:] != ph[:-1]))
@@ -257,7 +268,7 @@ def _array_marks(rows: list, length: int) -> pa.RecordBatch:
     again[1:] = group[1:] == group[:-1]
     again[:-1] |= again[1:].copy()
     some = np.flatnonzero(again)
-    late = some[_later(group[some], k[p[some]], u[p[some]], at[some])]
+    late = some[_later(group[some], k[p[some]], u[p[some]], at[some])[0]]
     mk, mu, mlo, mn = _merge(k[p[late]], u[p[late]], at[late], np.ones(len(late), np.int64))
     return pa.RecordBatch.from_arrays([pa.array(mk), pa.array(mu), pa.array(mlo.astype(np.int32)), pa.array(mn.astype(np.int32))], ["k", "u", "lo", "n"])
 
