@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsail.llm.textkit import NOT_SPACE, Block, U, byte_grams, windows, word_hashes, words
-from cellsail.llm.training import MAX_TRAIN_ROWS, add_rows, dot_rows, feature_rows, labelled, platt, score_texts, sigmoid
+from cellsail.llm.training import MAX_TRAIN_ROWS, count_columns, dot_rows, feature_rows, labelled, platt, score_texts, sigmoid
 
 WORD_BITS, PAIR_BITS, GRAM_BITS, GRAM = 17, 17, 16, 3
 _PAIR, _GRAM = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
@@ -85,17 +85,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """
     ids = labelled(labels, label, usable, max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    y, at, cols, vals = feature_rows(sample, _features)
+    y, at, cols, _ = feature_rows(sample, _features, binary=True)
     good = y > 0.5
     if good.all() or not good.any():
         share = float(good.mean()) if len(y) else 0.5
         return NbSvmModel(np.zeros(N_FEATURES), np.zeros(N_FEATURES), 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     fold = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), dtype=bool)
-    p = 1 + add_rows(at, cols, vals, good * ~fold * 1.0, N_FEATURES)
-    q = 1 + add_rows(at, cols, vals, ~good * ~fold * 1.0, N_FEATURES)
+    p = 1 + count_columns(at, cols, good & ~fold, N_FEATURES)
+    q = 1 + count_columns(at, cols, ~good & ~fold, N_FEATURES)
     r = np.log((p / p.sum()) / (q / q.sum()))
-    x = r[cols]
-    x = x / np.repeat(np.sqrt(dot_rows(at, cols, x, r) + 1e-12), np.diff(at))
+    x = r[cols].astype(np.float32)
+    x /= np.repeat(np.sqrt(dot_rows(at, cols, x, r) + 1e-12).astype(np.float32), np.diff(at))
     share = good[~fold].mean() if good[~fold].any() and not good[~fold].all() else 0.5
     costs = np.where(fold, 0.0, cost * np.where(good, 0.5 / share, 0.5 / (1 - share)))
     w = dual_coordinate_descent(at, cols, x, np.where(good, 1.0, -1.0), costs, N_FEATURES)

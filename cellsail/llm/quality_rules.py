@@ -24,7 +24,7 @@ WORD_BITS, GRAM_BITS, GRAM = 16, 16, 3
 REPEAT = (1 << WORD_BITS) + (1 << GRAM_BITS)
 N_FEATURES = REPEAT + 1
 #: Rows of the training sample, in expectation.
-MAX_TRAIN_ROWS = 5000
+MAX_TRAIN_ROWS = 2500
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 THRESHOLD = 0.3
 
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())) * ~fold
     # a share's own scale: columns of rare features would hardly move without it
     scale = 1.0 / np.sqrt(add_rows(at, cols, vals.astype(np.float64) ** 2, np.ones(len(y)) / len(y), N_FEATURES) + 1e-8)
-    x = vals * scale[cols]
+    x = vals * scale[cols].astype(np.float32)
     w, m, v = np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.zeros(N_FEATURES)
     bias = mb = vb = 0.0
     for t in range(1, steps + 1):

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsail.llm.textkit import ALNUM, LOWER, Block, U, byte_grams, word_hashes, words
-from cellsail.llm.training import add_rows, dot_rows, feature_rows, keep_fraction, labelled, score_texts, sigmoid
+from cellsail.llm.training import add_rows, count_columns, dot_rows, feature_rows, labelled, score_texts, sigmoid
 
 WORD_BITS, GRAM_BITS, GRAM = 17, 18, 5
 N_FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
 #: Rows of either sample, in expectation.
-MAX_POSITIVE, MAX_UNLABELLED = 2500, 6000
+MAX_POSITIVE, MAX_UNLABELLED = 1200, 2500
 #: Standard errors by which a feature must be commoner among the positives.
 MIN_Z = 4.5
 #: Penalty of a weight's size, and the size from which it counts.
@@ -72,19 +72,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     n = texts.select("doc_id").count()
     known = texts.join(F.broadcast(ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))
     free = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(min(1.0, max_unlabelled / max(n, 1)) * (1 << 30))).withColumn("y", F.lit(0.0)).withColumn("order", F.xxhash64("doc_id"))
-    y, at, cols, vals = feature_rows(known.select("text", "y", "order").union(free.select("text", "y", "order")), _features)
+    y, at, cols, _ = feature_rows(known.select("text", "y", "order").union(free.select("text", "y", "order")), _features, binary=True)
     positive = y > 0.5
     n_pos, n_free = int(positive.sum()), int((~positive).sum())
     if n_pos == 0 or n_free == 0:
         return ToxicityModel(np.zeros(N_FEATURES), -5.0)
-    p = (add_rows(at, cols, vals, positive * 1.0, N_FEATURES) + 0.5) / (n_pos + 1)
-    q = (add_rows(at, cols, vals, ~positive * 1.0, N_FEATURES) + 0.5) / (n_free + 1)
+    p = (count_columns(at, cols, positive, N_FEATURES) + 0.5) / (n_pos + 1)
+    q = (count_columns(at, cols, ~positive, N_FEATURES) + 0.5) / (n_free + 1)
     chosen = (p - q) / np.sqrt(p * (1 - p) / n_pos + q * (1 - q) / n_free) > MIN_Z
     # a feature of positives only is 1 / prior times as common among them as among all texts
     chosen &= p > 0.4 / prior * q
     use = chosen[cols]
-    starts = np.concatenate([[0], np.cumsum(use)])[at]
-    cols, vals = cols[use], vals[use].astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(use, dtype=np.int64)])[at]
+    cols = cols[use]
+    vals = np.ones(len(cols))
     w, bias = np.zeros(N_FEATURES), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.0
     in_p, in_u = positive / n_pos, ~positive / n_free

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellsail.llm.textkit import Block, blocks
 
 #: Rows of a training sample, in expectation; a hash of the id picks them, alike at every run.
-MAX_TRAIN_ROWS = 8000
+MAX_TRAIN_ROWS = 3000
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -31,11 +31,12 @@ def labelled(labels: DataFrame, label: str, usable: Column, max_rows: int) -> Da
     return one.filter(keep_fraction(F.col("doc_id"), max_rows / max(total, 1)))
 
 
-def feature_rows(docs: DataFrame, features: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def feature_rows(docs: DataFrame, features: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]], text_col: str = "text", binary: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """Features of a bounded sample as compressed sparse rows: (y, row starts, columns, values).
 
     docs has text_col, y and order; rows come back by order. features gives the
-    text, column and value of each entry of a block, by ascending text.
+    text, column and value of each entry of a block, by ascending text. binary: all
+    values are 1 and only the columns reach the driver.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def feature_rows(docs: DataFrame, features: Callable[[Block], tuple[np.ndarray,
                 at = np.searchsorted(doc, np.arange(b.n + 1))
                 rest = batch.slice(b.row, b.n)
                 yield pa.RecordBatch.from_arrays(
-                    [rest.column(1), rest.column(2), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(at, at[1:])], pa.binary()), pa.array([val[i:j].astype(np.float32).tobytes() for i, j in zip(at, at[1:])], pa.binary())],
+                    [rest.column(1), rest.column(2), pa.array([col[i:j].astype(np.int32).tobytes() for i, j in zip(at, at[1:])], pa.binary()), pa.array([b"" if binary else val[i:j].astype(np.float32).tobytes() for i, j in zip(at, at[1:])], pa.binary())],
                     ["y", "order", "cols", "vals"],
                 )
 
@@ -54,7 +55,12 @@ def feature_rows(docs: DataFrame, features: Callable[[Block], tuple[np.ndarray,
     vals = [np.frombuffer(x, np.float32) for x in found["vals"]]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in cols])]).astype(np.int64)
     empty = [np.zeros(0, np.int32)]
-    return found["y"].to_numpy(), starts, np.concatenate(cols or empty), np.concatenate(vals or [np.zeros(0, np.float32)])
+    return found["y"].to_numpy(), starts, np.concatenate(cols or empty), None if binary else np.concatenate(vals or [np.zeros(0, np.float32)])
+
+
+def count_columns(starts: np.ndarray, cols: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """How many of the rows marked have each column."""
+    return np.bincount(cols[np.repeat(rows, np.diff(starts))], minlength=size)
 
 
 def dot_rows(starts: np.ndarray, cols: np.ndarray, vals: np.ndarray, w: np.ndarray) -> np.ndarray:
