@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsail.llm.textkit import Block, U, blocks, code_points, mix
-from cellsail.llm.training import keep_fraction
 
 BUCKET_BITS = 15
 #: Orders of the n-grams.

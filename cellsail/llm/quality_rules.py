@@ -26,7 +26,7 @@ N_FEATURES = REPEAT + 1
 #: Rows of the training sample, in expectation.
 MAX_TRAIN_ROWS = 2500
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 
 _symbol = np.zeros(256, dtype=bool)
 _symbol[list(b"#*$%&|<>")] = True
