@@ -326,13 +326,10 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     named = rows.select(F.col("id").alias("pick"), "text").filter(F.col("text").isNotNull())
     texts = materialize(named.join(chosen.hint("shuffle_hash"), named["pick"].eqNullSafe(chosen["pick"])).select("sid", "text").mapInArrow(_same_set(k), "sid long, text string"), "jaccard-texts")
 
-    # first each set with the one it shares most signatures with, then with the others unless they are joined by now
+    # each set with the one it shares most signatures with
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
     links = materialize(_linked(best, texts, k, percent), "jaccard-links")
-    parts = components(links)
-    more = _apart(pairs.join(best, ["a", "b"], "left_anti"), parts)
-    links2 = materialize(_linked(more, texts, k, percent), "jaccard-links")
-    parts = materialize(components(links.unionByName(links2)), "jaccard-components")
+    parts = materialize(components(links), "jaccard-components")
 
     # sets of components that some pair left apart: only they can have links not yet seen
     apart = _apart(pairs, parts)
@@ -341,12 +338,11 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     left = labelled.join(ends, labelled["c"] == ends["ca"], "left_semi")
     left = materialize(texts.join(left, "sid").select("sid", "text"), "jaccard-apart")
     rows = _prefixes(left, k, percent)
-    links = links.unionByName(links2)
     for turn in range(STAR_TURNS):
         near = _prefix_stars(_labelled(rows, parts, "sid", "c"), turn)
         links = links.unionByName(materialize(_linked(near, texts, k, percent), "jaccard-links"))
         parts = materialize(components(links), "jaccard-components")
-    cross = _prefix_pairs(_labelled(rows, parts, "sid", "c")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    cross = _prefix_pairs(_labelled(rows, parts, "sid", "c")).join(best, ["a", "b"], "left_anti")
     links = links.unionByName(materialize(_linked(cross, texts, k, percent), "jaccard-links"))
     parts = materialize(components(links), "jaccard-components")
 
