@@ -33,3 +33,25 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """components of the links behind parts and of links (u, v) found since.
+
+    Each component of parts is one node here, so that only links between two of
+    them go through the rounds. Their labels are their least nodes, so the least
+    label is the least node of all.
+    """
+    bridges = labelled(labelled(links.select("u", "v"), parts, "u", "cu"), parts, "v", "cv").filter("cu <> cv")
+    bridges = materialize(bridges.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "bridges")
+    if bridges.isEmpty():
+        return parts
+    top = materialize(components(bridges), "bridged")
+    moved = labelled(parts.withColumnRenamed("component", "was"), top, "was", "component").select("node", "component")
+    return materialize(moved.unionByName(top.join(parts.select("node"), "node", "left_anti")), "components")
+
+
+def labelled(nodes: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """nodes and the component of each; a node without links is its own."""
+    p = parts.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_part"))
+    return nodes.join(p, nodes[node] == p[f"{name}_node"], "left").withColumn(name, F.coalesce(f"{name}_part", node)).drop(f"{name}_node", f"{name}_part")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellsail.llm.components import components
+from cellsail.llm.components import components, labelled, merged
 from cellsail.llm.store import materialize
 from cellsail.llm.textkit import LOWER, NOT_SPACE, Block, U, blocks, mix, unique_in_doc, windows, word_hashes, words
 
@@ -334,33 +334,25 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     # sets of components that some pair left apart: only they can have links not yet seen
     apart = _apart(pairs, parts)
     ends = apart.select("ca").unionByName(apart.select(F.col("cb").alias("ca"))).distinct()
-    labelled = _labelled(texts.select("sid").distinct(), parts, "sid", "c")
-    left = labelled.join(ends, labelled["c"] == ends["ca"], "left_semi")
+    whole = labelled(texts.select("sid").distinct(), parts, "sid", "c")
+    left = whole.join(ends, whole["c"] == ends["ca"], "left_semi")
     left = materialize(texts.join(left, "sid").select("sid", "text"), "jaccard-apart")
     rows = _prefixes(left, k, percent)
     for turn in range(STAR_TURNS):
-        near = _prefix_stars(_labelled(rows, parts, "sid", "c"), turn)
-        links = links.unionByName(materialize(_linked(near, texts, k, percent), "jaccard-links"))
-        parts = materialize(components(links), "jaccard-components")
-    cross = _prefix_pairs(_labelled(rows, parts, "sid", "c")).join(best, ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(_linked(cross, texts, k, percent), "jaccard-links"))
-    parts = materialize(components(links), "jaccard-components")
+        near = _prefix_stars(labelled(rows, parts, "sid", "c"), turn)
+        parts = merged(parts, materialize(_linked(near, texts, k, percent), "jaccard-links"))
+    cross = _prefix_pairs(labelled(rows, parts, "sid", "c")).join(best, ["a", "b"], "left_anti")
+    parts = merged(parts, materialize(_linked(cross, texts, k, percent), "jaccard-links"))
 
-    comp = _labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
+    comp = labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
     roots = comp.groupBy("c").agg(F.min("id").alias("root"))
     by_set = comp.join(roots, "c").select(F.col("sid").alias("s"), "root")
     out = nodes.join(by_set, (nodes["sid"] == by_set["s"]) & (nodes["n"] > 0), "left")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _labelled(nodes: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
-    """nodes and the component of each; a node without links is its own."""
-    p = parts.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(f"{name}_part"))
-    return nodes.join(p, nodes[node] == p[f"{name}_node"], "left").withColumn(name, F.coalesce(f"{name}_part", node)).drop(f"{name}_node", f"{name}_part")
-
-
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    return _labelled(_labelled(pairs.select("a", "b"), parts, "a", "ca"), parts, "b", "cb").filter("ca <> cb")
+    return labelled(labelled(pairs.select("a", "b"), parts, "a", "ca"), parts, "b", "cb").filter("ca <> cb")
 
 
 def _same_set(k: int):

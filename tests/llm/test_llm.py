@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, textkit, toxicity, url_filter
+from cellsail.llm import components, decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, textkit, toxicity, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +63,23 @@ def test_jaccard_components(spark, k, percent):
     assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_found_later_join_components(spark, seed):
+    rng = random.Random(seed)
+    turns = [[(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (30, 12, 0, 20)]
+    root = {}
+    for a, b in (x for t in turns for x in t if x[0] != x[1]):
+        ra, rb = root.get(a, a), root.get(b, b)
+        root |= {a: ra, b: rb}
+        root = {x: min(ra, rb) if r in (ra, rb) else r for x, r in root.items()}
+    frames = [spark.createDataFrame(t, "u long, v long") for t in turns]
+    parts = components.components(frames[0])
+    for f in frames[1:]:
+        parts = components.merged(parts, f)
+    got = parts.collect()
+    assert len(got) == len(root) and {r["node"]: r["component"] for r in got} == root
+
+
 def test_rare_tokens_find_what_stars_miss():
     bands = jaccard_join.Bands(90)
     for n in range(1, 400):
