@@ -79,6 +79,22 @@ def remove_discrete(frame: ExpressionFrame, column: str, nonzero_only: bool = Fa
     return frame.with_expr(d.select("cell", "gene", v.alias("value")))
 
 
+def remove_mixed(frame: ExpressionFrame, discrete: str, continuous: str, nonzero_only: bool = False) -> ExpressionFrame:
+    """Values less a joint fit on the batch's indicators and a continuous column.
+
+    Both sides are centred in the batch first; the slope of what is left over all
+    batches is then that of the joint fit. Missing values take no part.
+    """
+    d = (frame.with_expr(frame.expr.filter("value <> 0")) if nonzero_only else frame.dense()).expr
+    d = d.join(frame.cells.select("cell", F.col(discrete).alias("_b"), F.col(continuous).cast("double").alias("z")), "cell")
+    batch = Window.partitionBy("gene", "_b")
+    z = F.when(F.col("value").isNotNull(), F.col("z"))
+    d = d.select("cell", "gene", (F.col("value") - F.avg("value").over(batch)).alias("y"), (F.col("z") - F.avg(z).over(batch)).alias("x"))
+    used = F.when(F.col("y").isNotNull(), F.col("x"))
+    slope = d.groupBy("gene").agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(used * used)), F.lit(0.0)).alias("slope"))
+    return frame.with_expr(d.join(slope, "gene").select("cell", "gene", (F.col("y") - F.col("slope") * F.col("x")).alias("value")))
+
+
 def fit_continuous(frame: ExpressionFrame, column: str, nonzero_only: bool = False, log_link: bool = False) -> DataFrame:
     """(gene, intercept, slope) by least squares over all cells, or over non-zero values."""
     if log_link and not nonzero_only:

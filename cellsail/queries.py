@@ -151,6 +151,8 @@ def _register() -> None:
     _add("batch_score_discrete", lambda s, d: batch.batch_score(brands(s, d), "nation", True))
     _add("batch_residual_discrete", lambda s, d: _values(batch.remove_discrete(brands(s, d), "nation"), zeros=True), f"WITH {_E1}, {dz} SELECT cell, gene, round(value - avg(value) OVER (PARTITION BY gene, nation), 6) AS value FROM dz")
     fit = "fi AS (SELECT gene, regr_slope(value, z) AS b, regr_intercept(value, z) AS a FROM dz GROUP BY 1)"
+    mixed = "ce AS (SELECT cell, gene, value - avg(value) OVER (PARTITION BY gene, nation) AS y, z - avg(z) OVER (PARTITION BY gene, nation) AS x FROM dz), sl AS (SELECT gene, sum(x * y) / sum(x * x) AS b FROM ce GROUP BY 1)"
+    _add("batch_residual_mixed", lambda s, d: _values(batch.remove_mixed(brands(s, d), "nation", "balance"), 4, zeros=True), f"WITH {_E1}, {dz}, {mixed} SELECT cell, gene, round(y - b * x, 4) AS value FROM ce JOIN sl USING (gene)")
     _add("batch_residual_continuous", lambda s, d: _values(batch.remove_continuous(brands(s, d), "balance"), zeros=True), f"WITH {_E1}, {dz}, {fit} SELECT cell, gene, round(value - a - b * z, 6) AS value FROM dz JOIN fi USING (gene)")
     shift = "nz AS (SELECT * FROM dz WHERE value <> 0), fi AS (SELECT gene, coalesce(regr_slope(value, z), 0) AS b, avg(value) - coalesce(regr_slope(value, z), 0) * avg(z) AS a FROM nz GROUP BY 1), rs AS (SELECT cell, gene, value - a - b * z AS v FROM nz JOIN fi USING (gene)), al AS (SELECT cell, gene, coalesce(v, 0) AS v FROM cells CROSS JOIN genes LEFT JOIN rs USING (cell, gene)), mn AS (SELECT gene, min(v) AS low FROM al GROUP BY 1)"
     _add("batch_nonzero_shift", lambda s, d: _values(batch.remove_continuous(brands(s, d), "balance", nonzero_only=True), 4), f"WITH {_E1}, {dz}, {shift} SELECT cell, gene, round(v - low + 0.01 * (SELECT stddev_pop(v) FROM al), 4) AS value FROM al JOIN mn USING (gene) WHERE v <> 0 AND round(v - low + 0.01 * (SELECT stddev_pop(v) FROM al), 4) <> 0")

@@ -120,3 +120,15 @@ def test_pipeline_lint_and_run(spark):
     assert pipeline.warnings_for([("log", {}), ("dropout_genes", {})]) == ["dropout_genes after log"]
     out = matrix(pipeline.run(frame(spark, [[1, 2], [3, None], [5, 6]])), (3, 2))
     assert np.isfinite(out).all()
+
+
+def test_joint_batch_removal(spark):
+    rng = np.random.default_rng(5)
+    n, label = 40, np.arange(40) % 3
+    z = rng.integers(0, 50, n)
+    x = rng.integers(0, 9, (n, 3)) + np.outer(label, [3, 0, 1]) + np.outer(z, [0.5, 1, 0])
+    f = frame(spark, x.tolist(), [(i, int(label[i])) for i in range(n)])
+    f = type(f)(f.expr, f.cells.join(spark.createDataFrame([(i, int(z[i])) for i in range(n)], "cell int, z int"), "cell"), f.genes)
+    design = np.column_stack([label == 0, label == 1, label == 2, z]).astype(float)
+    want = x - design @ np.linalg.lstsq(design, x, rcond=None)[0]
+    assert np.allclose(matrix(batch.remove_mixed(f, "label", "z"), x.shape), want)
