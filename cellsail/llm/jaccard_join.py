@@ -78,7 +78,6 @@ class Bands:
         return int(size / self.least)
 
     def segments(self, band: int) -> int:
-        self._reach(self.starts[-1])
         while len(self.starts) < band + 2:
             self._reach(self.starts[-1])
         return self.difference(self.starts[band + 1] - 1, self.starts[band + 1] - 1) + 1

@@ -85,6 +85,10 @@ def test_rare_tokens_find_what_stars_miss():
     for n in range(1, 400):
         for m in range(n, bands.largest(n) + 1):
             assert {b for b, _ in bands.roles(n)} & {b for b, _ in bands.roles(m)}
+    known = len(bands.starts)
+    for _ in range(3000):
+        assert bands.segments(4) == bands.segments(4)
+    assert len(bands.starts) == max(known, 6)
     s = jaccard_join.allocate(6, np.array([0, 0, 0, 0, 1e9, 0.0]), 10.0, 30.0)
     assert s.value.sum() == 6 and s.value[4] == 0
 
