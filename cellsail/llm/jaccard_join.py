@@ -8,10 +8,10 @@ Costs over the whole corpus decide which segments of a band are indexed once,
 twice or not at all (Deng et al., 2015, and Arasu et al., 2006).
 
 Nodes are distinct sets, so exact copies never meet as pairs. Sets with one
-signature are compared with one of them. Sets that this leaves in different
-components, though they shared signatures, meet once more by their rarest tokens,
-so that many sets alike, but not alike enough, make no pair. All comparisons are
-exact.
+signature are compared with one of them, which settles a signature of two sets.
+Sets of larger signatures that this leaves in different components meet once more
+by their rarest tokens, so that many sets alike, but not alike enough, make no
+pair. All comparisons are exact.
 """
 
 from __future__ import annotations
@@ -192,11 +192,11 @@ def _first_pass(k: int, bands: Bands, schema: list[str]):
 
 
 def _index(k: int, bands: Bands, schemes):
-    """(kind, a, b): 0 a signature and a set; 1 a set and a smaller one with a signature in common.
+    """(a, b, c): a signature and its least set in this task. c is null if the task
+    has no other, the other if it has one more, and b if it has several.
 
-    A task gives each signature once, with its least set, and the others of its
-    sets as pairs with that one. However common a signature is, its group gets
-    one row a task.
+    The others of several sets come as pairs (b, c), with the lesser one as c and a
+    hash of both as a. However common a signature is, its group gets one row a task.
     """
 
     def flush(sigs: list, sids: list) -> Iterator[pa.RecordBatch]:
@@ -208,10 +208,14 @@ def _index(k: int, bands: Bands, schemes):
         new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
         sig, sid = sig[new], sid[new]
         head = np.append(True, sig[1:] != sig[:-1])
-        lead = sid[head][np.cumsum(head) - 1]
-        yield from _slices(0, sig[head].view(np.int64), sid[head])
-        pairs = np.unique(np.stack([sid[~head], lead[~head]], 1), axis=0) if not head.all() else np.zeros((0, 2), np.int64)
-        yield from _slices(1, pairs[:, 0], pairs[:, 1])
+        n = np.diff(np.append(np.flatnonzero(head), len(sig)))
+        last = sid[np.append(head[1:], True)]
+        yield from _slices(sig[head].view(np.int64), sid[head], np.where(n == 2, last, sid[head]), n == 1)
+        several = ~head & np.repeat(n > 2, n)
+        lead = np.repeat(sid[head], n)
+        pairs = np.unique(np.stack([sid[several], lead[several]], 1), axis=0)
+        both = mix(mix(pairs[:, 0].view(U)) ^ pairs[:, 1].view(U)) if len(pairs) else np.zeros(0, U)
+        yield from _slices(both.view(np.int64), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), bool))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, sids, held = [], [], 0
@@ -234,10 +238,25 @@ def _index(k: int, bands: Bands, schemes):
     return work
 
 
-def _slices(kind: int, a: np.ndarray, b: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _slices(a: np.ndarray, b: np.ndarray, c: np.ndarray, null: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(a), rows):
-        x, y = a[i : i + rows], b[i : i + rows]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
+        at = slice(i, i + rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[at], mask=null[at])], ["a", "b", "c"])
+
+
+def _met(index: DataFrame) -> DataFrame:
+    """(a, b, hits, two, several): pairs of each set of a signature with its least set.
+
+    two: a signature has these two sets only; several: one has others, or the same
+    set from several tasks, so that this pair does not settle it.
+    """
+    w = Window.partitionBy("a")
+    known = F.when(F.col("c").isNull(), 1).when(F.col("b") < F.col("c"), 2).otherwise(3)
+    rows = index.select("b", "c", F.min(F.least("b", "c")).over(w).alias("lead"), F.sum(known).over(w).alias("n")).filter("n > 1")
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    found = F.when(F.col("b") > F.col("c"), F.array(pair("b", "c"))).when(F.col("b") < F.col("c"), F.array(pair("b", "lead"), pair("c", "lead"))).otherwise(F.array(pair("b", "lead")))
+    pairs = rows.select(F.explode(found).alias("p"), (F.col("n") == 2).alias("two")).select("p.a", "p.b", "two").filter("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.max("two").alias("two"), F.max(~F.col("two")).alias("several"))
 
 
 def _verify(k: int):
@@ -313,11 +332,8 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
         schemes[band] = allocate(n, pairs, float(np.mean([r["sets"] for r in rs])), 0.8 * bands.starts[band + 1])
     shared = spark.sparkContext.broadcast(schemes)
 
-    # two kinds of rows in one shuffle; a signature's group has a row from each task at most
-    index = rows.select("text").mapInArrow(_index(k, bands, shared), "kind int, a long, b long")
-    lead = F.min("b").over(Window.partitionBy("kind", "a"))
-    met = index.withColumn("lead", lead).select(F.when(F.col("kind") == 0, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("kind") == 0, F.col("lead")).otherwise(F.col("b")).alias("b")).filter("a <> b")
-    pairs = materialize(met.groupBy("a", "b").agg(F.count("*").alias("hits")), "jaccard-pairs")
+    index = rows.select("text").mapInArrow(_index(k, bands, shared), "a long, b long, c long")
+    pairs = materialize(_met(index), "jaccard-pairs")
 
     # texts of the sets in pairs, one document each
     active = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -330,8 +346,12 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     links = materialize(_linked(best, texts, k, percent), "jaccard-links")
     parts = materialize(components(links), "jaccard-components")
 
-    # sets of components that some pair left apart: only they can have links not yet seen
-    apart = _apart(pairs, parts)
+    # pairs that are all of a signature
+    rest = materialize(_apart(pairs.filter("two"), parts).select("a", "b").join(best, ["a", "b"], "left_anti"), "jaccard-rest")
+    parts = merged(parts, materialize(_linked(rest, texts, k, percent), "jaccard-links"))
+
+    # sets of components that larger signatures left apart: only they can have links not yet seen
+    apart = _apart(pairs.filter("several"), parts)
     ends = apart.select("ca").unionByName(apart.select(F.col("cb").alias("ca"))).distinct()
     whole = labelled(texts.select("sid").distinct(), parts, "sid", "c")
     left = whole.join(ends, whole["c"] == ends["ca"], "left_semi")
@@ -340,7 +360,7 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     for turn in range(STAR_TURNS):
         near = _prefix_stars(labelled(rows, parts, "sid", "c"), turn)
         parts = merged(parts, materialize(_linked(near, texts, k, percent), "jaccard-links"))
-    cross = _prefix_pairs(labelled(rows, parts, "sid", "c")).join(best, ["a", "b"], "left_anti")
+    cross = _prefix_pairs(labelled(rows, parts, "sid", "c")).join(best.unionByName(rest), ["a", "b"], "left_anti")
     parts = merged(parts, materialize(_linked(cross, texts, k, percent), "jaccard-links"))
 
     comp = labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
