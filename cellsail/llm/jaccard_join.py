@@ -300,23 +300,25 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """carry columns, n_shingles, set_id and component_id of each row.
+    """carry columns, n_shingles, set_id, component_id and component_set of each row.
 
     A text's set has its distinct shingles of k words [^\\x20\\x09-\\x0D]+, A-Z
     lower-cased; a text with fewer words, but some, has the sequence of all of them.
     Texts link when 100 * intersection >= percent * union. component_id is the
     least id that links reach. Empty and null texts have set size 0, link with
     nothing, and are their own component; a null id counts only if all are null.
+    component_set names the component by one of its sets, since ids may be shared
+    or null; it is null for empty texts.
     Sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     bands = Bands(percent)
     inner = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner)], F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kept = ["kind", *inner, "id", "n", "sid", "band", "segment", "key"]
-    ddl = ", ".join(["kind int", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, inner)), "id long, n long, sid long, band long, segment long, key long"])
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner)], F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("pick"), F.col(text_col).alias("text"))
+    kept = ["kind", *inner, "id", "pick", "n", "sid", "band", "segment", "key"]
+    ddl = ", ".join(["kind int", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, inner)), "id long, pick long, n long, sid long, band long, segment long, key long"])
     first = materialize(rows.mapInArrow(_first_pass(k, bands, kept), ddl), "jaccard-sets")
-    nodes = first.filter("kind = 0").select(*inner, "id", "n", "sid")
+    nodes = first.filter("kind = 0").select(*inner, "id", "pick", "n", "sid")
 
     # how many pairs of sets would meet at each segment, estimated from one key in COST_SHARE
     met = first.filter("kind = 1").select("band", "segment", "key", "sid").distinct().groupBy("band", "segment", "key").agg(F.count("*").alias("n"))
@@ -335,11 +337,11 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     index = rows.select("text").mapInArrow(_index(k, bands, shared), "a long, b long, c long")
     pairs = materialize(_met(index), "jaccard-pairs")
 
-    # texts of the sets in pairs, one document each
+    # texts of the sets in pairs, one document each, by its id or else a hash of its text
     active = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = nodes.groupBy("sid").agg(F.min("id").alias("pick")).join(active, "sid")
-    named = rows.select(F.col("id").alias("pick"), "text").filter(F.col("text").isNotNull())
-    texts = materialize(named.join(chosen.hint("shuffle_hash"), named["pick"].eqNullSafe(chosen["pick"])).select("sid", "text").mapInArrow(_same_set(k), "sid long, text string"), "jaccard-texts")
+    chosen = nodes.groupBy("sid").agg(F.min("pick").alias("pick")).join(active, "sid")
+    named = rows.select("pick", "text").filter(F.col("text").isNotNull())
+    texts = materialize(named.join(chosen.hint("shuffle_hash"), "pick").select("sid", "text").mapInArrow(_same_set(k), "sid long, text string"), "jaccard-texts")
 
     # each set with the one it shares most signatures with
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
@@ -365,9 +367,9 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
 
     comp = labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
     roots = comp.groupBy("c").agg(F.min("id").alias("root"))
-    by_set = comp.join(roots, "c").select(F.col("sid").alias("s"), "root")
+    by_set = comp.join(roots, "c").select(F.col("sid").alias("s"), "root", "c")
     out = nodes.join(by_set, (nodes["sid"] == by_set["s"]) & (nodes["n"] > 0), "left")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"), F.col("c").alias("component_set"))
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -375,12 +377,16 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _same_set(k: int):
-    """Rows whose text has the set named; a repeated id may bring other texts."""
+    """Rows whose text has the set named, once a task; a repeated id may bring other texts and copies."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sid = np.concatenate([np.zeros(0, U), *(doc_sets(b, k)[3] for b in blocks(batch.column(1)))]).view(np.int64)
-            yield batch.filter(pa.array(sid == batch.column(0).to_numpy()))
+            own = zip(batch.column(0).to_pylist(), sid.tolist())
+            yield batch.filter(pa.array([x == y and x not in seen and not seen.add(x) for x, y in own], pa.bool_()))
+            if len(seen) > TASK_SIGNATURES:
+                seen.clear()
 
     return work
 

@@ -22,12 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of Jaccard 0.8 on five-word shingles join, the one with the least id stays."""
-    found = jaccard_join.jaccard_components(docs, ["doc_id"], k=5, percent=80)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Of rows that links of Jaccard 0.8 on five-word shingles join, one with the least id stays; null ids come last.
+
+    Ids may be null or shared: components go by their sets, and rows by two hashes
+    of all their columns, alike at every run. Texts without words all stay.
+    """
+    key, values = ["_key1", "_key2"], [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.select("*", *[F.xxhash64(F.lit(k), *values).alias(k) for k in key])
+    found = jaccard_join.jaccard_components(keyed, ["doc_id", *key], k=5, percent=80).filter("n_shingles > 0")
+    found = materialize(found.select("component_set", "doc_id", *key), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)
+    first = found.groupBy("component_set").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    ours = (F.col("first._key1") == F.col("_key1")) & (F.col("first._key2") == F.col("_key2"))
+    judged = found.join(first.drop("n"), "component_set").groupBy(*key).agg(F.max(~ours).alias("gone"), F.count("*").alias("n"))
+    judged = materialize(judged.filter("gone OR n > 1").select(*key, "gone"), "near-judged")
+    kept = keyed.join(judged, key, "left_anti")
+    equal = judged.filter("NOT gone").select(*key)
+    if not equal.isEmpty():  # rows alike in all columns: one of them
+        kept = kept.unionByName(keyed.join(equal, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
