@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsail.llm.textkit import Block, U, blocks, code_points, mix
+from cellsail.llm.textkit import Block, U, blocks, code_points, in_last, mix
 
 BUCKET_BITS = 15
 #: Orders of the n-grams.
@@ -40,13 +40,20 @@ def _letters() -> np.ndarray:
 
 
 def _buckets(block: Block, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Buckets of the n-gram at each code point, one array for each order; first position of each text; its letters."""
+    """Buckets of the n-gram at each code point, one array for each order; first position of each text; its letters.
+
+    The n-grams at the end of a text are cut short after its newline.
+    """
     chars, first = code_points(block)
+    end = np.append(first[1:], len(chars)) - 1
     key = np.zeros(len(chars), dtype=U)
     out = []
     for n in range(1, max(ORDERS) + 1):
         part = chars[n - 1 :].astype(U)
-        key[: len(part)] = key[: len(part)] * U(0x200003) + part + U(1)
+        longer = key[: len(part)] * U(0x200003) + part + U(1)
+        short = in_last(end, n - 1, len(part))
+        longer[short] = key[short]
+        key[: len(part)] = longer
         if n in ORDERS:
             out.append((mix(key + U(n)) >> U(64 - bits)).astype(np.int32))
     return out, first, _letters()[chars]

@@ -43,7 +43,7 @@ def _indicators(block: Block) -> tuple[np.ndarray, np.ndarray]:
     col = np.concatenate([
         (h >> U(64 - WORD_BITS)).astype(np.int64),
         (pair[~same] >> U(64 - PAIR_BITS)).astype(np.int64) + _PAIR,
-        (byte_grams(block.buf, GRAM) >> U(64 - GRAM_BITS)).astype(np.int64) + _GRAM,
+        (byte_grams(block.buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + _GRAM,
         _SAME + np.searchsorted([2, 8, 32], n_same[runs]),
     ])
     keys = np.sort((doc << 20) | col)

@@ -48,7 +48,7 @@ def _repeats(w: Words, h: np.ndarray) -> np.ndarray:
 
 
 def _ids(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> U(64 - WORD_BITS)).astype(np.int64), (byte_grams(block.buf, GRAM) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
+    return (h >> U(64 - WORD_BITS)).astype(np.int64), (byte_grams(block.buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
 
 
 def _features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

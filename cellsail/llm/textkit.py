@@ -160,14 +160,22 @@ def unique_in_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[new], h[new]
 
 
-def byte_grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n bytes from each position, n at most 8; the last n - 1 are cut short."""
+def byte_grams(buf: np.ndarray, n: int, end: np.ndarray) -> np.ndarray:
+    """Hashes of the n bytes from each position, n at most 8; the last n - 1 of each text, whose newline is at end, are cut short."""
     key = buf.astype(U)
     for i in range(1, n):
-        key[: len(buf) - i] |= buf[i:].astype(U) << U(8 * i)
+        later = buf[i:].astype(U)
+        later[in_last(end, i, len(later))] = 0
+        key[: len(later)] |= later << U(8 * i)
     return mix(key * U(31) + U(n))
 
 
+def in_last(end: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The last n positions up to each end, those of 0 to size - 1. Of a shorter text they reach into the end of the one before."""
+    at = (end[:, None] - np.arange(n)).ravel()
+    return at[(at >= 0) & (at < size)]
+
+
 def code_points(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a block, A-Z and the capital letters of Latin-1 lower-cased, and each text's first position."""
     chars = np.frombuffer(block.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).copy()

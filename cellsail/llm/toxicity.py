@@ -38,7 +38,7 @@ def _features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = LOWER[block.buf]
     w = words(block, buf, ALNUM)
     word = (word_hashes(buf, w) >> U(64 - WORD_BITS)).astype(np.int64)
-    gram = (byte_grams(buf, GRAM) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
+    gram = (byte_grams(buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
     doc = np.concatenate([w.doc, np.repeat(np.arange(block.n), block.end - block.start + 1)])
     keys = np.sort((doc << 20) | np.concatenate([word, gram]))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
@@ -50,7 +50,7 @@ def _margins(block: Block, model: ToxicityModel) -> np.ndarray:
     buf = LOWER[block.buf]
     w = words(block, buf, ALNUM)
     word = (word_hashes(buf, w) >> U(64 - WORD_BITS)).astype(np.int64)
-    gram = (byte_grams(buf, GRAM) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
+    gram = (byte_grams(buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
     on_word, on_gram = np.flatnonzero(model.w[word]), np.flatnonzero(model.w[gram])
     keys = np.unique(np.concatenate([w.doc[on_word] << 20 | word[on_word], block.doc_of(on_gram) << 20 | gram[on_gram]]))
     return model.bias + np.bincount(keys >> 20, weights=model.w[keys & ((1 << 20) - 1)], minlength=block.n)
