@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
 
+#: Columns that a design may have: each gene's fit is a system of so many equations.
+MAX_DESIGN = 256
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Regularized incomplete beta, by its continued fraction (modified Lentz)."""
@@ -47,14 +53,22 @@ def critical_r(n: int, alpha: float = 0.05) -> float:
 
 
 def _correlations(frame: ExpressionFrame, z: DataFrame) -> DataFrame:
-    """(gene, level, r) with each column of z(cell, level, z), from sums over stored values; 0 without variance."""
-    n = F.broadcast(frame.n_cells())
-    zs = z.groupBy("level").agg(F.sum("z").alias("sz"), F.sum(F.col("z") * F.col("z")).alias("szz"))
-    gs = frame.expr.groupBy("gene").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"))
-    both = frame.expr.join(z, "cell").groupBy("gene", "level").agg(F.sum(F.col("value") * F.col("z")).alias("sxz"))
-    rows = gs.crossJoin(F.broadcast(zs)).join(both, ["gene", "level"], "left").crossJoin(n).fillna({"sxz": 0.0})
-    cov = F.col("n_cells") * F.col("sxz") - F.col("sx") * F.col("sz")
-    var = (F.col("n_cells") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n_cells") * F.col("szz") - F.col("sz") ** 2)
+    """(gene, level, r) with each column of z(cell, level, z), from sums over stored values; 0 without variance.
+
+    Both sides are taken around their means: that of z for all, that of a gene in
+    the sums. Cells whose z is missing take no part.
+    """
+    z = z.filter("z IS NOT NULL")
+    centre = z.groupBy("level").agg(F.avg("z").alias("mz"), F.count("*").alias("n"))
+    z = z.join(F.broadcast(centre.select("level", "mz")), "level").select("cell", "level", (F.col("z") - F.col("mz")).alias("z"))
+    zs = z.groupBy("level").agg(F.count("*").alias("n"), F.sum("z").alias("sz"), F.sum(F.col("z") * F.col("z")).alias("szz"))
+    own = frame.expr.filter("value <> 0").join(z, "cell")
+    mean = own.groupBy("gene", "level").agg(F.sum("value").alias("sx"), F.count("*").alias("k"), F.sum(F.col("value") * F.col("z")).alias("sxz"))
+    mean = mean.join(F.broadcast(zs), "level").withColumn("mx", F.col("sx") / F.col("n"))
+    spread = own.join(mean.select("gene", "level", "mx"), ["gene", "level"]).groupBy("gene", "level").agg(F.sum((F.col("value") - F.col("mx")) ** 2).alias("q"))
+    rows = mean.join(spread, ["gene", "level"])
+    var = (F.col("q") + (F.col("n") - F.col("k")) * F.col("mx") ** 2) * (F.col("szz") - F.col("sz") ** 2 / F.col("n"))
+    cov = F.col("sxz") - F.col("mx") * F.col("sz")
     return rows.select("gene", "level", F.when(var > 0, cov / F.sqrt(F.when(var > 0, var))).otherwise(0.0).alias("r"))
 
 
@@ -71,62 +85,147 @@ def batch_score(frame: ExpressionFrame, column: str, discrete: bool, alpha: floa
     return out.agg(F.avg((F.coalesce("r", F.lit(0.0)) > limit).cast("double")).alias("score"))
 
 
-def remove_discrete(frame: ExpressionFrame, column: str, nonzero_only: bool = False) -> ExpressionFrame:
-    """Values less their gene's mean in the batch: the residual of a fit on the batch's indicators."""
-    d = (frame.with_expr(frame.expr.filter("value <> 0")) if nonzero_only else frame.dense()).expr
-    d = d.join(frame.cells.select("cell", F.col(column).alias("_b")), "cell")
-    v = F.col("value") - F.avg("value").over(Window.partitionBy("gene", "_b"))
-    return frame.with_expr(d.select("cell", "gene", v.alias("value")))
+@dataclass(frozen=True)
+class BatchModel:
+    """A linear fit of each gene on batch variables: weights(gene, w), w by column of the design.
 
+    The design has a constant, an indicator for each level but the first of the
+    discrete variables, and the continuous ones as they are.
+    """
 
-def remove_mixed(frame: ExpressionFrame, discrete: str, continuous: str, nonzero_only: bool = False) -> ExpressionFrame:
-    """Values less a joint fit on the batch's indicators and a continuous column.
-
-    Both sides are centred in the batch first; the slope of what is left over all
-    batches is then that of the joint fit. Missing values take no part.
+    discrete: list[str]
+    continuous: list[str]
+    levels: dict[str, list] = field(default_factory=dict)
+    weights: DataFrame | None = None
+    nonzero_only: bool = False
+    log_link: bool = False
+
+    @property
+    def width(self) -> int:
+        return 1 + sum(len(v) - 1 for v in self.levels.values()) + len(self.continuous)
+
+    def design(self, cells: DataFrame) -> DataFrame:
+        """(cell, z): the columns that are not 0 of each cell's row, as (i, z). Cells with a missing continuous value are left out; an unknown level is the first."""
+        at, items = 1, [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("z"))]
+        for name, levels in self.levels.items():
+            place = F.array_position(F.array(*map(F.lit, levels)), F.col(name)) if levels else F.lit(0)
+            items.append(F.when(place > 1, F.struct((place - 2 + at).cast("int").alias("i"), F.lit(1.0).alias("z"))))
+            at += max(len(levels) - 1, 0)
+        for j, name in enumerate(self.continuous):
+            items.append(F.struct(F.lit(at + j).alias("i"), F.col(name).cast("double").alias("z")))
+        known = [F.col(c).cast("double").isNotNull() for c in self.continuous]
+        rows = cells
+        for k in known:
+            rows = rows.filter(k)
+        return rows.select("cell", F.array_compact(F.array(*items)).alias("z"))
+
+
+def _solver(common: np.ndarray | None, width: int):
+    """Least squares from the sums of each gene; common: sums of products over all cells, of which those of missing values go."""
+
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        out = []
+        for pairs, sums in zip(xx, xy):
+            a, b = np.zeros((width, width)), np.zeros(width)
+            for r in pairs if pairs is not None else ():
+                a[r["i"], r["j"]] = r["v"]
+            for r in sums if sums is not None else ():
+                b[r["i"]] = r["v"]
+            a = a if common is None else common - a
+            # columns of one scale, so that small ones are not taken for rounding
+            scale = np.sqrt(np.maximum(np.diag(a), 0))
+            scale[scale == 0] = 1.0
+            out.append((np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (b / scale) / scale).tolist())
+        return pd.Series(out)
+
+    return solve
+
+
+def fit_batch(frame: ExpressionFrame, discrete: list[str] = (), continuous: list[str] = (), nonzero_only: bool = False, log_link: bool = False) -> BatchModel:
+    """Fit of each gene by its normal equations, whose sums come from stored values only.
+
+    nonzero_only fits on values that are not 0; negative values are an error then.
+    The log link fits logarithms and needs nonzero_only. Missing values take no part.
     """
-    d = (frame.with_expr(frame.expr.filter("value <> 0")) if nonzero_only else frame.dense()).expr
-    d = d.join(frame.cells.select("cell", F.col(discrete).alias("_b"), F.col(continuous).cast("double").alias("z")), "cell")
-    batch = Window.partitionBy("gene", "_b")
-    z = F.when(F.col("value").isNotNull(), F.col("z"))
-    d = d.select("cell", "gene", (F.col("value") - F.avg("value").over(batch)).alias("y"), (F.col("z") - F.avg(z).over(batch)).alias("x"))
-    used = F.when(F.col("y").isNotNull(), F.col("x"))
-    slope = d.groupBy("gene").agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(used * used)), F.lit(0.0)).alias("slope"))
-    return frame.with_expr(d.join(slope, "gene").select("cell", "gene", (F.col("y") - F.col("slope") * F.col("x")).alias("value")))
-
-
-def fit_continuous(frame: ExpressionFrame, column: str, nonzero_only: bool = False, log_link: bool = False) -> DataFrame:
-    """(gene, intercept, slope) by least squares over all cells, or over non-zero values."""
     if log_link and not nonzero_only:
         raise ValueError("the log link needs nonzero_only")
-    d = (frame.with_expr(frame.expr.filter("value <> 0")) if nonzero_only else frame.dense()).expr
-    d = d.join(frame.cells.select("cell", F.col(column).cast("double").alias("z")), "cell")
+    if nonzero_only and not frame.expr.filter("value < 0").isEmpty():
+        raise ValueError("negative values cannot be fitted with nonzero_only")
+    levels = {}
+    for name in discrete:
+        rows = frame.cells.select(name).dropna().distinct().limit(MAX_DESIGN + 1).collect()
+        levels[name] = sorted(r[0] for r in rows)
+    model = BatchModel(list(discrete), list(continuous), levels, None, nonzero_only, log_link)
+    if model.width > MAX_DESIGN:
+        raise ValueError(f"more than {MAX_DESIGN} columns in the design")
+    z = model.design(frame.cells)
+    own = frame.expr.join(z, "cell")
+    first = lambda x: F.explode(F.col(x))
     y = F.log("value") if log_link else F.col("value")
-    fit = d.groupBy("gene").agg(F.regr_slope(y, F.col("z")).alias("slope"), F.avg(y).alias("my"), F.avg("z").alias("mz"))
-    slope = F.coalesce("slope", F.lit(0.0))
-    return fit.select("gene", (F.col("my") - slope * F.col("mz")).alias("intercept"), slope.alias("slope"))
-
-
-def remove_continuous(frame: ExpressionFrame, column: str, model: DataFrame | None = None, nonzero_only: bool = False, log_link: bool = False) -> ExpressionFrame:
-    """Values less the fit. A model fitted elsewhere can be replayed; genes that it lacks stay.
+    known = own.filter("value <> 0")
+    xy = known.select("gene", y.alias("y"), first("z").alias("e")).groupBy("gene", "e.i").agg(F.sum(F.col("y") * F.col("e.z")).alias("v"))
+    xy = xy.groupBy("gene").agg(F.collect_list(F.struct("i", "v")).alias("xy"))  # as many as the design has columns
+    products = lambda d: d.select("gene", first("z").alias("e"), "z").select("gene", "e", first("z").alias("f")).groupBy("gene", F.col("e.i").alias("i"), F.col("f.i").alias("j")).agg(F.sum(F.col("e.z") * F.col("f.z")).alias("v"))
+    xx = products(known if nonzero_only else own.filter("value IS NULL")).groupBy("gene").agg(F.collect_list(F.struct("i", "j", "v")).alias("xx"))
+    common = None
+    if not nonzero_only:
+        common = np.zeros((model.width, model.width))
+        for r in products(z.withColumn("gene", F.lit(0))).collect():  # MAX_DESIGN squared at most
+            common[r["i"], r["j"]] = r["v"]
+    rows = frame.genes.select("gene").join(xx, "gene", "left").join(xy, "gene", "left")
+    weights = rows.select("gene", _solver(common, model.width)("xx", "xy").alias("w"))
+    return BatchModel(model.discrete, model.continuous, levels, weights, nonzero_only, log_link)
+
+
+def remove_batch(frame: ExpressionFrame, model: BatchModel) -> ExpressionFrame:
+    """Values less the fit, back through the link. A model fitted elsewhere can be replayed; genes that it lacks, and cells out of its design, stay.
 
     With nonzero_only zeros stay zero, and for the identity link the others are
     shifted by the gene's least value (zeros included) and by a hundredth of the
     deviation of the whole matrix.
     """
-    model = fit_continuous(frame, column, nonzero_only, log_link) if model is None else model
-    d = (frame.with_expr(frame.expr.filter("value <> 0")) if nonzero_only else frame.dense()).expr
-    d = d.join(frame.cells.select("cell", F.col(column).cast("double").alias("z")), "cell").join(model, "gene", "left").fillna({"intercept": 0.0, "slope": 0.0})
-    fitted = F.col("intercept") + F.col("slope") * F.col("z")
-    v = F.exp(F.log("value") - fitted) if log_link else F.col("value") - fitted
+    if model.nonzero_only and not frame.expr.filter("value < 0").isEmpty():
+        raise ValueError("negative values cannot be corrected with nonzero_only")
+    d = frame.expr.filter("value <> 0 OR value IS NULL") if model.nonzero_only else frame.dense().expr
+    d = d.join(model.design(frame.cells), "cell", "left").join(model.weights, "gene", "left")
+    fitted = F.coalesce(F.aggregate("z", F.lit(0.0), lambda acc, x: acc + x["z"] * F.get("w", x["i"])), F.lit(0.0))
+    left = F.col("value") - fitted
+    # what a fit explains in full is 0, not the rounding of its arithmetic
+    v = F.exp(F.log("value") - fitted) if model.log_link else F.when(F.abs(left) < 1e-9 * F.abs("value"), 0.0).otherwise(left)
     out = d.select("cell", "gene", v.alias("value"))
-    if nonzero_only and not log_link:
-        size = F.broadcast(frame.n_cells().crossJoin(frame.genes.agg(F.count("*").alias("n_genes"))))
-        low = out.groupBy("gene").agg(F.min("value").alias("low"), F.count("*").alias("stored"))
-        s = out.agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss")).crossJoin(size)
-        cells = F.col("n_cells") * F.col("n_genes")
-        sd = s.select(F.sqrt(F.greatest(F.col("ss") / cells - (F.col("s") / cells) ** 2, F.lit(0.0))).alias("sd"), "n_cells")
-        out = out.join(low, "gene").crossJoin(F.broadcast(sd))
-        least = F.when(F.col("stored") < F.col("n_cells"), F.least(F.col("low"), F.lit(0.0))).otherwise(F.col("low"))
-        out = out.select("cell", "gene", F.when(F.col("value") != 0, F.col("value") - least + 0.01 * F.col("sd")).otherwise(0.0).alias("value"))
-    return frame.with_expr(out)
+    return frame.with_expr(_shifted(frame, out) if model.nonzero_only and not model.log_link else out)
+
+
+def _shifted(frame: ExpressionFrame, out: DataFrame) -> DataFrame:
+    size = F.broadcast(frame.n_cells().crossJoin(frame.genes.agg(F.count("*").alias("n_genes"))))
+    low = out.groupBy("gene").agg(F.min("value").alias("low"), F.count("*").alias("stored"))
+    # around the mean, in a second pass
+    mean = out.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"), F.count_if(F.col("value").isNull()).alias("missing")).crossJoin(size)
+    n = F.col("n_cells") * F.col("n_genes") - F.col("missing")
+    mean = mean.select(F.try_divide("s", n).alias("mean"), n.alias("n"), "n_cells")
+    spread = out.crossJoin(F.broadcast(mean)).filter("value IS NOT NULL").groupBy("mean", "n", "n_cells").agg(F.sum((F.col("value") - F.col("mean")) ** 2).alias("q"), F.count("*").alias("k"))
+    sd = spread.select(F.sqrt((F.col("q") + (F.col("n") - F.col("k")) * F.col("mean") ** 2) / F.col("n")).alias("sd"), "n_cells")
+    out = out.join(low, "gene").crossJoin(F.broadcast(sd))
+    least: Column = F.when(F.col("stored") < F.col("n_cells"), F.least(F.col("low"), F.lit(0.0))).otherwise(F.col("low"))
+    return out.select("cell", "gene", F.when(F.col("value") != 0, F.col("value") - least + 0.01 * F.col("sd")).when(F.col("value").isNotNull(), 0.0).alias("value"))
+
+
+def remove_discrete(frame: ExpressionFrame, column: str, **how) -> ExpressionFrame:
+    """Values less their gene's mean in the batch."""
+    return remove_batch(frame, fit_batch(frame, [column], **how))
+
+
+def remove_mixed(frame: ExpressionFrame, discrete: str, continuous: str, **how) -> ExpressionFrame:
+    """Values less a joint fit on the batch's indicators and a continuous column."""
+    return remove_batch(frame, fit_batch(frame, [discrete], [continuous], **how))
+
+
+def remove_continuous(frame: ExpressionFrame, column: str, **how) -> ExpressionFrame:
+    """Values less the fit on one column."""
+    return remove_batch(frame, fit_batch(frame, [], [column], **how))
+
+
+def batch_scores(frame: ExpressionFrame, discrete: list[str] = (), continuous: list[str] = (), alpha: float = 0.05) -> dict[str, float | None]:
+    """The score of each batch variable, from one row each; None where it has none."""
+    return {c: batch_score(frame, c, c in set(discrete), alpha).first()["score"] for c in [*discrete, *continuous]}

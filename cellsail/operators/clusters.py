@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,24 +47,30 @@ def expression_counts(frame: ExpressionFrame, cluster: str) -> DataFrame:
     return grid.join(n, "gene", "left").join(k, ["cluster", "gene"], "left").fillna({"k": 0, "expressing": 0}).select("cluster", "gene", "k", "in_cluster", "expressing", "total")
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in x])
-
-
-def _tail(k, drawn, good, total, upper: bool) -> float:
-    low, high = max(0, drawn + good - total), min(drawn, good)
-    x = np.arange(k, high + 1) if upper else np.arange(low, k + 1)
-    if len(x) == 0:
-        return 0.0
-    choose = lambda n, r: math.lgamma(n + 1) - _lgamma(r + 1) - _lgamma(n - r + 1)
-    logs = choose(good, x) + choose(total - good, drawn - x) - (math.lgamma(total + 1) - math.lgamma(drawn + 1) - math.lgamma(total - drawn + 1))
-    return float(min(1.0, np.exp(logs).sum()))
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1, dtype=np.float64)))])
 
 
 def _tails(upper: bool):
+    """P(X <= k), or P(X >= k), of rows of hypergeometric parameters."""
+
     @F.pandas_udf("double")
     def tail(k: pd.Series, drawn: pd.Series, good: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([_tail(*map(int, r), upper) for r in zip(k, drawn, good, total)])
+        k, drawn, good, total = (x.to_numpy(np.int64) for x in (k, drawn, good, total))
+        least, most = np.maximum(0, drawn + good - total), np.minimum(drawn, good)
+        low, high = (np.maximum(k, least), most) if upper else (least, np.minimum(k, most))
+        out, fact = np.zeros(len(k)), _log_factorials(int(total.max()) if len(total) else 0)
+        n = np.maximum(high - low + 1, 0)
+        # rows in turns of a bounded number of terms
+        turn = np.cumsum(n) // 2_000_000
+        for t in np.unique(turn):
+            rows = np.flatnonzero((turn == t) & (n > 0))
+            row = np.repeat(rows, n[rows])
+            x = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+            d, g, m = drawn[row], good[row], total[row]
+            logs = fact[g] - fact[x] - fact[g - x] + fact[m - g] - fact[d - x] - fact[m - g - d + x] - fact[m] + fact[d] + fact[m - d]
+            out += np.bincount(row, weights=np.exp(logs), minlength=len(out))
+        return pd.Series(np.minimum(out, 1.0))
 
     return tail
 
@@ -104,3 +108,46 @@ def top_per_cluster(scores: DataFrame, n: int, by: str = "either") -> DataFrame:
             out.append((r["cluster"], r["gene"], r[by]))
     types = dict(scores.dtypes)
     return scores.sparkSession.createDataFrame(out, f"cluster {types['cluster']}, gene {types['gene']}, p double")
+
+
+def impute_means(summary: DataFrame) -> DataFrame:
+    """Missing values of (cluster, gene, value) as the mean of the gene's others, 0 if it has none."""
+    mean = F.avg("value").over(Window.partitionBy("gene"))
+    return summary.withColumn("value", F.coalesce("value", mean, F.lit(0.0)))
+
+
+def with_margins(rows: DataFrame, row: str, column: str, value: str = "value") -> DataFrame:
+    """(row, column, value) with a sum for each row, for each column and for all; the margin's name is null."""
+    return rows.cube(row, column).agg(F.sum(value).alias(value), F.grouping_id().alias("margin"))
+
+
+def select_classes(frame: ExpressionFrame, column: str, classes: list) -> ExpressionFrame:
+    """Cells of any of the classes."""
+    return frame.keep_cells(frame.cells.filter(F.col(column).isin(list(classes))))
+
+
+def flag_selection(cells: DataFrame, chosen: DataFrame, name: str = "selected") -> DataFrame:
+    """cells with a column that says which are among the chosen."""
+    own = chosen.select("cell").distinct().withColumn("flag", F.lit(True))
+    return cells.join(own, "cell", "left").withColumn(name, F.coalesce("flag", F.lit(False))).drop("flag")
+
+
+def scores_of(scores: DataFrame, genes: DataFrame) -> DataFrame:
+    """Enrichment of genes given by id, as text."""
+    ids = genes.select(F.col("gene").cast("string").alias("id")).distinct()
+    return scores.join(ids, scores["gene"].cast("string") == ids["id"], "left_semi")
+
+
+def shared_genes(*lists: DataFrame) -> DataFrame:
+    """(gene) as text: those that are in all lists."""
+    found = None
+    for rows in lists:
+        own = rows.select(F.col("gene").cast("string").alias("gene"))
+        found = own if found is None else found.intersect(own)
+    return found.distinct()
+
+
+def result_table(frame: ExpressionFrame, cluster: str, genes: list, how: str = "mean") -> DataFrame:
+    """One row a cluster, one column for each of the genes, in their order."""
+    sub = frame.keep_genes(frame.genes.filter(F.col("gene").isin(list(genes))))
+    return contingency(summarize(sub, cluster, how, max(len(genes), 1)), list(genes))

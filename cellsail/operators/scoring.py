@@ -66,3 +66,49 @@ def score_cells(frame: ExpressionFrame, markers: DataFrame, method: str = "mean"
     found = d.groupBy("cell").agg(how[method].alias("score"))
     out = frame.cells.select("cell").join(found, "cell", "left").crossJoin(k)
     return out.select("cell", F.when(F.col("k") == 0, 1.0).otherwise(F.col("score")).alias("score"))
+
+
+def regression_scores(frame: ExpressionFrame, target: str) -> DataFrame:
+    """(gene, f, r2): F statistic of a linear fit of the cells' target on each gene, and the share of variance it explains.
+
+    From sums over stored values around the means. A gene or target without
+    variance has r2 0; a perfect fit has a null f. Cells without a target take no part.
+    """
+    from cellsail.operators.batch import _correlations
+
+    z = frame.cells.select("cell", F.lit(0).alias("level"), F.col(target).cast("double").alias("z"))
+    n = F.broadcast(z.filter("z IS NOT NULL").agg(F.count("*").alias("n")))
+    r = frame.genes.select("gene").join(_correlations(frame, z), "gene", "left").crossJoin(n)
+    r2 = F.coalesce(F.col("r") * F.col("r"), F.lit(0.0))
+    return r.select("gene", F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("f"), r2.alias("r2"))
+
+
+def score_table(genes: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
+    """One row a gene with the scores of all scorers; a gene that one does not know has null there.
+
+    Each has (gene, score...). One column takes the scorer's name, several name_1 and on.
+    """
+    out = genes
+    for name, found in scores.items():
+        own = [c for c in found.columns if c != "gene"]
+        new = [name] if len(own) == 1 else [f"{name}_{i + 1}" for i in range(len(own))]
+        out = out.join(found.select("gene", *[F.col(c).alias(n) for c, n in zip(own, new)]), "gene", "left")
+    return out
+
+
+class OrganismMismatch(ValueError):
+    """Markers and data are of different organisms."""
+
+
+def check_organism(data_taxid, marker_taxid) -> None:
+    """An id that is not known is no mismatch."""
+    if data_taxid not in (None, "") and marker_taxid not in (None, "") and str(data_taxid) != str(marker_taxid):
+        raise OrganismMismatch(f"organism {data_taxid} of the data, {marker_taxid} of the markers")
+
+
+def match_markers(genes: DataFrame, markers: DataFrame, gene_id: str = "gene", marker_id: str = "gene") -> DataFrame:
+    """(gene) of the genes whose id is, as text, among the markers'; unknown ids (null, empty or ?) match nothing."""
+    known = lambda c: F.col(c).isNotNull() & ~F.trim(F.col(c).cast("string")).isin("", "?")
+    ids = markers.filter(known(marker_id)).select(F.col(marker_id).cast("string").alias("marker")).distinct()
+    own = genes.filter(known(gene_id))
+    return own.join(ids, own[gene_id].cast("string") == ids["marker"], "left_semi").select("gene")

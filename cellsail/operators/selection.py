@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 
 from pyspark.sql import DataFrame, Window
@@ -59,9 +60,12 @@ def dropout_by_curve(stats: DataFrame, decay: float = 1.0, x_offset: float = 5.0
 def dropout_top(stats: DataFrame, n_genes: int, decay: float = 1.0, y_offset: float = 0.02) -> DataFrame:
     """Genes that the curve selects when it is moved so that n_genes are above it.
 
+    Without decay the curve is a level of 1 + y_offset wherever it is, which no share exceeds.
     A gene is above the curve at offset b if its key is more than b, so no search is
     needed: the n_genes of largest key among those above 0, and all from 10 on.
     """
+    if decay == 0:
+        return stats.withColumn("key", F.lit(0.0)).filter(F.col("zero_rate") > 1 + y_offset)
     over = F.col("zero_rate") - y_offset
     key = F.col("mean_expr") + F.log(F.when(over > 0, over)) / decay
     keyed = stats.withColumn("key", key).filter("key > 0")
@@ -69,8 +73,14 @@ def dropout_top(stats: DataFrame, n_genes: int, decay: float = 1.0, y_offset: fl
     return keyed.withColumn("place", place).filter((F.col("place") <= n_genes) | (F.col("key") >= 10)).drop("place")
 
 
-def dropout_genes(frame: ExpressionFrame, n_genes: int) -> DataFrame:
-    out = dropout_top(dropout_statistics(frame), n_genes)
-    if out.count() < n_genes:
+def curve_points(decay: float = 1.0, x_offset: float = 5.0, y_offset: float = 0.02, x_max: float = 20.0, n: int = 200) -> list[tuple[float, float]]:
+    """(mean, zero rate) along the curve, from 0 to x_max, where it is at most 1."""
+    xs = (x_max * i / (n - 1) for i in range(n))
+    return [(x, y) for x in xs if (y := math.exp(-decay * (x - x_offset)) + y_offset) <= 1]
+
+
+def dropout_genes(frame: ExpressionFrame, n_genes: int, decay: float = 1.0, y_offset: float = 0.02, threshold: float = 0, at_least: int = 0) -> DataFrame:
+    out = dropout_top(dropout_statistics(frame, threshold, at_least), n_genes, decay, y_offset)
+    if out.limit(n_genes).count() < n_genes:
         warnings.warn(f"fewer than {n_genes} genes lie above a curve", stacklevel=2)
     return out

@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
 
 
+#: Cells of a square of the grid, in units of k, if they were spread evenly.
+PER_SQUARE = 2
+
+
+def _block(rows: DataFrame, reach: Column, width: int, height: int) -> DataFrame:
+    """rows at (sx, sy), once for each square (tx, ty) within reach of theirs."""
+    rows = rows.withColumn("tx", F.explode(F.sequence(F.greatest(F.col("sx") - reach, F.lit(0)), F.least(F.col("sx") + reach, F.lit(width)))))
+    return rows.withColumn("ty", F.explode(F.sequence(F.greatest(F.col("sy") - reach, F.lit(0)), F.least(F.col("sy") + reach, F.lit(height)))))
+
+
 def knn_edges(cells: DataFrame, x: str, y: str, k: int = 30) -> DataFrame:
     """(src, dst, w): each cell's k nearest others in the plane, weight 1; missing coordinates are 0, ties by id.
 
-    Exact over all pairs, as the graph is defined; meant for the cells of a sample.
+    Exact. Cells lie in squares of a grid. A square's reach is the least at which the
+    squares around it have more than k cells; all k nearest of its cells are then
+    within a diagonal of that, so each cell meets those squares' cells only.
     """
     if not 1 <= k <= 100:
         raise ValueError("k must be from 1 to 100")
     p = cells.select("cell", F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias("x"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
-    q = p.select(F.col("cell").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = p.join(q, F.col("cell") != F.col("dst")).withColumn("d", (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("d", "dst"))
-    return d.withColumn("place", place).filter(F.col("place") <= k).select(F.col("cell").alias("src"), "dst", F.lit(1.0).alias("w"))
+    box = p.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}{c}") for c in ("x", "y") for f in (F.min, F.max)]).first()
+    span = max((box["maxx"] or 0.0) - (box["minx"] or 0.0), (box["maxy"] or 0.0) - (box["miny"] or 0.0))
+    side = span / max(1, math.isqrt(box["n"] // (PER_SQUARE * k))) or 1.0
+    place = lambda c: F.floor((F.col(c) - F.lit(box[f"min{c}"] or 0.0)) / side).cast("int")
+    p = p.withColumn("sx", place("x")).withColumn("sy", place("y"))
+    width, height = (int(((box[f"max{c}"] or 0.0) - (box[f"min{c}"] or 0.0)) / side) + 1 for c in ("x", "y"))
+    squares = p.groupBy("sx", "sy").agg(F.count("*").alias("n"))
+    target = squares.select(F.col("sx").alias("tx"), F.col("sy").alias("ty"), F.col("n").alias("n2"))
+    known, left, reach = None, squares.select("sx", "sy"), 0
+    while True:
+        counted = _block(left, F.lit(reach), width, height).join(target, ["tx", "ty"]).groupBy("sx", "sy").agg((F.sum("n2") > k).alias("enough")).withColumn("reach", F.lit(reach))
+        last = reach >= max(width, height)
+        done = counted if last else counted.filter("enough")
+        known = done if known is None else known.unionByName(done)
+        left = counted.filter("NOT enough").select("sx", "sy")
+        if last or left.isEmpty():
+            break
+        reach = max(1, 2 * reach)
+    # the block has k others at most this far away, its own diagonal
+    reaches = known.select("sx", "sy", F.ceil((F.col("reach") + 1) * math.sqrt(2)).cast("int").alias("reach"))
+    near = _block(p.join(reaches, ["sx", "sy"]), F.col("reach"), width, height)
+    q = p.select(F.col("cell").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("sx").alias("tx"), F.col("sy").alias("ty"))
+    d = near.join(q, ["tx", "ty"]).filter("cell <> dst").withColumn("d", (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2)
+    order = F.row_number().over(Window.partitionBy("cell").orderBy("d", "dst"))
+    return d.withColumn("place", order).filter(F.col("place") <= k).select(F.col("cell").alias("src"), "dst", F.lit(1.0).alias("w"))
 
 
 def autocorrelation(frame: ExpressionFrame, edges: DataFrame, method: str = "moran") -> DataFrame:

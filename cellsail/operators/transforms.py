@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
+from cellsail.operators.scoring import gene_moments
 
 
 def log_scale(frame: ExpressionFrame, base: float | None = 2) -> ExpressionFrame:
@@ -62,11 +63,8 @@ def normalize_groups(frame: ExpressionFrame, group: str, method: str = "cpm", co
 
 def standardize(frame: ExpressionFrame, lower: float | None = None, upper: float | None = None) -> ExpressionFrame:
     """z-scores of each gene over all cells, then clipped. A constant gene, or one with a missing value, is 0."""
-    w = Window.partitionBy("gene")
-    d = frame.dense()
-    whole = F.count("value").over(w) == F.count("*").over(w)
-    sd = F.stddev_pop("value").over(w)
-    z = F.when(whole & (sd > 0), (F.col("value") - F.avg("value").over(w)) / sd).otherwise(0.0)
+    m = gene_moments(frame).select("gene", "mean", F.sqrt("variance").alias("sd"))
+    z = F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     z = F.greatest(z, F.lit(float(lower))) if lower is not None else z
     z = F.least(z, F.lit(float(upper))) if upper is not None else z
-    return d.with_values(z)
+    return frame.with_expr(frame.dense().expr.join(m, "gene").select("cell", "gene", z.alias("value")))

@@ -6,15 +6,18 @@ supplier and part the sparse one; embeddings by position are the dense, signed o
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame, from_arrays, from_long
-from cellsail.functions.robust import biweight_location, biweight_midcorrelation, spearman
-from cellsail.operators import batch, clusters, filters, scoring, selection, spatial, stack, transforms
+from cellsail.functions.robust import biweight_location, biweight_midcorrelation, biweight_midcovariance, biweight_midvariance, biweight_scale, median_absolute_deviation, spearman
+from cellsail.operators import alignment, batch, clusters, filters, scoring, selection, spatial, stack, transforms
 from cellsail.plans import pipeline
+from cellsail.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 MARKERS = ["Brand#11", "Brand#12", "Brand#23", "Brand#34", "Brand#55"]
@@ -137,7 +140,7 @@ def _register() -> None:
         _add(f"dot_{name}", lambda s, d, name=name: _rounded(clusters.summarize(vectors(s, d), "label", name), "value"), f"WITH {_E4} SELECT label AS cluster, gene, round({expr}, 6) AS value FROM e GROUP BY ALL")
     fr = f"d AS (SELECT nation AS cluster, gene, ln(1 + avg(value)) AS v FROM dense JOIN cells USING (cell) GROUP BY ALL), zd AS (SELECT cluster, gene, greatest(-3, least(3, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-10))) AS v FROM d WINDOW w AS (PARTITION BY gene))"
     _add("dot_normalized", lambda s, d: _rounded(clusters.normalize_summary(clusters.summarize(brands(s, d), "nation")), "value"), f"WITH {_E1}, {fr} SELECT cluster, gene, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER () + 1e-12), 6) AS value FROM zd")
-    _add("contingency_wide", lambda s, d: clusters.contingency(_rounded(clusters.summarize(vectors(s, d), "label"), "value"), [0, 1, 2, 3]).select("cluster", *[F.col(str(i)).alias(f"g{i}") for i in range(4)]), f"WITH {_E4} SELECT label AS cluster, " + ", ".join(f"round(avg(value) FILTER (gene = {i}), 6) AS g{i}" for i in range(4)) + " FROM e GROUP BY 1")
+    _add("contingency_wide", lambda s, d: clusters.contingency(_rounded(clusters.summarize(vectors(s, d), "label"), "value"), list(range(64))).select("cluster", *[F.col(str(i)).alias(f"g{i}") for i in range(64)]), f"WITH {_E4} SELECT label AS cluster, " + ", ".join(f"round(avg(value) FILTER (gene = {i}), 6) AS g{i}" for i in range(64)) + " FROM e GROUP BY 1")
     counts = "c AS (SELECT label AS cluster, gene, count(*) FILTER (value > 0) AS k, count(*) AS in_cluster FROM e GROUP BY ALL), t AS (SELECT c.*, sum(k) OVER (PARTITION BY gene)::BIGINT AS expressing, sum(in_cluster) OVER (PARTITION BY gene)::BIGINT AS total FROM c)"
     pmf = "exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + lgamma(t - n + 1) - lgamma(m - x + 1) - lgamma(t - n - m + x + 1) - lgamma(t + 1) + lgamma(m + 1) + lgamma(t - m + 1))"
     tails = f"xs AS (SELECT cluster, gene, k, in_cluster AS m, expressing AS n, total AS t, unnest(range(greatest(0, in_cluster + expressing - total), least(in_cluster, expressing) + 1)) AS x FROM t), ps AS (SELECT *, {pmf} AS p FROM xs), en AS (SELECT cluster, gene, any_value(k) / any_value(m)::DOUBLE AS fraction, least(1, sum(p) FILTER (x <= k)) AS low, least(1, sum(p) FILTER (x >= k)) AS high FROM ps GROUP BY 1, 2)"
@@ -147,8 +150,12 @@ def _register() -> None:
     _add("enrich_top_per_cluster", lambda s, d: _rounded(clusters.top_per_cluster(clusters.enrichment(vectors(s, d), "label"), 3), "p"))
     dz = "dz AS (SELECT gene, cell, value, balance AS z, nation FROM dense JOIN cells USING (cell))"
     _add("batch_correlation", lambda s, d: _rounded(batch._correlations((f := brands(s, d)), f.cells.select("cell", F.lit(0).alias("level"), F.col("balance").alias("z"))).select("gene", "r"), "r"), f"WITH {_E1}, {dz} SELECT gene, round(corr(value, z), 6) AS r FROM dz GROUP BY 1")
-    _add("batch_score_continuous", lambda s, d: batch.batch_score(brands(s, d), "balance", False))
-    _add("batch_score_discrete", lambda s, d: batch.batch_score(brands(s, d), "nation", True))
+    # the correlation of p = 0.05 depends on the number of cells: 10, 100 and 1000 in the driver's tables
+    limit = "(SELECT CASE count(*) " + " ".join(f"WHEN {n} THEN {batch.critical_r(n)!r}::DOUBLE" for n in (10, 100, 1000)) + " END FROM cells)"
+    _add("batch_score_continuous", lambda s, d: _rounded(batch.batch_score(brands(s, d), "balance", False), "score"), f"WITH {_E1}, {dz}, r AS (SELECT gene, abs(corr(value, z)) AS r FROM dz GROUP BY 1) SELECT round(avg(CASE WHEN r > {limit} THEN 1.0 ELSE 0 END), 6) AS score FROM r")
+    _add("batch_score_discrete", lambda s, d: _rounded(batch.batch_score(brands(s, d), "nation", True), "score"), f"WITH {_E1}, {dz}, l AS (SELECT DISTINCT nation AS level FROM cells), r AS (SELECT gene, max(r) AS r FROM (SELECT gene, level, abs(corr(value, CASE WHEN nation = level THEN 1.0 ELSE 0 END)) AS r FROM dz CROSS JOIN l GROUP BY ALL) GROUP BY 1) SELECT round(avg(CASE WHEN r > {limit} THEN 1.0 ELSE 0 END), 6) AS score FROM r")
+    _add("regression_scores", lambda s, d: _rounded(scoring.regression_scores(brands(s, d), "balance"), "f", "r2"), f"WITH {_E1}, {dz}, r AS (SELECT gene, corr(value, z) ** 2 AS r2, count(*) AS n FROM dz GROUP BY 1) SELECT gene, round(r2 * (n - 2) / (1 - r2), 6) AS f, round(r2, 6) AS r2 FROM r")
+    _add("score_table", lambda s, d: _rounded(scoring.score_table((f := brands(s, d)).genes, {"moments": scoring.score_genes(f).select("gene", "mean", "variance"), "r2": scoring.regression_scores(f, "balance").select("gene", "r2")}), "moments_1", "moments_2", "r2", digits=4), f"WITH {_E1}, {dz} SELECT gene, round(avg(value), 4) AS moments_1, round(var_pop(value), 4) AS moments_2, round(corr(value, z) ** 2, 4) AS r2 FROM dz GROUP BY 1")
     _add("batch_residual_discrete", lambda s, d: _values(batch.remove_discrete(brands(s, d), "nation"), zeros=True), f"WITH {_E1}, {dz} SELECT cell, gene, round(value - avg(value) OVER (PARTITION BY gene, nation), 6) AS value FROM dz")
     fit = "fi AS (SELECT gene, regr_slope(value, z) AS b, regr_intercept(value, z) AS a FROM dz GROUP BY 1)"
     mixed = "ce AS (SELECT cell, gene, value - avg(value) OVER (PARTITION BY gene, nation) AS y, z - avg(z) OVER (PARTITION BY gene, nation) AS x FROM dz), sl AS (SELECT gene, sum(x * y) / sum(x * x) AS b FROM ce GROUP BY 1)"
@@ -156,6 +163,19 @@ def _register() -> None:
     _add("batch_residual_continuous", lambda s, d: _values(batch.remove_continuous(brands(s, d), "balance"), zeros=True), f"WITH {_E1}, {dz}, {fit} SELECT cell, gene, round(value - a - b * z, 6) AS value FROM dz JOIN fi USING (gene)")
     shift = "nz AS (SELECT * FROM dz WHERE value <> 0), fi AS (SELECT gene, coalesce(regr_slope(value, z), 0) AS b, avg(value) - coalesce(regr_slope(value, z), 0) * avg(z) AS a FROM nz GROUP BY 1), rs AS (SELECT cell, gene, value - a - b * z AS v FROM nz JOIN fi USING (gene)), al AS (SELECT cell, gene, coalesce(v, 0) AS v FROM cells CROSS JOIN genes LEFT JOIN rs USING (cell, gene)), mn AS (SELECT gene, min(v) AS low FROM al GROUP BY 1)"
     _add("batch_nonzero_shift", lambda s, d: _values(batch.remove_continuous(brands(s, d), "balance", nonzero_only=True), 4), f"WITH {_E1}, {dz}, {shift} SELECT cell, gene, round(v - low + 0.01 * (SELECT stddev_pop(v) FROM al), 4) AS value FROM al JOIN mn USING (gene) WHERE v <> 0 AND round(v - low + 0.01 * (SELECT stddev_pop(v) FROM al), 4) <> 0")
+    groups = "nz AS (SELECT * FROM dz WHERE value <> 0), rs AS (SELECT cell, gene, value - avg(value) OVER (PARTITION BY gene, nation) AS v FROM nz), al AS (SELECT cell, gene, coalesce(v, 0) AS v FROM cells CROSS JOIN genes LEFT JOIN rs USING (cell, gene)), mn AS (SELECT gene, min(v) AS low FROM al GROUP BY 1)"
+    moved = "round(v - low + 0.01 * (SELECT stddev_pop(v) FROM al), 4)"
+    _add("batch_nonzero_discrete", lambda s, d: _values(batch.remove_discrete(brands(s, d), "nation", nonzero_only=True), 4), f"WITH {_E1}, {dz}, {groups} SELECT cell, gene, {moved} AS value FROM al JOIN mn USING (gene) WHERE abs(v) > 1e-9 AND {moved} <> 0")
+    _add("batch_log_link", lambda s, d: _values(batch.remove_discrete(brands(s, d), "nation", nonzero_only=True, log_link=True)), f"WITH {_E1}, {dz} SELECT cell, gene, round(exp(ln(value) - avg(ln(value)) OVER (PARTITION BY gene, nation)), 6) AS value FROM dz WHERE value <> 0")
+    _add("class_filter", lambda s, d: _values(clusters.select_classes(brands(s, d), "nation", [0, 1, 2, 3])), f"WITH {_E1} SELECT cell, gene, round(value, 6) AS value FROM e JOIN cells USING (cell) WHERE nation IN (0, 1, 2, 3) AND value <> 0")
+    _add("flag_selection", lambda s, d: clusters.flag_selection((f := brands(s, d)).cells, f.cells.filter("balance > 0")).select("cell", "selected"), f"WITH {_E1} SELECT cell, balance > 0 AS selected FROM cells")
+    _add("dot_margins", lambda s, d: _rounded(clusters.with_margins(clusters.summarize(vectors(s, d), "label", "fraction"), "cluster", "gene"), "value"), f"WITH {_E4}, f AS (SELECT label AS cluster, gene, avg(CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END) AS value FROM e GROUP BY ALL) SELECT cluster, gene, round(sum(value), 6) AS value, GROUPING(cluster, gene)::BIGINT AS margin FROM f GROUP BY CUBE (cluster, gene)")
+    _add("impute_means", lambda s, d: _rounded(clusters.impute_means(stack.stack(_halves(s, d), "union").expr.withColumnRenamed("cell", "cluster")), "value"), f"WITH {_E1}, {halves}, u AS (SELECT cell, gene, value FROM h UNION ALL SELECT 'a:' || cell, gene, NULL FROM cells CROSS JOIN genes WHERE cell % 2 = 0 AND gene >= 'Brand#40' UNION ALL SELECT 'b:' || cell, gene, NULL FROM cells CROSS JOIN genes WHERE cell % 2 = 1 AND gene <= 'Brand#20') SELECT cell AS cluster, gene, round(coalesce(value, avg(value) OVER (PARTITION BY gene), 0), 6) AS value FROM u")
+    _add("marker_genes", lambda s, d: scoring.match_markers((f := brands(s, d)).genes, _markers(f)), f"WITH {_E1} SELECT gene FROM genes WHERE gene IN ({_IN})")
+    _add("enrich_shared_genes", lambda s, d: clusters.shared_genes((f := vectors(s, d)).genes.filter("gene < 40"), f.genes.filter("gene > 20")), f"WITH {_E4} SELECT CAST(gene AS VARCHAR) AS gene FROM genes WHERE gene BETWEEN 21 AND 39")
+    _add("read_tsv", read_tsv, f"WITH {_E1} SELECT CAST(cell AS VARCHAR) AS cell, gene, round(value, 6) AS value FROM e WHERE value <> 0")
+    _add("read_mtx", read_mtx, f"WITH {_E3} SELECT 'c' || cell AS cell, 'g' || gene AS gene, round(value, 6) AS value FROM e")
+    _add("canonical_components", canonical_components)
     knn = "kn AS (SELECT src, dst FROM (SELECT a.cell AS src, b.cell AS dst, row_number() OVER (PARTITION BY a.cell ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.cell) AS i FROM cells a JOIN cells b ON a.cell <> b.cell) WHERE i <= 10)"
     _add("knn_edges", lambda s, d: spatial.knn_edges(vectors(s, d).cells, "x", "y", 10).select("src", "dst"), f"WITH {_E4}, {knn} SELECT src, dst FROM kn")
     zs = "zs AS (SELECT cell, gene, value - avg(value) OVER (PARTITION BY gene) AS z FROM e), zz AS (SELECT gene, count(*) AS n, sum(z * z) AS q FROM zs GROUP BY 1), sp AS (SELECT a.gene, count(*) AS w, sum(a.z * b.z) AS c, sum((a.z - b.z) ** 2) AS d FROM kn JOIN zs a ON a.cell = src JOIN zs b ON b.cell = dst AND b.gene = a.gene GROUP BY 1)"
@@ -163,9 +183,16 @@ def _register() -> None:
         _add(name, lambda s, d, method=method: _rounded(spatial.autocorrelation((f := vectors(s, d)), spatial.knn_edges(f.cells, "x", "y", 10), method), "score"), f"WITH {_E4}, {knn}, {zs} SELECT gene, round({expr}, 6) AS score FROM sp JOIN zz USING (gene)")
     pairs = "pr AS (SELECT gene, value AS x, cells.x AS y FROM e JOIN cells USING (cell) WHERE gene > 0), md AS (SELECT gene, median(x) AS mx, median(y) AS my FROM pr GROUP BY 1), ma AS (SELECT gene, median(abs(x - mx)) AS ax, median(abs(y - my)) AS ay FROM pr JOIN md USING (gene) GROUP BY 1), uv AS (SELECT gene, CASE WHEN abs((x - mx) / (9 * ax)) < 1 THEN (x - mx) * (1 - ((x - mx) / (9 * ax)) ** 2) ** 2 ELSE 0 END AS tx, CASE WHEN abs((y - my) / (9 * ay)) < 1 THEN (y - my) * (1 - ((y - my) / (9 * ay)) ** 2) ** 2 ELSE 0 END AS ty FROM pr JOIN md USING (gene) JOIN ma USING (gene))"
     _add("biweight_midcorrelation", lambda s, d: _rounded(biweight_midcorrelation(_against_first(s, d), ["gene"], "value", "x"), "bicor"), f"WITH {_E4}, {pairs} SELECT gene, round(sum(tx * ty) / sqrt(sum(tx * tx) * sum(ty * ty)), 6) AS bicor FROM uv GROUP BY 1")
+    own = "md AS (SELECT gene, median(value) AS m FROM e GROUP BY 1), ma AS (SELECT gene, median(abs(value - m)) AS a FROM e JOIN md USING (gene) GROUP BY 1), u AS (SELECT gene, a, value - m AS x, ((value - m) / (9 * a)) ** 2 AS u FROM e JOIN md USING (gene) JOIN ma USING (gene))"
+    mid = "count(*) * sum(CASE WHEN u < 1 THEN x * x * (1 - u) ** 4 ELSE 0 END) / sum(CASE WHEN u < 1 THEN (1 - u) * (1 - 5 * u) ELSE 0 END) ** 2"
+    _add("median_absolute_deviation", lambda s, d: _rounded(median_absolute_deviation(vectors(s, d).expr, ["gene"], "value"), "mad"), f"WITH {_E4}, {own} SELECT gene, round(a, 6) AS mad FROM ma")
+    _add("biweight_midvariance", lambda s, d: _rounded(biweight_midvariance(vectors(s, d).expr, ["gene"], "value"), "midvariance"), f"WITH {_E4}, {own} SELECT gene, round({mid}, 6) AS midvariance FROM u GROUP BY 1")
+    _add("biweight_scale", lambda s, d: _rounded(biweight_scale(vectors(s, d).expr, ["gene"], "value"), "scale"), f"WITH {_E4}, {own} SELECT gene, round(sqrt({mid}), 6) AS scale FROM u GROUP BY 1")
+    both = "md2 AS (SELECT gene, median(x) AS mx, median(y) AS my FROM pr GROUP BY 1), ma2 AS (SELECT gene, median(abs(x - mx)) AS ax, median(abs(y - my)) AS ay FROM pr JOIN md2 USING (gene) GROUP BY 1), w AS (SELECT gene, x - mx AS x, y - my AS y, ((x - mx) / (9 * ax)) ** 2 AS u, ((y - my) / (9 * ay)) ** 2 AS v FROM pr JOIN md2 USING (gene) JOIN ma2 USING (gene))"
+    _add("biweight_midcovariance", lambda s, d: _rounded(biweight_midcovariance(_against_first(s, d), ["gene"], "value", "x"), "midcovariance"), f"WITH {_E4}, {pairs.split(', md AS')[0]}, {both} SELECT gene, round(count(*) * sum(CASE WHEN u < 1 AND v < 1 THEN x * (1 - u) ** 2 * y * (1 - v) ** 2 ELSE 0 END) / (sum(CASE WHEN u < 1 THEN (1 - u) * (1 - 5 * u) ELSE 0 END) * sum(CASE WHEN v < 1 THEN (1 - v) * (1 - 5 * v) ELSE 0 END)), 6) AS midcovariance FROM w GROUP BY 1")
     _add("biweight_location", lambda s, d: _rounded(biweight_location(vectors(s, d).expr, ["gene"], "value"), "location"), f"WITH {_E4}, md AS (SELECT gene, median(value) AS m FROM e GROUP BY 1), ma AS (SELECT gene, any_value(m) AS m, median(abs(value - m)) AS a FROM e JOIN md USING (gene) GROUP BY 1), u AS (SELECT gene, m, value - m AS x, CASE WHEN abs((value - m) / (6 * a)) < 1 THEN (1 - ((value - m) / (6 * a)) ** 2) ** 2 ELSE 0 END AS w FROM e JOIN ma USING (gene)) SELECT gene, round(any_value(m) + sum(w * x) / sum(w), 6) AS location FROM u GROUP BY 1")
     _add("spearman_pairs", lambda s, d: _rounded(spearman(_against_first(s, d), ["gene"], "value", "x"), "rho"), f"WITH {_E4}, rk AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS rx, rank() OVER (PARTITION BY gene ORDER BY cells.x) + (count(*) OVER (PARTITION BY gene, cells.x) - 1) / 2 AS ry FROM e JOIN cells USING (cell) WHERE gene > 0) SELECT gene, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY 1")
-    _add("default_pipeline", lambda s, d: _values(pipeline.run(brands(s, d), [("normalize", {}), ("log", {}), ("standardize", {})]), zeros=True), f"WITH {_E1}, {sums}, n AS (SELECT cell, gene, log2(value / s * 1e6 + 1) AS value FROM e JOIN s USING (cell)), {z.replace('FROM dense', 'FROM (SELECT cell, gene, coalesce(n.value, 0) AS value FROM cells CROSS JOIN genes LEFT JOIN n USING (cell, gene))')} SELECT cell, gene, round(value, 6) AS value FROM z")
+    _add("default_pipeline", lambda s, d: _values(pipeline.run(brands(s, d)), zeros=True), f"WITH {_E1}, {sums}, n AS (SELECT cell, gene, log2(value / s * 1e6 + 1) AS value FROM e JOIN s USING (cell)), {z.replace('FROM dense', 'FROM (SELECT cell, gene, coalesce(n.value, 0) AS value FROM cells CROSS JOIN genes LEFT JOIN n USING (cell, gene))')} SELECT cell, gene, round(value, 6) AS value FROM z")
 
 
 def _against_first(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +200,42 @@ def _against_first(spark: SparkSession, d: str) -> DataFrame:
     return f.expr.filter("gene > 0").join(f.cells.select("cell", "x"), "cell")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, or where that is unset, as in tests, in this machine's."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellsail-")
+    return f"{where.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def read_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """Counts written as a table of genes in rows, and read again."""
+    f = brands(spark, d)
+    cells = sorted(r[0] for r in f.cells.select("cell").collect())
+    wide = f.expr.groupBy("gene").pivot("cell", cells).agg(F.first("value"))
+    path = f"{_folder(spark)}/counts.tsv"
+    wide.coalesce(1).write.csv(path, sep="\t", header=True, nullValue="0")
+    return _values(readers.read_expression(spark, path))
+
+
+def read_mtx(spark: SparkSession, d: str) -> DataFrame:
+    """Counts written as a MatrixMarket triple, and read again."""
+    f, folder = parts(spark, d), _folder(spark)
+    n_genes, n_cells, n = f.genes.agg(F.max("gene")).first()[0] + 1, f.cells.agg(F.max("cell")).first()[0] + 1, f.expr.count()
+    lines = f.expr.select(F.lit(1).alias("part"), F.concat_ws(" ", F.col("gene") + 1, F.col("cell") + 1, F.col("value")).alias("value"))
+    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{n_genes} {n_cells} {n}")], "part int, value string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("part").select("value").write.text(f"{folder}/matrix.mtx")
+    for name, letter, many in (("genes.tsv", "g", n_genes), ("barcodes.tsv", "c", n_cells)):
+        spark.range(0, many, numPartitions=1).select(F.concat(F.lit(letter), "id").alias("value")).write.text(f"{folder}/{name}")
+    return _values(readers.read_mtx(spark, folder))
+
+
+def canonical_components(spark: SparkSession, d: str) -> DataFrame:
+    """(cell, component, value) of two halves of the cells over the brands."""
+    f = brands(spark, d)
+    halves = [f.keep_cells(f.cells.filter(f"cell % 2 = {i}")) for i in (0, 1)]
+    _, places = alignment.canonical_components(halves, 3)
+    return _rounded(places[0].unionByName(places[1]), "value", digits=4)
+
+
 def top_genes(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: counts to log2 CPM, dispersion of each gene, the five largest."""
     f = transforms.log_scale(transforms.normalize_cells(brands(spark, d)))

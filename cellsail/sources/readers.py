@@ -1,14 +1,30 @@
-"""Expression files as frames: delimited text, MatrixMarket triples, genotype calls."""
+"""Expression files as frames: delimited text, MatrixMarket triples, annotations, genotype calls."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame, from_long
 
+#: Fixed values of the reproducible read-time sample: its seed, and the leading indices that are always kept.
+SAMPLE_SEED, ALWAYS_KEPT = 0x667, 4
+#: A text column with at most so many distinct values is discrete.
+MAX_DISCRETE = 50
+
+
+class ReadError(ValueError):
+    """The file cannot be read as what it should be."""
+
+
+class InadequateHeaders(ReadError):
+    """A file has fewer header rows or label columns than it was said to have."""
+
 
-class AnnotationMismatch(ValueError):
+class AnnotationMismatch(ReadError):
     """An annotation table has another number of rows than the side it describes."""
 
     def __init__(self, side: str, expected: int, got: int):
@@ -16,38 +32,140 @@ class AnnotationMismatch(ValueError):
         self.side, self.expected, self.got = side, expected, got
 
 
-def separator(path: str) -> str:
-    """By extension, after a compression suffix is cut off."""
+def plain_name(path: str) -> str:
+    """The path without a compression suffix."""
     for suffix in (".gz", ".bz2", ".zip"):
         path = path.removesuffix(suffix)
-    return "," if path.endswith(".csv") else "\t"
+    return path
+
+
+def separator(path: str) -> str:
+    return "," if plain_name(path).endswith(".csv") else "\t"
+
+
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(i, value): the lines of a text file that keep holds for, numbered from 0 in the order of the file.
+
+    Each split is counted by itself; one row a split gives its first number, so no
+    task sees the whole file.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = lines if keep is None else lines.filter(keep)
+    inside = Window.partitionBy("file", "start").orderBy("id")
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("file", "start", before.alias("first"))
+    placed = lines.withColumn("place", F.row_number().over(inside) - 1)
+    return placed.join(first, ["file", "start"]).select((F.col("first") + F.col("place")).alias("i"), "value")
+
+
+def keep_list(rng: np.random.RandomState, n: int, percent: float) -> np.ndarray:
+    """Indices of n that a sample of percent keeps: the leading ones, and others by one draw each."""
+    drawn = rng.uniform(0, 100, max(0, n - ALWAYS_KEPT)) <= percent
+    return np.flatnonzero(np.append(np.ones(min(n, ALWAYS_KEPT), dtype=bool), drawn))
+
+
+def _positions(spark: SparkSession, kept: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(int(i),) for i in kept], "i long")
 
 
-def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, sep: str | None = None) -> ExpressionFrame:
-    """One header row, one label column; NaN and empty fields are missing, zeros are not stored."""
-    wide = spark.read.csv(path, sep=sep or separator(path), header=True, inferSchema=False)
-    label, *columns = wide.columns
-    rows = wide.select(F.col(f"`{label}`").alias("row"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in columns]).unpivot("row", [f"`{c}`" for c in columns], "col", "value")
+def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, sep: str | None = None, n_headers: int = 1, n_labels: int = 1, rows_percent: float | None = None, columns_percent: float | None = None) -> ExpressionFrame:
+    """A delimited matrix; NaN and empty fields are missing, zeros are not stored.
+
+    The first of n_headers rows names the columns and the first of n_labels columns
+    the rows. Further label columns become columns of the side of the rows, under
+    the names of the header or label_2 and on; further header rows become columns of
+    the other side, header_2 and on. Without headers or labels the names are
+    positions from 0. A line of fewer fields has missing values at its end.
+
+    rows_percent and columns_percent take a sample that is the same at every
+    reading: positions in the file with its headers and labels, of which the leading
+    ones are always kept. Both sides have their place in the file as row_idx or col_idx.
+    """
+    lines = numbered_lines(spark, path, F.trim("value") != "")
+    sep = sep or separator(path)
+    quoted = sep.replace("\t", r"\t") if sep in "\t," else "\\Q" + sep + "\\E"
+    fields = F.split("value", quoted, -1)
+    heads = [r["value"].split(sep) for r in lines.filter(F.col("i") < max(n_headers, 1)).orderBy("i").limit(max(n_headers, 1)).collect()]
+    if len(heads) < n_headers or (heads and len(heads[0]) < n_labels) or not heads:
+        raise InadequateHeaders(f"{path}: {n_headers} header rows and {n_labels} label columns expected")
+    width = len(heads[0])
+    names = heads[0] if n_headers else [str(j - n_labels) if j >= n_labels else "" for j in range(width)]
+    rng, columns = np.random.RandomState(SAMPLE_SEED), np.arange(width)
+    if columns_percent is not None:
+        columns = keep_list(rng, width, columns_percent)
+    columns = [int(j) for j in columns if j >= n_labels]
+    body = lines.filter(F.col("i") >= n_headers)
+    if rows_percent is not None:
+        n = lines.agg(F.max("i")).collect()[0][0] + 1
+        if columns_percent is None:
+            keep_list(rng, width, 100.0)
+        kept = np.concatenate([np.arange(n_headers), n_headers + _drawn_rows(rng, int(n) - n_headers, rows_percent, n_headers)])
+        body = body.join(F.broadcast(_positions(spark, kept)), "i", "left_semi")
+    label = F.get(fields, F.lit(0)) if n_labels else (F.col("i") - n_headers).cast("string")
+    rows = body.select((F.col("i") - n_headers).alias("row_idx"), label.alias("row"), fields.alias("f"))
+    more = [F.get("f", F.lit(j)).alias(heads[0][j] if n_headers and heads[0][j] else f"label_{j + 1}") for j in range(1, n_labels)]
+    row_side = rows.select("row", "row_idx", *more)
+    cols = spark.createDataFrame([(names[j], j - n_labels, *[h[j] if j < len(h) else None for h in heads[1:]]) for j in columns], ", ".join(["col string", "col_idx int", *[f"header_{i} string" for i in range(2, n_headers + 1)]]))
+    cells = rows.select("row", F.posexplode(F.slice("f", n_labels + 1, max(width - n_labels, 0))).alias("col_idx", "text"))
+    values = cells.join(F.broadcast(cols.select("col", "col_idx")), "col_idx").select("row", "col", F.expr("try_cast(trim(text) AS double)").alias("value"))
     cell, gene = ("col", "row") if genes_in_rows else ("row", "col")
-    long_ = rows.select(F.col(cell).alias("cell"), F.col(gene).alias("gene"), "value")
-    whole = from_long(long_)
-    return ExpressionFrame(whole.expr.filter("value IS NULL OR value <> 0"), whole.cells, whole.genes)
+    expr = from_long(values.select(F.col(cell).alias("cell"), F.col(gene).alias("gene"), "value")).expr.filter("value IS NULL OR value <> 0")
+    sides = {"row": row_side, "col": cols}
+    return ExpressionFrame(expr, sides[cell].withColumnRenamed(cell, "cell"), sides[gene].withColumnRenamed(gene, "gene"))
+
+
+def _drawn_rows(rng: np.random.RandomState, n: int, percent: float, before: int) -> np.ndarray:
+    """Kept rows of n that follow `before` rows; those within the leading indices of the file are kept without a draw."""
+    free = max(0, min(n, ALWAYS_KEPT - before))
+    return np.flatnonzero(np.append(np.ones(free, dtype=bool), rng.uniform(0, 100, n - free) <= percent))
+
 
+def read_count(spark: SparkSession, path: str) -> ExpressionFrame:
+    """A .count file, genes in rows, with the annotations of the .meta file of the same name if there is one."""
+    frame = read_delimited(spark, path, sep="\t")
+    meta = plain_name(path).removesuffix(".count") + ".meta"
+    return annotate_cells(frame, read_table(spark, meta)) if _exists(spark, meta) else frame
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """(i, value) of a text file's non-empty lines, from 1, in the order of the file."""
-    return df.filter("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id()).selectExpr("row_number() OVER (ORDER BY at) AS i", "value")
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
-def read_mtx(spark: SparkSession, folder: str, genes: str = "genes.tsv", barcodes: str = "barcodes.tsv", matrix: str = "matrix.mtx") -> ExpressionFrame:
-    """A 10x triple: genes are rows, cells columns, entries 1-based; the matrix is never made dense."""
-    lines = spark.read.text(f"{folder}/{matrix}").filter("substr(value, 1, 1) <> '%' AND trim(value) <> ''")
-    header = lines.first()[0].split()
-    n_genes, n_cells = int(header[0]), int(header[1])
+
+def _companion(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """The first of some files in a folder that is there, compressed or not."""
+    for path in (f"{folder}/{name}{suffix}" for name in names for suffix in ("", ".gz")):
+        if _exists(spark, path):
+            return path
+    raise ReadError(f"{folder}: none of {', '.join(names)} found")
+
+
+def read_mtx(spark: SparkSession, folder: str, genes: str | None = None, barcodes: str | None = None, matrix: str | None = None) -> ExpressionFrame:
+    """A 10x triple: genes are rows, cells columns, entries 1-based; the matrix is never made dense.
+
+    Files not named are looked for: genes.tsv or features.tsv, barcodes.tsv and
+    matrix.mtx, compressed or not. The first line that is no comment is the header,
+    by its place in the file; entries that do not add up to it are an error.
+    """
+    path = f"{folder}/{matrix}" if matrix else _companion(spark, folder, ["matrix.mtx"])
+    lines = numbered_lines(spark, path, (F.substring("value", 1, 1) != "%") & (F.trim("value") != ""))
+    head = lines.filter("i = 0").first()
+    try:
+        n_genes, n_cells, n_entries = map(int, head["value"].split())
+    except (TypeError, ValueError):
+        raise InadequateHeaders(f"{path}: no line of three numbers before the entries") from None
     parts = F.split(F.trim("value"), r"\s+")
-    entries = lines.filter(F.col("value") != " ".join(header)).select(parts[0].cast("int").alias("g"), parts[1].cast("int").alias("c"), parts[2].cast("double").alias("value"))
-    g = _numbered(spark.read.text(f"{folder}/{genes}")).select(F.col("i").alias("g"), F.split("value", "\t")[0].alias("gene"), F.try_element_at(F.split("value", "\t"), F.lit(2)).alias("symbol"))
-    c = _numbered(spark.read.text(f"{folder}/{barcodes}")).select(F.col("i").alias("c"), F.split("value", "\t")[0].alias("cell"))
+    entries = lines.filter("i > 0").select(parts[0].cast("int").alias("g"), parts[1].cast("int").alias("c"), parts[2].cast("double").alias("value"))
+    if (got := entries.count()) != n_entries:
+        raise ReadError(f"{path}: {n_entries} entries expected, {got} found")
+    f = F.split("value", "\t")
+    some = F.trim("value") != ""
+    g = numbered_lines(spark, f"{folder}/{genes}" if genes else _companion(spark, folder, ["genes.tsv", "features.tsv"]), some)
+    g = g.select((F.col("i") + 1).cast("int").alias("g"), f[0].alias("gene"), F.try_element_at(f, F.lit(2)).alias("symbol"))
+    c = numbered_lines(spark, f"{folder}/{barcodes}" if barcodes else _companion(spark, folder, ["barcodes.tsv"]), some)
+    c = c.select((F.col("i") + 1).cast("int").alias("c"), f[0].alias("cell"))
     for side, table, expected in (("genes", g, n_genes), ("cells", c, n_cells)):
         if (got := table.count()) != expected:
             raise AnnotationMismatch(side, expected, got)
@@ -55,6 +173,91 @@ def read_mtx(spark: SparkSession, folder: str, genes: str = "genes.tsv", barcode
     return ExpressionFrame(expr, c.select("cell", F.col("c").alias("cell_idx")), g.select("gene", "symbol", F.col("g").alias("gene_idx")))
 
 
+def mtx_summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row from the header alone: n_cells, n_genes and the share of pairs that are not stored."""
+    head = numbered_lines(spark, path, (F.substring("value", 1, 1) != "%") & (F.trim("value") != "")).filter("i = 0")
+    n = F.split(F.trim("value"), r"\s+")
+    pairs = n[0].cast("double") * n[1].cast("double")
+    return head.select(n[1].cast("long").alias("n_cells"), n[0].cast("long").alias("n_genes"), F.try_divide(pairs - n[2].cast("double"), pairs).alias("sparsity"))
+
+
+def read_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """An annotation table with a header, and the place of each row as i, from 0."""
+    lines = numbered_lines(spark, path, F.trim("value") != "")
+    head = lines.filter("i = 0").first()
+    if head is None:
+        raise InadequateHeaders(f"{path}: no header")
+    sep = sep or separator(path)
+    fields = F.split("value", sep.replace("\t", r"\t"), -1)
+    names = [n.strip() or f"column_{j + 1}" for j, n in enumerate(head["value"].split(sep))]
+    return lines.filter("i > 0").select((F.col("i") - 1).alias("i"), *[F.get(fields, F.lit(j)).alias(n) for j, n in enumerate(names)])
+
+
+def _annotated(side: DataFrame, name: str, table: DataFrame, label: str) -> DataFrame:
+    """side with the columns of table by position; one that repeats the label goes."""
+    index = next((c for c in side.columns if c in ("row_idx", "col_idx", f"{name}_idx")), None)
+    if index is None:
+        raise ReadError(f"the {name}s have no place in a file")
+    # the places that are there, so that a sample or the numbers from 1 do not matter
+    own, got = side.count(), table.count()
+    if own != got:
+        raise AnnotationMismatch(f"{name}s", own, got)
+    base = side.agg(F.min(index)).collect()[0][0] or 0
+    rows = table.withColumn("at", F.col("i") + base).drop("i")
+    rows = rows.toDF(*[c if c == "at" or c not in side.columns else f"{c}_2" for c in rows.columns])
+    out = side.join(rows, side[index] == rows["at"], "left").drop("at")
+    same = [c for c in rows.columns if c != "at" and c == label]
+    return out.drop(*same)
+
+
+def annotate_cells(frame: ExpressionFrame, table: DataFrame, label: str = "cell") -> ExpressionFrame:
+    """Columns of table(i, ...) for the cells, by position; another number of rows is an error."""
+    return ExpressionFrame(frame.expr, _annotated(frame.cells, "cell", table, label), frame.genes)
+
+
+def annotate_genes(frame: ExpressionFrame, table: DataFrame, label: str = "gene") -> ExpressionFrame:
+    return ExpressionFrame(frame.expr, frame.cells, _annotated(frame.genes, "gene", table, label))
+
+
+def typed(table: DataFrame, max_discrete: int = MAX_DISCRETE) -> tuple[DataFrame, dict[str, str]]:
+    """table with its text columns of numbers as doubles, and the kind of each column: continuous, discrete or text.
+
+    A column is continuous if all its values but empty ones are numbers, else
+    discrete if it has at most max_discrete distinct values. One pass over the table.
+    """
+    text = [c for c, t in table.dtypes if t == "string"]
+    number = lambda c: F.expr(f"try_cast(trim(`{c}`) AS double)")
+    filled = lambda c: F.trim(F.col(f"`{c}`")) != ""
+    row = table.agg(F.lit(0).alias("none"), *[x for i, c in enumerate(text) for x in (F.count_if(filled(c) & number(c).isNull()).alias(f"odd{i}"), F.count_if(filled(c)).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))]).collect()[0]
+    kinds = {c: "continuous" for c in table.columns if c not in text}
+    out = table
+    for i, c in enumerate(text):
+        if row[f"odd{i}"] == 0 and row[f"n{i}"] > 0:
+            kinds[c], out = "continuous", out.withColumn(c, number(c))
+        else:
+            kinds[c] = "discrete" if row[f"d{i}"] <= max_discrete else "text"
+    return out, kinds
+
+
+def read_expression(spark: SparkSession, path: str, format: str | None = None, **options) -> ExpressionFrame:
+    """By extension, after a compression suffix is cut off: a .mtx file or a folder of a triple, .count, .csv, .vcf, else tab-separated."""
+    name = plain_name(path.rstrip("/"))
+    kind = format or next((k for k in ("mtx", "count", "csv", "vcf", "tsv", "txt", "tab") if name.endswith(f".{k}")), None) or ("mtx" if _is_folder(spark, path) else "tsv")
+    readers: dict[str, Callable[..., ExpressionFrame]] = {"count": read_count, "vcf": read_genotypes, **dict.fromkeys(("csv", "tsv", "txt", "tab"), read_delimited)}
+    if kind == "mtx":
+        folder, _, file = path.rpartition("/") if name.endswith(".mtx") else (path, "", None)
+        return read_mtx(spark, folder or ".", matrix=file, **options)
+    if kind not in readers:
+        raise ReadError(f"unknown format {kind!r}")
+    return readers[kind](spark, path, **options)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
 def summary(frame: ExpressionFrame) -> DataFrame:
     """One row: n_cells, n_genes and sparsity, the share of pairs that are zero."""
     on = frame.expr.agg(F.count_if((F.col("value") != 0) | F.col("value").isNull()).alias("on"))
