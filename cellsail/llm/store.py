@@ -11,9 +11,11 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir; a temporary folder where it is unset and all of Spark is on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="cellsail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
