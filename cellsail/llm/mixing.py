@@ -57,7 +57,11 @@ def targets(sizes: DataFrame, source_col: str) -> DataFrame:
 
 
 def round_fractions(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Round all but one of p to 0 or 1, keeping sum(size * p): (0, 1 or -1 for the one left; its p)."""
+    """Round all but one of p to 0 or 1, keeping sum(size * p): (0, 1 or -1 for the one left; its p).
+
+    Each p keeps its expectation, whatever the order. With large documents first,
+    the one left tends to be small.
+    """
     out = np.full(len(p), -1, dtype=np.int64)
     q = p.astype(np.float64).copy()
     eps = 1e-12
@@ -78,28 +82,9 @@ def round_fractions(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple
                 out[k] = int(q[k] > 0.5)
         if out[i] >= 0:
             i = j if out[j] < 0 else -1
-    if i >= 0:
-        _settle(i, size, q, out, draws)
     return out, q
 
 
-def _settle(i: int, size: np.ndarray, q: np.ndarray, out: np.ndarray, draws: np.ndarray) -> None:
-    """Round document i too, and pass its words on to whole ones, so that a small one is left over."""
-    up = bool(draws[i] < q[i])
-    words = (q[i] - up) * size[i]  # to give to others if positive, to take from them if negative
-    out[i] = q[i] = int(up)
-    side = np.flatnonzero((out == int(words < 0)) & (size > 0))
-    side = side[side != i]
-    for j in side[np.argsort(draws[side], kind="stable")]:
-        if size[j] <= abs(words):
-            out[j] = q[j] = int(words > 0)
-            words -= np.sign(words) * size[j]
-    side = side[out[side] == int(words < 0)]
-    k = side[np.argmin(size[side])] if len(side) else i
-    q[k] = min(max(float(out[k]) + words / size[k], 0.0), 1.0)
-    out[k] = -1 if 1e-12 < q[k] < 1 - 1e-12 else int(q[k] > 0.5)
-
-
 def _draw(seed: int, level: int) -> Column:
     return (F.pmod(F.xxhash64("key", "size", "ordinal", F.lit(seed), F.lit(level)), F.lit(1 << 52)).cast("double") / float(1 << 52)).alias("draw")
 
