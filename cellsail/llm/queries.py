@@ -93,8 +93,8 @@ r AS (SELECT *, CASE
   WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/de/') THEN 'net/de/'
   WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/es/') THEN 'org/es/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule WHEN 'example.com/en/7' THEN 'allow' ELSE 'block' END
-  WHEN contains(host, 'cheap-pills') OR contains(host, 'adult-x') OR contains(host, 'free-bets') OR contains(host, 'casino') THEN 'block' ELSE 'allow' END AS verdict
-FROM r
+  WHEN contains(bare, 'cheap-pills') OR contains(bare, 'adult-x') OR contains(bare, 'free-bets') OR contains(bare, 'casino') THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.*(:[0-9]*)?$', '') AS bare FROM r)
 """
 
 
@@ -110,8 +110,8 @@ m AS (SELECT rid, doc_id, source, o, unnest(range(1, len(hits) + 1)) AS i, unnes
 f AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, o ORDER BY i) AS e FROM m),
 s AS (SELECT f.*, e - length(hit) AS b, p.kind FROM f JOIN p USING (o) WHERE length(val) >= p.least
   AND (o < 3 OR (regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')))),
-w AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS owners FROM s GROUP BY val),
-j AS (SELECT s.*, owners = 1 AND len(list_distinct(string_split(val, ''))) >= 10 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '(?i)example|sample|changeme|placeholder|dummy|xxxx') AS live FROM s JOIN w USING (val)),
+w AS (SELECT val, count(DISTINCT coalesce(source, '<null>')) AS owners, count(DISTINCT coalesce(source, '<null>') || chr(10) || coalesce(CAST(doc_id AS VARCHAR), '<null>')) AS repos FROM s GROUP BY val),
+j AS (SELECT s.*, owners <= 2 AND repos <= 10 AND len(list_distinct(string_split(val, ''))) >= 10 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND NOT regexp_matches(val, '(?i)example|sample|changeme|placeholder|dummy|xxxx') AS live FROM s JOIN w USING (val)),
 k AS (SELECT * FROM j WHERE o < 3 OR (live AND NOT EXISTS (SELECT 1 FROM j AS x WHERE x.rid = j.rid AND x.o < 3 AND x.b < j.e AND j.b < x.e))),
 g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) FILTER (o < 3) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) AS spans FROM k GROUP BY rid)

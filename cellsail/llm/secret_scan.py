@@ -1,10 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidates in every text. Hashes of the candidate values are
-counted over the whole corpus by distinct repositories and owners. A value that
-several owners have is a copied example; one that a single owner has and that
-looks like a key is a live credential, and generic tokens of that sort are added
-to the spans of the fixed patterns.
+counted over the whole corpus by distinct repositories and owners. A value of many
+owners, or in many repositories of one, is an example that was copied; one of few
+of both that looks like a key is a live credential, and generic tokens of that sort
+are added to the spans of the fixed patterns.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 BASE = KINDS[:3]
-#: A value of so many owners or more is an example that was copied.
-EXAMPLE_OWNERS = 3
+#: A live credential has so many owners and is in so many of their repositories at most; a value of more of either is an example.
+LIVE_OWNERS, LIVE_REPOS = 2, 10
 #: A live credential has so many distinct characters at least, and none of these words.
 MIN_DISTINCT = 10
 PLACEHOLDERS = "(?i)example|sample|changeme|placeholder|dummy|xxxx"
@@ -63,7 +63,9 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", owner_col: s
     start and then kind, in code points, end exclusive; verdict is live, example or
     unclear. base has the fixed patterns' matches. all_spans has also the generic
     tokens that are live and overlap none of these. A null text has no spans, a null
-    owner or repository is one of its own, repeated rows get equal results.
+    owner or repository is one of its own, and a repository is one for each owner.
+    Repeated rows get equal results and count once; an empty table gives no rows;
+    spans of a text of any length are found whole, and equal starts go by kind.
     """
     inner = [f"c{i}" for i in range(len(carry))]
     cols = []
@@ -88,7 +90,7 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", owner_col: s
     by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     owned = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("order") + 1)
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & looks_live(F.col("value")), "live").otherwise("unclear")
+    verdict = F.when((F.col("owners") > LIVE_OWNERS) | (F.col("repos") > LIVE_REPOS), "example").when(looks_live(F.col("value")), "live").otherwise("unclear")
     span = F.struct("start", "order", "end", kind.alias("kind"), "value", "owners", "repos", verdict.alias("verdict"))
     spans = flat.join(owned, "hash").groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     out = rows.select("rid", *inner).join(spans, "rid", "left").drop("rid")
