@@ -19,9 +19,7 @@ from cellsail.llm.training import MAX_TRAIN_ROWS, count_columns, dot_rows, featu
 
 WORD_BITS, PAIR_BITS, GRAM_BITS, GRAM = 17, 17, 16, 3
 _PAIR, _GRAM = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
-#: Bigrams of a word and itself are one n-gram, by how often a text has them: up to 2, 8, 32, or more.
-_SAME = _GRAM + (1 << GRAM_BITS)
-N_FEATURES = _SAME + 4
+N_FEATURES = _GRAM + (1 << GRAM_BITS)
 
 
 @dataclass
@@ -35,16 +33,12 @@ class NbSvmModel:
 def _indicators(block: Block) -> tuple[np.ndarray, np.ndarray]:
     w = words(block, block.buf, NOT_SPACE)
     h = word_hashes(block.buf, w)
-    first, pair_doc, pair = windows(h, w, 2)
-    same = h[first] == h[first + 1] if len(first) else np.zeros(0, dtype=bool)
-    n_same = np.bincount(pair_doc[same], minlength=block.n)
-    runs = np.flatnonzero(n_same)
-    doc = np.concatenate([w.doc, pair_doc[~same], np.repeat(np.arange(block.n), block.end - block.start + 1), runs])
+    _, pair_doc, pair = windows(h, w, 2)
+    doc = np.concatenate([w.doc, pair_doc, np.repeat(np.arange(block.n), block.end - block.start + 1)])
     col = np.concatenate([
         (h >> U(64 - WORD_BITS)).astype(np.int64),
-        (pair[~same] >> U(64 - PAIR_BITS)).astype(np.int64) + _PAIR,
+        (pair >> U(64 - PAIR_BITS)).astype(np.int64) + _PAIR,
         (byte_grams(block.buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + _GRAM,
-        _SAME + np.searchsorted([2, 8, 32], n_same[runs]),
     ])
     keys = np.sort((doc << 20) | col)
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
@@ -111,6 +105,10 @@ def _margins(block: Block, m: NbSvmModel) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: NbSvmModel, carry: list[str]) -> DataFrame:
-    """carry columns and score, 0 to 1; null and empty texts are scored as any other."""
+    """carry columns and score, 0 to 1; null and empty texts are scored as any other, by the newline that ends them.
+
+    Repeated rows get equal scores, an empty table none; texts of any length are
+    taken whole. A carried column may not be named score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_texts(docs, carry, lambda b: sigmoid(shared.value.a * _margins(b, shared.value) + shared.value.b))

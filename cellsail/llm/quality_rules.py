@@ -1,7 +1,7 @@
 """Quality rules: counts of each text, and a calibrated logistic regression.
 
-The classifier is a logistic regression over hashed words and hashed character
-n-grams, trained on a bounded sample of labelled rows, calibrated on the part of
+The classifier is a logistic regression over hashed words, pairs of words and
+character n-grams, trained on a bounded sample of labelled rows, calibrated on the part of
 the sample it was not trained on, and scored in Arrow batches. A text is kept if
 it passes the base rules and its probability reaches a fixed threshold.
 """
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsail.llm.textkit import NOT_SPACE, Block, U, Words, blocks, byte_grams, prefix_hash, span_hash, sums_by_doc, windows, word_hashes, words
+from cellsail.llm.textkit import NOT_SPACE, Block, U, Words, blocks, char_grams, prefix_hash, span_hash, sums_by_doc, windows, word_hashes, words
 from cellsail.llm.training import add_rows, dot_rows, feature_rows, labelled, platt, sigmoid
 
-WORD_BITS, GRAM_BITS, GRAM = 16, 16, 3
-#: Features that do not come from single n-grams: an adjacent repeated word.
-REPEAT = (1 << WORD_BITS) + (1 << GRAM_BITS)
-N_FEATURES = REPEAT + 1
+WORD_BITS, PAIR_BITS, GRAM_BITS, GRAM = 16, 16, 16, 3
+_PAIR = 1 << WORD_BITS
+_GRAM = _PAIR + (1 << PAIR_BITS)
+N_FEATURES = _GRAM + (1 << GRAM_BITS)
 #: Rows of the training sample, in expectation.
 MAX_TRAIN_ROWS = 2500
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -40,29 +40,22 @@ class QualityModel:
     b: float
 
 
-def _repeats(w: Words, h: np.ndarray) -> np.ndarray:
-    """Whether a word equals the one before it in its text."""
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
-    return same
-
-
-def _ids(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> U(64 - WORD_BITS)).astype(np.int64), (byte_grams(block.buf, GRAM, block.end) >> U(64 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
+def _ids(block: Block, w: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Columns of words, of pairs and of characters, the text of each pair, and each text's first and number of characters."""
+    _, pair_doc, pair = windows(h, w, 2)
+    gram, first, length = char_grams(block, GRAM)
+    word = (h >> U(64 - WORD_BITS)).astype(np.int64)
+    return word, (pair >> U(64 - PAIR_BITS)).astype(np.int64) + _PAIR, (gram >> U(64 - GRAM_BITS)).astype(np.int64) + _GRAM, pair_doc, first, length
 
 
 def _features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's share of each word, of each character n-gram, and of repeated words."""
+    """Each text's share of each word, pair of words and character n-gram."""
     w = words(block, block.buf, NOT_SPACE)
-    h = word_hashes(block.buf, w)
-    word, gram = _ids(block, w, h)
-    length = block.end - block.start + 1
+    word, pair, gram, pair_doc, _, length = _ids(block, w, word_hashes(block.buf, w))
     of_gram = np.repeat(np.arange(block.n), length)
-    same = _repeats(w, h)
-    doc = np.concatenate([w.doc, of_gram, w.doc[same]])
-    col = np.concatenate([word, gram, np.full(int(same.sum()), REPEAT)])
-    share = np.concatenate([1.0 / w.count[w.doc], 1.0 / length[of_gram], 1.0 / w.count[w.doc[same]]])
-    keys, inverse = np.unique(doc * N_FEATURES + col, return_inverse=True)
+    doc = np.concatenate([w.doc, pair_doc, of_gram])
+    share = np.concatenate([1.0 / w.count[w.doc], 1.0 / w.count[pair_doc], 1.0 / length[of_gram]])
+    keys, inverse = np.unique(doc * N_FEATURES + np.concatenate([word, pair, gram]), return_inverse=True)
     return keys // N_FEATURES, keys % N_FEATURES, np.bincount(inverse, weights=share, minlength=len(keys))
 
 
@@ -135,7 +128,9 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def apply_rules(docs: DataFrame, model: QualityModel, carry: list[str], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """carry columns, the base counts, base_failed, kept, and the probability behind kept.
 
-    A null text has no words and fails. Repeated rows get equal results.
+    A null or empty text has no words and fails. Repeated rows get equal results, an
+    empty table none, texts of any length are taken whole, and carried columns may
+    not have the names of the results. A probability equal to the threshold is kept.
     """
     kept = docs.select(*carry, text_col)
     schema = kept.select(*carry).schema
@@ -151,11 +146,9 @@ def apply_rules(docs: DataFrame, model: QualityModel, carry: list[str], threshol
                 w = words(b, b.buf, NOT_SPACE)
                 h = word_hashes(b.buf, w)
                 base = _base(b, w, h)
-                word, gram = _ids(b, w, h)
+                word, pair, gram, pair_doc, first, length = _ids(b, w, h)
                 n = np.maximum(w.count, 1)
-                length = b.end - b.start + 1
-                margin = sums_by_doc(m.w[word], w.first, w.count) / n + np.add.reduceat(m.w[gram], b.start) / length
-                margin += m.w[REPEAT] * sums_by_doc(_repeats(w, h).astype(np.int64), w.first, w.count) / n
+                margin = (sums_by_doc(m.w[word], w.first, w.count) + np.bincount(pair_doc, weights=m.w[pair], minlength=b.n)) / n + np.add.reduceat(m.w[gram], first) / length
                 p = sigmoid(m.a * margin + m.b)
                 failed = (base[0] < MIN_WORDS) | (100 * base[4] > MAX_REPEAT_PERCENT * base[0])
                 rest = batch.slice(b.row, b.n)

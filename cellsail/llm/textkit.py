@@ -185,6 +185,21 @@ def code_points(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return chars, begins[block.start]
 
 
+def char_grams(block: Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n code points from each one, n at most 3, of texts in lower case as by code_points; each text's first and how many it has.
+
+    Those at the end of a text are cut short after its newline.
+    """
+    chars, first = code_points(block)
+    end = np.append(first[1:], len(chars)) - 1
+    key = chars.astype(U)
+    for i in range(1, n):
+        later = chars[i:].astype(U) << U(21 * i)
+        later[in_last(end, i, len(later))] = 0
+        key[: len(later)] |= later
+    return mix(key * U(31) + U(n)), first, end + 1 - first
+
+
 def sums_by_doc(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Sum of each text's slice of values, 0 for an empty one."""
     out = np.zeros(len(first), dtype=values.dtype if values.dtype.kind == "f" else np.int64)

@@ -19,7 +19,7 @@ from cellsail.llm.training import add_rows, count_columns, dot_rows, feature_row
 
 WORD_BITS, GRAM_BITS, GRAM = 17, 18, 5
 N_FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
-#: Rows of either sample, in expectation.
+#: Rows of either sample, in expectation. Both are of labelled rows; the second does not look at the label.
 MAX_POSITIVE, MAX_UNLABELLED = 1200, 2500
 #: Standard errors by which a feature must be commoner among the positives.
 MIN_Z = 4.5
@@ -57,11 +57,12 @@ def _margins(block: Block, model: ToxicityModel) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, steps: int = 300) -> ToxicityModel:
-    """Fit on usable positive labels and on unlabelled texts of docs.
+    """Fit on texts with a usable positive label, and on texts of usable rows whose label is not looked at.
 
-    prior is the share of positives among all texts; by default that of the usable
+    prior is the share of positives among the latter; by default that of the usable
     labels. The samples have max_positive and max_unlabelled rows in expectation.
-    Without positives every text scores near 0.
+    Without positives every text scores near 0. Rows of null ids teach nothing, and
+    ids that labels repeat count once, or not at all if their labels differ.
     """
     ids = labelled(labels.filter(F.col(label) == 1), label, usable, max_positive)
     if prior is None:
@@ -69,9 +70,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
         prior = float(known or 0.0)
     prior = min(max(prior, 1e-3), 0.5)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    n = texts.select("doc_id").count()
+    hidden = labels.filter(usable & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    share = min(1.0, max_unlabelled / max(hidden.count(), 1))
+    hidden = hidden.filter(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("y", F.lit(0.0))
     known = texts.join(F.broadcast(ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))
-    free = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int(min(1.0, max_unlabelled / max(n, 1)) * (1 << 30))).withColumn("y", F.lit(0.0)).withColumn("order", F.xxhash64("doc_id"))
+    free = texts.join(F.broadcast(hidden), "doc_id").withColumn("order", F.xxhash64("doc_id"))
     y, at, cols, _ = feature_rows(known.select("text", "y", "order").union(free.select("text", "y", "order")), _features, binary=True)
     positive = y > 0.5
     n_pos, n_free = int(positive.sum()), int((~positive).sum())
@@ -107,6 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: list[str]) -> DataFrame:
-    """carry columns and score, 0 to 1. Null and empty texts get the score of no feature."""
+    """carry columns and score, 0 to 1. Null and empty texts get the score of no feature.
+
+    Repeated rows get equal scores, an empty table none; texts of any length are
+    taken whole. A carried column may not be named score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_texts(docs, carry, lambda b: sigmoid(_margins(b, shared.value)))
