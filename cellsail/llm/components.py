@@ -12,14 +12,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of edges (u, v); component is its least node.
 
     A round links each node's larger neighbours, and then its smaller ones, to the
-    least of all (Kiveris et al., 2014), until nothing changes: about log2 of the
-    longest chain rounds. The least neighbour is a partial aggregate and each
-    round's links are a written table, so a node with very many links is no
-    single task's group and a lost executor costs one round.
+    least of all (Kiveris et al., 2014), until all links lead to a node that leads
+    to no other: about log2 of the longest chain rounds. The least neighbour is a
+    partial aggregate and each round's links are a written table, so a lost executor
+    costs one round. A node with very many links is on the side of the joins that
+    Spark splits.
     """
     links = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -28,13 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
         near = large.join(least, "u")
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         links = materialize(small, "small-star")
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0])
-        if now == before:
-            break
-        before = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node leads to one other, which leads to none."""
+    up, down = (links.select(F.col(x).alias("x"), F.lit(int(x == "u")).alias("up"), F.lit(int(x == "v")).alias("down")) for x in ("u", "v"))
+    ends = up.unionByName(down).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
     """components of the links behind parts and of links (u, v) found since.
 

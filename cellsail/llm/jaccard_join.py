@@ -1,17 +1,21 @@
 """N-gram Jaccard join: partitioned universe, pigeonhole signatures, exact verification.
 
-Sets of shingles fall into bands of sizes. A band cuts the universe of hashes
-into m segments. Two sets within a Jaccard similarity differ in few tokens, so
-if the differences allowed are fewer than the segments, some segment is equal in
-both sets; a segment indexed with its one-deletion neighbourhood counts twice.
-Costs over the whole corpus decide which segments of a band are indexed once,
-twice or not at all (Deng et al., 2015, and Arasu et al., 2006).
-
-Nodes are distinct sets, so exact copies never meet as pairs. Sets with one
-signature are compared with one of them, which settles a signature of two sets.
-Sets of larger signatures that this leaves in different components meet once more
-by their rarest tokens, so that many sets alike, but not alike enough, make no
-pair. All comparisons are exact.
+Sets of shingles fall into bands of sizes. A band cuts the universe of hashes into
+segments, some more than the differences that it allows, so that linked sets have
+several segments in common. Costs over the whole corpus decide which segments of a
+band are indexed once, with their one-deletion neighbourhood too, or not at all
+(Deng et al., 2015, and Arasu et al., 2006). Of its segments each set indexes a
+subset: it leaves out its lightest, of few or no tokens, as many as there are to
+spare. Those are the ones that unlike sets share.
+
+Nodes are distinct sets, so exact copies never meet as pairs. The sets of one
+signature are compared with the one of them that has most signatures in common with
+others, their lead. Two of its other sets can link outside its component only if
+they differ from the lead in one same token at least. So where a comparison leaves
+a large signature in several components, the differences from its lead are the
+signatures of the next turn: small ones are compared in pairs, larger ones have a
+lead again. All comparisons are exact, and all of them are of sets that share a
+signature.
 """
 
 from __future__ import annotations
@@ -22,25 +26,29 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.llm.components import components, labelled, merged
+from cellsail.llm.sieve import passes, sieve
 from cellsail.llm.store import materialize
 from cellsail.llm.textkit import LOWER, NOT_SPACE, Block, U, blocks, mix, unique_in_doc, windows, word_hashes, words
 
 #: Sizes of a band grow by this ratio, or by 1 / similarity if that is more.
 BAND_RATIO = 1.5
+#: Segments to spare, as a share of those needed.
+SPARE = 0.3
 #: One signature in so many is counted for the costs of segments, of all documents.
 COST_SHARE = 64
 #: Signatures that a task holds before it passes them on.
 TASK_SIGNATURES = 3_000_000
-#: Tokens of so many sets count as common, and so many common tokens at most are broadcast (16 bytes each).
-LEAST_COMMON, MAX_COMMON = 16, 1_000_000
-#: Rounds of comparing each set left apart with one other, before all pairs that may link.
-STAR_TURNS = 2
-#: Sets that one task compares with one other.
-STAR = 512
+#: Sets that one task compares with one lead, and tokens of them that it holds.
+CHUNK, CHUNK_TOKENS = 256, 2_000_000
+#: Sets of a large lead that stand for all of them when tokens are put in order.
+SAMPLE = 32
+#: Groups with so many pairs between components for each of their sets are compared in pairs; beyond that they have a lead.
+#: Each turn allows GROWTH times as many, so that turns come to an end.
+PAIRS, GROWTH = 16, 4
 
 
 @dataclass
@@ -77,20 +85,33 @@ class Bands:
     def largest(self, size: int) -> int:
         return int(size / self.least)
 
-    def segments(self, band: int) -> int:
+    def farthest(self, size: int) -> int:
+        """The most tokens in which a set of this size differs from any linked set."""
+        return self.difference(size, self.largest(size))
+
+    def _needed(self, band: int) -> int:
         while len(self.starts) < band + 2:
             self._reach(self.starts[-1])
         return self.difference(self.starts[band + 1] - 1, self.starts[band + 1] - 1) + 1
 
+    def spare(self, band: int) -> int:
+        return int(self._needed(band) * SPARE)
+
+    def segments(self, band: int) -> int:
+        return self._needed(band) + self.spare(band)
+
     def roles(self, size: int) -> list[tuple[int, int]]:
-        """(band, values needed) for the bands in which a set of this size meets others."""
+        """(band, values needed) for the bands in which a set of this size meets others.
+
+        Linked sets that can differ in nothing are one set, and need no band.
+        """
         own, far = self.of(size), self.largest(size)
         self._reach(far)
         end = self.starts[own + 1] - 1
         out = [(own, self.difference(size, min(far, end)) + 1)]
         if far > end:
             out.append((own + 1, self.difference(size, far) + 1))
-        return out
+        return [x for x in out if x[1] > 1]
 
 
 def doc_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +127,13 @@ def doc_sets(block: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def signatures(size: np.ndarray, h: np.ndarray, bands: Bands, schemes: dict[int, Scheme] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, band, segment, key) of every indexed signature of sets with these sizes and sorted hashes."""
+    """(set, band, segment, key) of every indexed signature of sets with these sizes and sorted hashes.
+
+    Of a role's segments of value 1, the lightest go, as many as the band has to
+    spare: those of fewest tokens, and of equally many those of least key. Linked
+    sets have values of more than that in common, and both rank a segment that
+    they have in common alike among these, so both index the heaviest one.
+    """
     first = np.cumsum(size) - size
     roles: dict[int, list[tuple[int, int]]] = {int(n): bands.roles(int(n)) for n in np.unique(size) if n}
     rows = [(i, b, need) for i, n in enumerate(size.tolist()) if n for b, need in roles[n]]
@@ -114,8 +141,8 @@ def signatures(size: np.ndarray, h: np.ndarray, bands: Bands, schemes: dict[int,
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
     which, band, need = (np.array(x, dtype=np.int64) for x in zip(*rows))
     names, band_at = np.unique(band, return_inverse=True)
-    m_of = np.array([bands.segments(int(b)) for b in names])
-    m = m_of[band_at]
+    m_of, spare_of = (np.array([f(int(b)) for b in names]) for f in (bands.segments, bands.spare))
+    m, spare = m_of[band_at], spare_of[band_at]
     # tokens of each role, in order of hash and so of segment, since segments are ranges of hashes
     n_tokens = size[which]
     role = np.repeat(np.arange(len(which)), n_tokens)
@@ -127,6 +154,7 @@ def signatures(size: np.ndarray, h: np.ndarray, bands: Bands, schemes: dict[int,
     edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     total = np.zeros(int(m.sum()), dtype=U)
     total[cell[edge]] = np.add.reduceat(mixed, edge)
+    weight = np.bincount(cell, minlength=len(total))
     # keys know their band and segment, so that equal tokens elsewhere do not meet
     seg_of = np.arange(len(total)) - np.repeat(base, m)
     role_of = np.repeat(np.arange(len(which)), m)
@@ -137,8 +165,14 @@ def signatures(size: np.ndarray, h: np.ndarray, bands: Bands, schemes: dict[int,
         table = [schemes.get(int(b)) or _plain(int(n)) for b, n in zip(names, m_of)]
         at = (np.cumsum(m_of) - m_of)[band_at][role_of] + seg_of
         value, before = np.concatenate([t.value for t in table])[at], np.concatenate([t.before for t in table])[at]
-    use = (value > 0) & (before < need[role_of])
-    out = [(which[role_of[use]], band[role_of[use]], seg_of[use], mix(total[use] + salt[use]))]
+    use = (value > 0) & (before < (need + spare)[role_of])
+    key = mix(total + salt)
+    once = np.flatnonzero(use & (value == 1))
+    once = once[np.argsort(key[once], kind="stable")]
+    once = once[np.argsort(role_of[once] * (int(weight.max()) + 1) + weight[once], kind="stable")]
+    rank = np.arange(len(once)) - np.searchsorted(role_of[once], np.arange(len(which)))[role_of[once]]
+    use[once[rank < spare[role_of[once]]]] = False
+    out = [(which[role_of[use]], band[role_of[use]], seg_of[use], key[use])]
     twice = use & (value == 2)
     if twice.any():
         one = twice[cell]
@@ -191,31 +225,43 @@ def _first_pass(k: int, bands: Bands, schema: list[str]):
     return work
 
 
+def _schemes(sample: DataFrame, bands: Bands) -> dict[int, Scheme]:
+    """Schemes of bands from the costs of their segments; one row a segment reaches the driver."""
+    met = sample.select("band", "segment", "key", "sid").distinct().groupBy("band", "segment", "key").agg(F.count("*").alias("n"))
+    met = met.groupBy("band", "segment").agg((F.sum(F.col("n") * (F.col("n") - 1) / 2) * COST_SHARE).alias("pairs"), (F.sum("n") * COST_SHARE).alias("sets"))
+    costs: dict[int, list] = {}
+    for r in met.collect():  # as many segments as the largest set has differences, for each band
+        costs.setdefault(r["band"], []).append(r)
+    out = {}
+    for band, rs in costs.items():
+        n = bands.segments(band)
+        pairs = np.zeros(n)
+        pairs[[r["segment"] for r in rs]] = [r["pairs"] for r in rs]
+        out[band] = allocate(n, pairs, float(np.mean([r["sets"] for r in rs])), 0.8 * bands.starts[band + 1])
+    return out
+
+
 def _index(k: int, bands: Bands, schemes):
-    """(a, b, c): a signature and its least set in this task. c is null if the task
-    has no other, the other if it has one more, and b if it has several.
+    """(a, b, c): signatures of the sets of a task.
 
-    The others of several sets come as pairs (b, c), with the lesser one as c and a
-    hash of both as a. However common a signature is, its group gets one row a task.
+    A signature has one row (signature, a set of it, null), or the signature once
+    more as c if the task has other sets of it. The others' rows carry it as c, and
+    a hash of both as a, so that however common a signature is, no task gets all.
     """
 
     def flush(sigs: list, sids: list) -> Iterator[pa.RecordBatch]:
         if not sigs:
             return
-        sig, sid = np.concatenate(sigs), np.concatenate(sids).view(np.int64)
+        sig, sid = np.concatenate(sigs), np.concatenate(sids)
         order = np.lexsort((sid, sig))
         sig, sid = sig[order], sid[order]
         new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))
         sig, sid = sig[new], sid[new]
         head = np.append(True, sig[1:] != sig[:-1])
         n = np.diff(np.append(np.flatnonzero(head), len(sig)))
-        last = sid[np.append(head[1:], True)]
-        yield from _slices(sig[head].view(np.int64), sid[head], np.where(n == 2, last, sid[head]), n == 1)
-        several = ~head & np.repeat(n > 2, n)
-        lead = np.repeat(sid[head], n)
-        pairs = np.unique(np.stack([sid[several], lead[several]], 1), axis=0)
-        both = mix(mix(pairs[:, 0].view(U)) ^ pairs[:, 1].view(U)) if len(pairs) else np.zeros(0, U)
-        yield from _slices(both.view(np.int64), pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), bool))
+        alone = np.repeat(n == 1, n)
+        key = np.where(head, sig, mix(sig ^ mix(sid)))
+        yield from _slices([key.view(np.int64), sid.view(np.int64), sig.view(np.int64)], ["a", "b", "c"], alone)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, sids, held = [], [], 0
@@ -238,65 +284,187 @@ def _index(k: int, bands: Bands, schemes):
     return work
 
 
-def _slices(a: np.ndarray, b: np.ndarray, c: np.ndarray, null: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(a), rows):
+def _slices(columns: list[np.ndarray], names: list[str], last_null: np.ndarray | None = None, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), rows):
         at = slice(i, i + rows)
-        yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c[at], mask=null[at])], ["a", "b", "c"])
-
+        arrays = [pa.array(x[at]) for x in columns]
+        if last_null is not None:
+            arrays[-1] = pa.array(columns[-1][at], mask=last_null[at])
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
-def _met(index: DataFrame) -> DataFrame:
-    """(a, b, hits, two, several): pairs of each set of a signature with its least set.
 
-    two: a signature has these two sets only; several: one has others, or the same
-    set from several tasks, so that this pair does not settle it.
-    """
+def _members(index: DataFrame) -> DataFrame:
+    """(g, a): the sets of each signature that several have."""
     w = Window.partitionBy("a")
-    known = F.when(F.col("c").isNull(), 1).when(F.col("b") < F.col("c"), 2).otherwise(3)
-    rows = index.select("b", "c", F.min(F.least("b", "c")).over(w).alias("lead"), F.sum(known).over(w).alias("n")).filter("n > 1")
-    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
-    found = F.when(F.col("b") > F.col("c"), F.array(pair("b", "c"))).when(F.col("b") < F.col("c"), F.array(pair("b", "lead"), pair("c", "lead"))).otherwise(F.array(pair("b", "lead")))
-    pairs = rows.select(F.explode(found).alias("p"), (F.col("n") == 2).alias("two")).select("p.a", "p.b", "two").filter("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("hits"), F.max("two").alias("two"), F.max(~F.col("two")).alias("several"))
+    rows = index.select("a", "b", "c", F.min("b").over(w).alias("low"), F.max("b").over(w).alias("high"))
+    return rows.filter("low < high OR c IS NOT NULL").select(F.coalesce("c", "a").alias("g"), F.col("b").alias("a")).distinct()
+
+
+def _leads(members: DataFrame) -> DataFrame:
+    """(a, b, several) from members (g, a): sets and the lead of a group of theirs, and whether such a group has more than these two."""
+    ranked = members.join(members.groupBy("a").agg(F.count("*").alias("rank")), "a")
+    lead = ranked.groupBy("g").agg(F.max(F.struct("rank", "a")).alias("x"), F.count("*").alias("n")).select("g", F.col("x.a").alias("b"), (F.col("n") > 2).alias("several"))
+    return members.join(lead, "g").filter("a <> b").groupBy("a", "b").agg(F.max("several").alias("several"))
 
 
-def _verify(k: int):
-    """Rows sorted by group with the group's own set first: (a, b) of members that link with it."""
+def _sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
+    """(sid, tokens) of each active set. Texts whose set is not among them go before the shuffle, but for some that a sieve lets pass."""
+    bits = sieve(active, "sid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, np.zeros(0, U)
+        seen: set[int] = set()
         for batch in batches:
-            key, member = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            salt, percent = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            a, b = [], []
-            for blk in blocks(batch.column(4)):
-                _, h, size, sid = doc_sets(blk, k)
-                end = np.cumsum(size)
-                for i in range(blk.n):
-                    row = blk.row + i
-                    mine = h[end[i] - size[i] : end[i]]
-                    if group != (key[row], salt[row]):
-                        group, own = (key[row], salt[row]), mine
-                    if member[row] == key[row]:
-                        continue
-                    both = len(mine) + len(own)
-                    inter = both - len(np.union1d(mine, own)) if len(mine) and len(own) else 0
-                    if inter and 100 * inter >= int(percent[row]) * (both - inter):
-                        a.append(member[row])
-                        b.append(key[row])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+            for b in blocks(batch.column(0)):
+                _, h, size, sid = doc_sets(b, k)
+                end, sid = np.cumsum(size), sid.view(np.int64)
+                at = [i for i in np.flatnonzero((size > 0) & passes(bits.value, sid)) if sid[i] not in seen and not seen.add(sid[i])]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array([h[end[i] - size[i] : end[i]].tobytes() for i in at], pa.binary())], ["sid", "tokens"])
+                if len(seen) > TASK_SIGNATURES:
+                    seen.clear()
+
+    return texts.mapInArrow(work, "sid long, tokens binary").join(active, "sid", "left_semi").dropDuplicates(["sid"])
+
+
+class _Chunk:
+    """Sets that one task compares with a lead: links, and the differences by which they meet again."""
+
+    def __init__(self, key: tuple[int, int], lead: np.ndarray, bands: Bands, split: bool):
+        self.key, self.lead, self.bands = key, lead, bands
+        self.held: list[tuple[int, np.ndarray, int]] = []
+        self.counted: list[np.ndarray] = []
+        self.tokens, self.own = 0, not split
+        self.order: tuple[np.ndarray, np.ndarray] | None = None
+        self.links: list[int] = []
+        self.out: list[tuple[np.ndarray, ...]] = []
+
+    def sample(self, tokens: np.ndarray) -> None:
+        if self.tokens <= CHUNK_TOKENS:
+            self._count(np.setxor1d(tokens, self.lead, assume_unique=True))
+
+    def _count(self, differ: np.ndarray) -> None:
+        self.counted.append(differ)
+        self.tokens += len(differ)
+
+    def add(self, member: int, tokens: np.ndarray, several: bool) -> None:
+        differ = np.setxor1d(tokens, self.lead, assume_unique=True)
+        union = (len(tokens) + len(self.lead) + len(differ)) // 2
+        if 100 * (union - len(differ)) >= self.bands.percent * union:
+            self.links.append(member)
+        if not several:
+            return
+        if self.order is None and self.own and self.tokens <= CHUNK_TOKENS:
+            self._count(differ)
+            self.held.append((member, differ, len(tokens)))
+            return
+        self._rank()
+        self._differences(member, differ, len(tokens))
+
+    def _rank(self) -> None:
+        """Puts tokens in order, the rarest first, and passes the sets held."""
+        if self.order is None:
+            self.order = np.unique(np.concatenate([*self.counted, np.zeros(0, U)]), return_counts=True)
+            held, self.held, self.counted = self.held, [], []
+            for x in held:
+                self._differences(*x)
+
+    def _differences(self, member: int, differ: np.ndarray, size: int) -> None:
+        """Tokens in order with the most differences that a set which meets this one there first may have."""
+        token, count = self.order
+        n, far = len(differ), self.bands.farthest(size)
+        at = np.minimum(np.searchsorted(token, differ), max(len(token) - 1, 0))
+        often = np.where(token[at] == differ, count[at], 0) if len(token) else np.zeros(n, np.int64)
+        place = np.lexsort((differ, often))[: far + 1]
+        self.out.append((differ[place], np.full(len(place), member), np.full(len(place), n), n + far - 2 * np.arange(len(place))))
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, set, differences, most) of what may meet."""
+        whole = self.own and self.order is None
+        self._rank()
+        if not self.out:
+            return tuple(np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64))
+        token, member, n, most = (np.concatenate(x) for x in zip(*self.out))
+        if whole:  # all sets of the lead are here, so what fits nothing here fits nothing
+            _, at = np.unique(token, return_inverse=True)
+            low, high = np.full(at.max() + 1, 1 << 62), np.zeros(at.max() + 1, np.int64)
+            np.minimum.at(low, at, n)
+            np.maximum.at(high, at, most)
+            fits = (most >= low[at]) & (n <= high[at])
+            fits &= np.bincount(at[fits], minlength=len(low))[at] > 1
+            token, member, n, most = token[fits], member[fits], n[fits], most[fits]
+        return token, member, n, most
+
+
+def _compare(percent: int):
+    """Rows (lead, salt, part, set, several, tokens), sorted, as links (0, set, lead) and differences (1, group, set, n, most).
+
+    part 0 is the lead, which is several if its sets are in several tasks, 1 a set
+    that stands for others, 2 a set to compare.
+    """
+    bands = Bands(percent)
+    names = ["kind", "x", "y", "n", "most"]
+
+    def emit(c: _Chunk) -> Iterator[pa.RecordBatch]:
+        links = np.array(c.links, dtype=np.int64)
+        yield from _slices([np.zeros(len(links), np.int32), links, np.full(len(links), c.key[0]), links, links], names)
+        token, member, n, most = c.close()
+        group = mix(token ^ mix(np.array([c.key[0]], np.int64).view(U)))
+        yield from _slices([np.ones(len(token), np.int32), group.view(np.int64), member, n, most], names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = None
+        for batch in batches:
+            lead, salt, part, member = (batch.column(i).to_numpy() for i in range(4))
+            several, tokens = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+            for i in range(batch.num_rows):
+                mine = np.frombuffer(tokens[i].as_buffer(), dtype=U)
+                if part[i] == 0:
+                    if c is not None:
+                        yield from emit(c)
+                    c = _Chunk((int(lead[i]), int(salt[i])), mine.copy(), bands, bool(several[i]))
+                elif part[i] == 1:
+                    c.sample(mine)
+                else:
+                    c.add(int(member[i]), mine, bool(several[i]))
+        if c is not None:
+            yield from emit(c)
 
     return work
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Each b's pairs go to tasks of STAR at most, each with b's text once."""
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
-    members = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.col("a").alias("member"))
-    heads = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("b").alias("member"))
-    rows = members.unionByName(heads).join(texts.withColumnRenamed("sid", "member"), "member")
-    rows = rows.select("b", "member", "salt", F.lit(percent).alias("percent"), "text", (F.col("member") != F.col("b")).alias("later"))
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "later").drop("later")
-    return rows.mapInArrow(_verify(k), "u long, v long")
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, several) of sets and their leads, compared. A lead's sets go to tasks of about CHUNK, each with the lead."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    own = pairs.join(many, "b")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")
+    rows = own.select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.lit(2).alias("part"), F.col("a").alias("sid"), "several")
+    some = own.filter("parts > 1 AND several").filter(F.pmod(F.xxhash64("a", F.lit(1)), F.col("parts") * (CHUNK // SAMPLE)) == 0)
+    rows = rows.unionByName(some.select("b", salts, F.lit(1).alias("part"), F.col("a").alias("sid"), "several"))
+    rows = rows.unionByName(many.select("b", salts, F.lit(0).alias("part"), F.col("b").alias("sid"), (F.col("parts") > 1).alias("several")))
+    rows = rows.join(sets, "sid").select("b", "salt", "part", "sid", "several", "tokens")
+    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "part", "sid")
+    return rows.mapInArrow(_compare(percent), "kind int, x long, y long, n long, most long")
+
+
+def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | None:
+    """Pairs (a, b, several) that may link two components, from differences (group, set, n, most)."""
+    rows = found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("a"), "n", "most")
+    rows = materialize(_fitting(_fitting(labelled(rows, parts, "a", "c"))), "jaccard-differences")
+    if rows.isEmpty():
+        return None
+    size = rows.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("square"))
+    rows = rows.join(size.select("g", ((F.col("size") * F.col("size") - F.col("square")) / 2 <= PAIRS * GROWTH**turn * F.col("size")).alias("few")), "g")
+    few = rows.filter("few")
+    other = few.select("g", *[F.col(c).alias(f"{c}2") for c in ("a", "c", "n", "most")])
+    pairs = few.join(other, "g").filter("a > a2 AND c <> c2 AND n <= most2 AND n2 <= most").select("a", F.col("a2").alias("b"), F.lit(False).alias("several"))
+    pairs = pairs.unionByName(_leads(rows.filter("NOT few").select("g", "a"))).groupBy("a", "b").agg(F.max("several").alias("several"))
+    pairs = materialize(pairs, "jaccard-pairs")
+    return None if pairs.isEmpty() else pairs
+
+
+def _fitting(rows: DataFrame) -> DataFrame:
+    """Rows of groups whose sets are of several components, and that may fit one of them."""
+    bounds = rows.groupBy("g").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("g", "low", "high")
+    return rows.join(bounds, "g").filter("most >= low AND n <= high").drop("low", "high")
 
 
 def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -305,174 +473,44 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     A text's set has its distinct shingles of k words [^\\x20\\x09-\\x0D]+, A-Z
     lower-cased; a text with fewer words, but some, has the sequence of all of them.
     Texts link when 100 * intersection >= percent * union. component_id is the
-    least id that links reach. Empty and null texts have set size 0, link with
-    nothing, and are their own component; a null id counts only if all are null.
-    component_set names the component by one of its sets, since ids may be shared
-    or null; it is null for empty texts.
-    Sets are told apart by 64-bit hashes.
+    least id that links reach; ids are whole numbers, or text that casts to them.
+
+    Empty and null texts have set size 0, link with nothing, and are their own
+    component; a null id counts only if all are null. component_set names the
+    component by one of its sets, since ids may be shared or null; it is null for
+    empty texts. Repeated rows get equal results, an empty table gives no rows, a
+    text of any length is one set, and other columns may have any name. Ties of
+    leads change the work only. Sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     bands = Bands(percent)
     inner = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner)], F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("pick"), F.col(text_col).alias("text"))
-    kept = ["kind", *inner, "id", "pick", "n", "sid", "band", "segment", "key"]
-    ddl = ", ".join(["kind int", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, inner)), "id long, pick long, n long, sid long, band long, segment long, key long"])
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner)], F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = ["kind", *inner, "id", "n", "sid", "band", "segment", "key"]
+    ddl = ", ".join(["kind int", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, inner)), "id long, n long, sid long, band long, segment long, key long"])
     first = materialize(rows.mapInArrow(_first_pass(k, bands, kept), ddl), "jaccard-sets")
-    nodes = first.filter("kind = 0").select(*inner, "id", "pick", "n", "sid")
-
-    # how many pairs of sets would meet at each segment, estimated from one key in COST_SHARE
-    met = first.filter("kind = 1").select("band", "segment", "key", "sid").distinct().groupBy("band", "segment", "key").agg(F.count("*").alias("n"))
-    met = met.groupBy("band", "segment").agg((F.sum(F.col("n") * (F.col("n") - 1) / 2) * COST_SHARE).alias("pairs"), (F.sum("n") * COST_SHARE).alias("sets"))
-    costs: dict[int, list] = {}
-    for r in met.collect():  # one row a segment: as many as the largest set has differences, for each band
-        costs.setdefault(r["band"], []).append(r)
-    schemes = {}
-    for band, rs in costs.items():
-        n = bands.segments(band)
-        pairs = np.zeros(n)
-        pairs[[r["segment"] for r in rs]] = [r["pairs"] for r in rs]
-        schemes[band] = allocate(n, pairs, float(np.mean([r["sets"] for r in rs])), 0.8 * bands.starts[band + 1])
-    shared = spark.sparkContext.broadcast(schemes)
+    nodes = first.filter("kind = 0").select(*inner, "id", "n", "sid")
+    shared = spark.sparkContext.broadcast(_schemes(first.filter("kind = 1"), bands))
 
     index = rows.select("text").mapInArrow(_index(k, bands, shared), "a long, b long, c long")
-    pairs = materialize(_met(index), "jaccard-pairs")
-
-    # texts of the sets in pairs, one document each, by its id or else a hash of its text
-    active = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = nodes.groupBy("sid").agg(F.min("pick").alias("pick")).join(active, "sid")
-    named = rows.select("pick", "text").filter(F.col("text").isNotNull())
-    texts = materialize(named.join(chosen.hint("shuffle_hash"), "pick").select("sid", "text").mapInArrow(_same_set(k), "sid long, text string"), "jaccard-texts")
-
-    # each set with the one it shares most signatures with
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-    links = materialize(_linked(best, texts, k, percent), "jaccard-links")
-    parts = materialize(components(links), "jaccard-components")
-
-    # pairs that are all of a signature
-    rest = materialize(_apart(pairs.filter("two"), parts).select("a", "b").join(best, ["a", "b"], "left_anti"), "jaccard-rest")
-    parts = merged(parts, materialize(_linked(rest, texts, k, percent), "jaccard-links"))
-
-    # sets of components that larger signatures left apart: only they can have links not yet seen
-    apart = _apart(pairs.filter("several"), parts)
-    ends = apart.select("ca").unionByName(apart.select(F.col("cb").alias("ca"))).distinct()
-    whole = labelled(texts.select("sid").distinct(), parts, "sid", "c")
-    left = whole.join(ends, whole["c"] == ends["ca"], "left_semi")
-    left = materialize(texts.join(left, "sid").select("sid", "text"), "jaccard-apart")
-    rows = _prefixes(left, k, percent)
-    for turn in range(STAR_TURNS):
-        near = _prefix_stars(labelled(rows, parts, "sid", "c"), turn)
-        parts = merged(parts, materialize(_linked(near, texts, k, percent), "jaccard-links"))
-    cross = _prefix_pairs(labelled(rows, parts, "sid", "c")).join(best.unionByName(rest), ["a", "b"], "left_anti")
-    parts = merged(parts, materialize(_linked(cross, texts, k, percent), "jaccard-links"))
+    members = materialize(_members(index), "jaccard-members")
+    pairs = materialize(_leads(members), "jaccard-pairs")
+    sets = materialize(_sets(rows.select("text"), members.select(F.col("a").alias("sid")), k), "jaccard-tokens")
+
+    parts, turn = None, 0
+    while pairs is not None:
+        found = materialize(_compared(pairs, sets, percent), "jaccard-found")
+        links = found.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        parts = merged(parts, links) if parts is not None else materialize(components(links), "jaccard-components")
+        pairs = _next_pairs(found, parts, turn)
+        turn += 1
 
     comp = labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")
     roots = comp.groupBy("c").agg(F.min("id").alias("root"))
     by_set = comp.join(roots, "c").select(F.col("sid").alias("s"), "root", "c")
     out = nodes.join(by_set, (nodes["sid"] == by_set["s"]) & (nodes["n"] > 0), "left")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("component_id"), F.col("c").alias("component_set"))
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    return labelled(labelled(pairs.select("a", "b"), parts, "a", "ca"), parts, "b", "cb").filter("ca <> cb")
-
-
-def _same_set(k: int):
-    """Rows whose text has the set named, once a task; a repeated id may bring other texts and copies."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            sid = np.concatenate([np.zeros(0, U), *(doc_sets(b, k)[3] for b in blocks(batch.column(1)))]).view(np.int64)
-            own = zip(batch.column(0).to_pylist(), sid.tolist())
-            yield batch.filter(pa.array([x == y and x not in seen and not seen.add(x) for x, y in own], pa.bool_()))
-            if len(seen) > TASK_SIGNATURES:
-                seen.clear()
-
-    return work
-
-
-def _prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(t, sid, n, most): tokens by which (sid, text) rows can find sets that link, with the largest partner each serves.
-
-    Linked sets of sizes n and m share o = ceil(percent * (n + m) / (100 + percent))
-    tokens, so with any one order of tokens the first n - o + 1 of one and the first
-    m - o + 1 of the other have one in common. The rarest among these sets come first.
-    """
-    common = sets.mapInArrow(_repeated(k), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    total = common.agg(F.sum("n")).collect()[0][0] or 0
-    listed = common.filter(F.col("n") >= max(LEAST_COMMON, int(total) // MAX_COMMON)).toArrow()  # at most MAX_COMMON rows
-    t, n = np.array(listed["t"], dtype=np.int64), np.array(listed["n"], dtype=np.int64)
-    order = np.argsort(t)
-    shared = sets.sparkSession.sparkContext.broadcast((t[order], n[order]))
-    return materialize(sets.mapInArrow(_prefix_rows(k, percent, shared), "t long, sid long, n long, most long"), "jaccard-prefixes")
-
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner)], F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), _root().alias("component_id"), F.col("c").alias("component_set"))
 
-def _useful(rows: DataFrame) -> DataFrame:
-    """Rows whose token has sets of another component that may fit.
 
-    Among many sets alike but for a few tokens of each, the tokens of all come
-    late, and no two rows of one fit each other; such rows go here.
-    """
-    bounds = rows.groupBy("t").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("t", "low", "high")
-    return rows.join(bounds, "t").filter("most >= low AND n <= high").drop("low", "high")
-
-
-def _prefix_stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Each set with one set (a, b) of another component that may link: of the first of each token, the one met most."""
-    rows = _useful(rows)
-    first = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("most").alias("most2"))).alias("x")).select("t", "x.*")
-    met = rows.join(first, "t").filter("c <> c2 AND n2 <= most AND n <= most2")
-    return met.groupBy("sid", "b").agg(F.count("*").alias("hits")).groupBy(F.col("sid").alias("a")).agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
-
-
-def _prefix_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs a > b of different components that may link."""
-    rows = _useful(rows)
-    y = rows.select(F.col("t").alias("t2"), F.col("sid").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("most").alias("most2"))
-    fits = (F.col("t") == F.col("t2")) & (F.col("c") != F.col("c2")) & (F.col("sid") > F.col("b")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
-    return rows.join(y, fits).select(F.col("sid").alias("a"), "b").distinct()
-
-
-def _repeated(k: int):
-    """Tokens that several sets of a task have, and how many."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            parts = [doc_sets(b, k)[1].view(np.int64) for b in blocks(batch.column(1))]
-            own, n = np.unique(np.concatenate([found, *parts]), return_inverse=True)
-            found, counts = own, np.bincount(n, weights=np.concatenate([counts, np.ones(len(n) - len(counts), np.int64)]), minlength=len(own)).astype(np.int64)
-            if len(found) > TASK_SIGNATURES:
-                yield _counts(found, counts)
-                found, counts = found[:0], counts[:0]
-        yield _counts(found, counts)
-
-    return work
-
-
-def _counts(t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    some = n > 1
-    return pa.RecordBatch.from_arrays([pa.array(t[some]), pa.array(n[some])], ["t", "n"])
-
-
-def _prefix_rows(k: int, percent: int, shared):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        for batch in batches:
-            sids = batch.column(0).to_numpy()
-            for b in blocks(batch.column(1)):
-                doc, h, size, _ = doc_sets(b, k)
-                t = h.view(np.int64)
-                at = np.searchsorted(common, t)
-                at[at == len(common)] = 0
-                often = np.where(common[at] == t, counts[at], 0) if len(common) else np.zeros(len(t), np.int64)
-                order = np.lexsort((t, often, doc))
-                doc, t = doc[order], t[order]
-                n = size[doc].astype(np.int64)
-                place = np.arange(len(t)) - (np.cumsum(size) - size)[doc]
-                most = ((100 + percent) * (n - place)) // percent - n
-                use = 100 * most >= percent * n
-                d = doc[use]
-                yield pa.RecordBatch.from_arrays([pa.array(t[use]), pa.array(sids[b.row + d]), pa.array(n[use]), pa.array(most[use])], ["t", "sid", "n", "most"])
-
-    return work
+def _root() -> Column:
+    return F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id"))

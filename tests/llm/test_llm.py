@@ -80,11 +80,11 @@ def test_links_found_later_join_components(spark, seed):
     assert len(got) == len(root) and {r["node"]: r["component"] for r in got} == root
 
 
-def test_rare_tokens_find_what_stars_miss():
+def test_bands_and_allocation():
     bands = jaccard_join.Bands(90)
     for n in range(1, 400):
         for m in range(n, bands.largest(n) + 1):
-            assert {b for b, _ in bands.roles(n)} & {b for b, _ in bands.roles(m)}
+            assert bands.difference(n, m) == 0 or {b for b, _ in bands.roles(n)} & {b for b, _ in bands.roles(m)}
     known = len(bands.starts)
     for _ in range(3000):
         assert bands.segments(4) == bands.segments(4)
@@ -93,6 +93,48 @@ def test_rare_tokens_find_what_stars_miss():
     assert s.value.sum() == 6 and s.value[4] == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_signature(percent):
+    rng, bands = np.random.default_rng(percent), jaccard_join.Bands(percent)
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, 1 + max(1, len(a) // 8)) :], rng.integers(0, 1 << 63, rng.integers(0, 1 + max(1, len(a) // 8)), dtype=np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        linked = inter and 100 * inter >= percent * (len(a) + len(b) - inter)
+        schemes = {}
+        for x in range(20):
+            value = rng.permutation([2, 0] * (bands.segments(x) // 3) + [1] * (bands.segments(x) - bands.segments(x) // 3 * 2))
+            schemes[x] = jaccard_join.Scheme(len(value), value, np.cumsum(value) - value)
+        for s in (None, schemes):
+            own = [set(jaccard_join.signatures(np.array([len(x)]), x, bands, s)[3].tolist()) for x in (a, b)]
+            assert not linked or np.array_equal(a, b) or own[0] & own[1]
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 40)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 1)
+    rng = random.Random(5)
+    base = ["w%d" % i for i in range(70)]
+    texts = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 5])):
+            w[rng.randrange(70)] = rng.choice(["x", "y%d" % rng.randrange(9), "z%d" % i])
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    while True:
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 90 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs_of(spark, texts), ["doc_id"], 3, 90).collect()}
+    assert got == dict(enumerate(root))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     texts = [*texts_of(seed, 60), "a" * 450, "ab" * 200, "a" * 99]
@@ -121,6 +163,30 @@ def test_suffix_dedup_hot_anchors_and_repeated_ids(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.remove_repeats(twice).collect())) == sorted([*a, *a])
 
 
+def test_suffix_dedup_comes_from_arrays(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "TASK_WINDOWS", 30)
+    texts = [*texts_of(8, 40), None, "", "line of a licence that very many texts have, word for word, again and again, and that is long enough"] * 3
+    rows = [(0, i, 0, (t or "").encode()) for i, t in enumerate(texts) if len((t or "").encode()) >= 100]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array([i for _, i, _, _ in rows]), pa.array([0] * len(rows)), pa.array([0] * len(rows)), pa.array([1] * len(rows)), pa.array([r[3] for r in rows], pa.binary())], list("abcdef"))
+    got = [(k, lo + j) for out in suffix_dedup._mark_windows(100)(iter([batch])) for k, _, lo, n in zip(*(out.column(c).to_pylist() for c in range(4))) for j in range(n)]
+    seen, want = set(), []
+    for _, i, _, raw in rows:
+        for s in range(len(raw) - 99):
+            want += [(i, s)] * (raw[s : s + 100] in seen)
+            seen.add(raw[s : s + 100])
+    assert sorted(got) == sorted(want)
+
+
+def test_suffix_dedup_of_one_long_text_and_of_none(spark):
+    rng = np.random.default_rng(3)
+    part = rng.integers(97, 122, 3_000_000, dtype=np.uint8).tobytes().decode()
+    text = part + "z" + part[1_000_000:2_500_000]
+    got = {r["doc_id"]: tuple(r) for r in suffix_dedup.remove_repeats(docs_of(spark, [text, "short"])).collect()}
+    assert got[0] == (0, 4_500_001, 1_500_000, 1, hashlib.sha256((part + "z").encode()).hexdigest())
+    assert suffix_dedup.remove_repeats(docs_of(spark, ["x"]).limit(0)).collect() == []
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for t in range(60):
