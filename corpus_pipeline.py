@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.
+
+In all stages: a null or empty text is scored, counted and redacted as an empty
+one, and is kept by every filter that has no other reason to drop it. Texts of any
+length are taken whole. Rows that are equal in all columns get equal decisions; only
+the near-duplicate stage leaves one of them. An empty table gives an empty result.
+Columns beyond those of documents are carried along, whatever their names; the
+stages' own columns are named apart from them.
 """
 
 from __future__ import annotations
@@ -15,51 +22,66 @@ from cellsail.llm.store import materialize
 from cellsail.llm.training import remainder
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with names that no operator uses: text, doc_id and source stay, others are numbered."""
+    own = {"text", "doc_id", "source"}
+    names = [c if c in own else f"carried_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model, docs.columns).filter("score < 0.5").drop("score")
+    """Documents with a toxicity score of 0.5 or more go; a tie at 0.5 goes. A null id learns from no label."""
+    ours, names = _apart(docs)
+    model = toxicity.fit(ours, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.score(ours, model, names).filter("score < 0.5").select(names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that links of Jaccard 0.8 on five-word shingles join, one with the least id stays; null ids come last.
 
     Ids may be null or shared: components go by their sets, and rows by two hashes
-    of all their columns, alike at every run. Texts without words all stay.
+    of all their columns, alike at every run; of rows with one id the one of least
+    hashes stays. Texts without words all stay.
     """
-    key, values = ["_key1", "_key2"], [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    keyed = docs.select("*", *[F.xxhash64(F.lit(k), *values).alias(k) for k in key])
+    ours, names = _apart(docs)
+    values = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    keyed = ours.select("*", *[F.xxhash64(F.lit(k), *values).alias(k) for k in ("key1", "key2")])
+    key = ["key1", "key2"]
     found = jaccard_join.jaccard_components(keyed, ["doc_id", *key], k=5, percent=80).filter("n_shingles > 0")
     found = materialize(found.select("component_set", "doc_id", *key), "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *key)
     first = found.groupBy("component_set").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    ours = (F.col("first._key1") == F.col("_key1")) & (F.col("first._key2") == F.col("_key2"))
-    judged = found.join(first.drop("n"), "component_set").groupBy(*key).agg(F.max(~ours).alias("gone"), F.count("*").alias("n"))
+    ours_is_first = (F.col("first.key1") == F.col("key1")) & (F.col("first.key2") == F.col("key2"))
+    judged = found.join(first.drop("n"), "component_set").groupBy(*key).agg(F.max(~ours_is_first).alias("gone"), F.count("*").alias("n"))
     judged = materialize(judged.filter("gone OR n > 1").select(*key, "gone"), "near-judged")
     kept = keyed.join(judged, key, "left_anti")
     equal = judged.filter("NOT gone").select(*key)
     if not equal.isEmpty():  # rows alike in all columns: one of them
         kept = kept.unionByName(keyed.join(equal, key, "left_semi").dropDuplicates(key))
-    return kept.drop(*key)
+    return kept.select(names).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth of their words or more in benchmark windows go."""
-    return decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark"), docs.columns).filter(~F.col("contaminated")).select(docs.columns)
+    """Documents with a twentieth of their words or more in benchmark windows go; without words, or without items, none."""
+    ours, names = _apart(docs)
+    found = decontaminate.find_windows(ours, table(spark, sf_dir, "benchmark"), names)
+    return found.filter(~F.col("contaminated")).select(names).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by a mark; n_chars follows the text."""
-    found = secret_scan.scan(docs, docs.columns)
-    text = F.when(F.size("all_spans") > 0, secret_scan.redact(F.col("text"), F.col("all_spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    """Every span found is replaced by a mark; n_chars follows the text. A null text stays null."""
+    ours, names = _apart(docs)
+    found = secret_scan.scan(ours, names)
+    has = F.size("all_spans") > 0
+    out = found.withColumn("text", F.when(has, secret_scan.redact(F.col("text"), F.col("all_spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        size = names[docs.columns.index("n_chars")]
+        out = out.withColumn(size, F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size)))
+    return out.select(names).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes from each document."""
+    """The words that the mix takes from each document; none from a text without words."""
     return mixing.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
