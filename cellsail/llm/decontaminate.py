@@ -19,22 +19,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from cellsail.llm.textkit import ALNUM, LOWER, Block, Words, blocks, windows, word_hashes, words
+from cellsail.llm.textkit import ALNUM, LOWER, Block, Words, blocks, mix, windows, word_hashes, words
 
 WINDOW, SHINGLE = 13, 3
-#: Bytes of item texts of one block of the benchmark; each block is broadcast by itself.
-BLOCK_TEXT_BYTES = 32 << 20
+#: Bytes of item texts of one block of the benchmark; each block is broadcast by itself, as arrays of some ten times its size.
+BLOCK_TEXT_BYTES = 8 << 20
+#: Windows whose shingles are compared at a time.
+TURN = 50_000
+
+
+@dataclass
+class Items:
+    """A block of items: their words joined by spaces, and the distinct windows of these."""
+
+    text: bytes
+    word: np.ndarray  # where each word begins in text
+    shingles: dict[int, np.ndarray]  # hash of the shingle of each size at each word
+    first: np.ndarray  # first word of each window
+    length: np.ndarray  # its words
+    at: np.ndarray  # where its items begin in ids
+    ids: np.ndarray
 
 
 @dataclass
 class Windows:
-    """Windows of one block of items, by their prefix shingle."""
+    """Windows of a block that can occur, by their prefix shingle."""
 
     shingle: np.ndarray  # sorted; of each window
     offset: np.ndarray  # of the shingle in the window, in words
     length: np.ndarray  # of the window, in words
-    text: list[bytes]  # its words, joined by spaces
-    items: list[list[str]]  # ids of the items that have it
+    start: np.ndarray  # its bytes in text
+    end: np.ndarray
+    at: np.ndarray  # its items in ids
+    upto: np.ndarray
+    text: bytes
+    ids: np.ndarray
 
 
 def _word_bytes(buf: np.ndarray, w: Words, i: int, n: int) -> bytes:
@@ -47,29 +66,56 @@ def _shingles(h: np.ndarray, w: Words, sizes: list[int]) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def item_windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[bytes, list]:
-    """Text of each distinct window: [its shingles in order, its words, ids of its items]."""
-    found: dict[bytes, list] = {}
-    for b in blocks(pa.array([t for _, t in items], pa.string())):
+def item_windows(names: list[str], texts: pa.Array, window: int = WINDOW) -> Items:
+    """Distinct windows of the items, by two hashes; an item of fewer words, but some, is one window."""
+    parts, n_words, n_bytes = [], 0, 0
+    for b in blocks(texts):
         buf = LOWER[b.buf]
         w = words(b, buf, ALNUM)
         h = word_hashes(buf, w)
-        by_size = {}
+        first, doc, one = windows(h, w, window, whole_if_fewer=True)
+        two = windows(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), w, window, whole_if_fewer=True)[2]
+        short = []
         for s in range(1, SHINGLE + 1):
-            first, _, shingle = windows(h, w, s)
-            by_size[s] = dict(zip(first.tolist(), shingle.tolist()))
-        for d in range(b.n):
-            n, f = int(w.count[d]), int(w.first[d])
-            k = min(n, window)
-            s = min(k, SHINGLE)
-            for i in range(f, f + n - k + 1) if n else ():
-                own = found.setdefault(_word_bytes(buf, w, i, k), [[by_size[s][j] for j in range(i, i + k - s + 1)], k, []])
-                if items[b.row + d][0] not in own[2]:
-                    own[2].append(items[b.row + d][0])
-    return found
-
-
-def _count_shingles(docs: DataFrame, text_col: str, wanted: np.ndarray, sizes: list[int]) -> dict[int, int]:
+            own = np.zeros(len(h), np.uint64)
+            place, _, value = windows(h, w, s)
+            own[place] = value
+            short.append(own)
+        # the byte after each word stays, as a space
+        keep = ALNUM[buf]
+        text = np.where(keep, buf, 32).astype(np.uint8)
+        keep[w.end] = True
+        size = w.end - w.start + 1
+        parts.append((text[keep].tobytes(), np.cumsum(size) - size + n_bytes, short, first + n_words, np.minimum(w.count[doc], window), doc + b.row, one, two))
+        n_words, n_bytes = n_words + len(h), n_bytes + int(size.sum())
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Items(b"", none, {s: none.astype(np.uint64) for s in range(1, SHINGLE + 1)}, none, none, none, none)
+    text = b"".join(p[0] for p in parts)
+    word, first, length, item, one, two = (np.concatenate([p[i] for p in parts]) for i in (1, 3, 4, 5, 6, 7))
+    shingles = {s: np.concatenate([p[2][s - 1] for p in parts]) for s in range(1, SHINGLE + 1)}
+    code = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    item = np.array([code[n] for n in names], dtype=np.int64)[item]
+    by = np.lexsort((item, two, one))
+    one, two, item = one[by], two[by], item[by]
+    new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)]
+    own = new | np.append(True, item[1:] != item[:-1])[: len(one)]
+    at = np.append(np.cumsum(own) - own, own.sum())[np.append(np.flatnonzero(new), len(one))]
+    return Items(text, word, shingles, first[by][new], length[by][new], at, np.array(list(code), dtype=object)[item[own]])
+
+
+def _wanted(items: Items) -> np.ndarray:
+    """The shingles of all windows, sorted."""
+    n, found = items.length, [np.zeros(0, np.uint64)]
+    for k in np.unique(n).tolist():
+        s = min(SHINGLE, k)
+        first = items.first[n == k]
+        for j in range(k - s + 1):
+            found.append(np.unique(items.shingles[s][first + j]))
+    return np.unique(np.concatenate(found))
+
+
+def _count_shingles(docs: DataFrame, text_col: str, wanted: np.ndarray, sizes: list[int]) -> np.ndarray:
     """How often each wanted shingle occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -87,7 +133,9 @@ def _count_shingles(docs: DataFrame, text_col: str, wanted: np.ndarray, sizes: l
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["which", "n"])
 
     rows = docs.select(text_col).mapInArrow(work, "which long, n long").groupBy("which").agg(F.sum("n").alias("n")).toArrow()
-    return {int(wanted[k]): n for k, n in zip(rows["which"].to_pylist(), rows["n"].to_pylist())}
+    counts = np.zeros(len(wanted), dtype=np.int64)
+    counts[rows["which"].to_numpy()] = rows["n"].to_numpy()
+    return counts
 
 
 class _Lookup:
@@ -111,14 +159,25 @@ class _Lookup:
         return at[good], k[good]
 
 
-def _prefixes(found: dict[bytes, list], counts: dict[int, int]) -> Windows:
-    rows = []
-    for text, (shingles, k, ids) in found.items():
-        rare = min(range(len(shingles)), key=lambda i: (counts.get(shingles[i], 0), shingles[i], i))
-        if counts.get(shingles[rare], 0):  # else no document has the window
-            rows.append((shingles[rare], rare, k, text, ids))
-    rows.sort(key=lambda r: (r[0], r[1], r[3]))
-    return Windows(np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64), [r[3] for r in rows], [r[4] for r in rows])
+def _prefixes(items: Items, wanted: np.ndarray, counts: np.ndarray) -> Windows:
+    """Each window by its rarest shingle; windows with one that no document has go."""
+    n = len(items.first)
+    value, offset, seen = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, dtype=bool)
+    for k in np.unique(items.length).tolist():
+        s = min(SHINGLE, k)
+        rows = np.flatnonzero(items.length == k)
+        for i in range(0, len(rows), TURN):
+            own = rows[i : i + TURN]
+            x = items.shingles[s][items.first[own][:, None] + np.arange(k - s + 1)]
+            often = counts[np.searchsorted(wanted, x)]
+            least = often.min(axis=1)
+            place = np.where(often == least[:, None], x, np.iinfo(np.uint64).max).argmin(axis=1)
+            value[own], offset[own], seen[own] = x[np.arange(len(own)), place], place, least > 0
+    use = np.flatnonzero(seen)
+    use = use[np.argsort(value[use], kind="stable")]
+    start, after = items.word[items.first[use]], items.first[use] + items.length[use]
+    end = np.append(items.word, len(items.text))[after] - 1
+    return Windows(value[use], offset[use], items.length[use], start, end, items.at[use], items.at[use + 1], items.text, items.ids)
 
 
 def _hits(block: Block, table: Windows, lookup: _Lookup, upto: np.ndarray) -> tuple[Words, list[tuple[int, int, int]]]:
@@ -136,7 +195,7 @@ def _hits(block: Block, table: Windows, lookup: _Lookup, upto: np.ndarray) -> tu
     fits = (start >= w.first[d]) & (start + table.length[which] <= w.first[d] + w.count[d])
     out = []
     for s, x, k in zip(start[fits].tolist(), d[fits].tolist(), which[fits].tolist()):
-        if _word_bytes(buf, w, s, int(table.length[k])) == table.text[k]:
+        if _word_bytes(buf, w, s, int(table.length[k])) == table.text[table.start[k] : table.end[k]]:
             out.append((s, x, k))
     return w, out
 
@@ -147,7 +206,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
     The benchmark is the stated query set: it is taken in blocks of block_bytes of
     text, each broadcast by itself, and every document meets every block in one
     pass. Items with a null id or without words are left out; rows of one item id
-    are one item. A null text has no words.
+    are one item. A null or empty text has no words. Repeated rows get equal results,
+    an empty table none; an empty benchmark hits nothing; texts of any length are
+    taken whole. Carried columns may not have the names of the results.
     """
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("t"))
@@ -159,9 +220,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
     for i in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
         got = part.toArrow()
-        found = item_windows(list(zip(got["item"].to_pylist(), got["t"].to_pylist())), window)
-        wanted = np.unique(np.array([s for v in found.values() for s in v[0]], dtype=np.uint64))
-        table = _prefixes(found, _count_shingles(docs, text_col, wanted, sorted({min(SHINGLE, v[1]) for v in found.values()})))
+        found = item_windows(got["item"].to_pylist(), got["t"].combine_chunks(), window)
+        wanted = _wanted(found)
+        table = _prefixes(found, wanted, _count_shingles(docs, text_col, wanted, sorted({min(SHINGLE, int(k)) for k in np.unique(found.length)})))
         state = state.mapInArrow(_search(spark.sparkContext.broadcast(table), inner), inner)
     schema = StructType([*plain, *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType())])
     out = state.mapInArrow(_summary(schema), schema)
@@ -182,7 +243,7 @@ def _search(shared, schema: StructType):
                 for start, d, k in found:
                     # word positions in the text, and the window's length
                     hits[b.row + d] += [start - int(w.first[d]), int(table.length[k])]
-                    ids[b.row + d] = sorted({*ids[b.row + d], *table.items[k]})
+                    ids[b.row + d] = sorted({*ids[b.row + d], *table.ids[table.at[k] : table.upto[k]]})
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(hits, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))], schema.fieldNames())
 
     return work
