@@ -2,9 +2,9 @@
 
 A source's target over its size is the copies that each of its documents should
 get. The whole copies are certain; the fractions are rounded together. A step
-takes two documents and moves words from one to the other, at random but fair in
-expectation, until one of the two fractions is 0 or 1. The fractional words of a
-source thereby stay what they were, but for one last document.
+pairs a document with smaller ones and moves words from one side to the other, at
+random but fair in expectation, until the document's fraction is 0 or 1. The
+fractional words of a source thereby stay what they were, but for one last document.
 
 Leaves of about LEAF documents of one source are rounded in parallel. Each
 leaves one residual document at most, and a reduction tree combines the
@@ -59,29 +59,34 @@ def targets(sizes: DataFrame, source_col: str) -> DataFrame:
 def round_fractions(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Round all but one of p to 0 or 1, keeping sum(size * p): (0, 1 or -1 for the one left; its p).
 
-    Each p keeps its expectation, whatever the order. With large documents first,
-    the one left tends to be small.
+    Documents come with the largest first. Each in turn is paired with all that come
+    after it, which give or take words in proportion to what they can either way,
+    until its own fraction is 0 or 1. Each p keeps its expectation; the one left is
+    among the last, so it is small.
     """
-    out = np.full(len(p), -1, dtype=np.int64)
-    q = p.astype(np.float64).copy()
+    q, s = p.astype(np.float64).copy(), size.astype(np.float64)
     eps = 1e-12
-    out[q <= eps], out[q >= 1 - eps] = 0, 1
-    i = -1
-    for j in np.flatnonzero(out < 0):
-        if i < 0:
-            i = j
-            continue
-        # mass is in words: what one loses, the other gets
-        up = min((1 - q[i]) * size[i], q[j] * size[j])
-        down = min(q[i] * size[i], (1 - q[j]) * size[j])
-        move = up if draws[j] < down / (up + down) else -down
-        q[i] += move / size[i]
-        q[j] -= move / size[j]
-        for k in (i, j):
-            if q[k] <= eps or q[k] >= 1 - eps:
-                out[k] = int(q[k] > 0.5)
-        if out[i] >= 0:
-            i = j if out[j] < 0 else -1
+    out = np.where(q <= eps, 0, np.where(q >= 1 - eps, 1, -1))
+    rng = np.random.default_rng((draws * (1 << 52)).astype(np.uint64))
+    left = np.flatnonzero(out < 0)
+    for at, i in enumerate(left):
+        rest = left[at + 1 :]
+        while eps < q[i] < 1 - eps:
+            able = np.minimum(q[rest], 1 - q[rest]) * s[rest]
+            able[able <= eps * s[rest]] = 0.0
+            total = able.sum()
+            if total <= 0:
+                break
+            # mass is in words: what one loses, the others get
+            up, down = min((1 - q[i]) * s[i], total), min(q[i] * s[i], total)
+            move = up if rng.random() < down / (up + down) else -down
+            q[i] += move / s[i]
+            q[rest] -= move * able / total / s[rest]
+        if q[i] <= eps or q[i] >= 1 - eps:
+            out[i] = int(q[i] > 0.5)
+    open_ = np.flatnonzero(out < 0)
+    done = open_[(q[open_] <= eps) | (q[open_] >= 1 - eps)]
+    out[done] = (q[done] > 0.5).astype(int)
     return out, q
 
 
