@@ -22,7 +22,7 @@ N_FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
 #: Rows of either sample, in expectation. Both are of labelled rows; the second does not look at the label.
 MAX_POSITIVE, MAX_UNLABELLED = 1200, 2500
 #: Standard errors by which a feature must be commoner among the positives.
-MIN_Z = 4.5
+MIN_Z = 2.5
 #: Penalty of a weight's size, and the size from which it counts.
 SPARSE, MIN_WEIGHT = 1e-4, 0.2
 
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     q = (count_columns(at, cols, ~positive, N_FEATURES) + 0.5) / (n_free + 1)
     chosen = (p - q) / np.sqrt(p * (1 - p) / n_pos + q * (1 - q) / n_free) > MIN_Z
     # a feature of positives only is 1 / prior times as common among them as among all texts
-    chosen &= p > 0.4 / prior * q
+    chosen &= p > 0.25 / prior * q
     use = chosen[cols]
     starts = np.concatenate([[0], np.cumsum(use, dtype=np.int64)])[at]
     cols = cols[use]
