@@ -14,8 +14,11 @@ others, their lead. Two of its other sets can link outside its component only if
 they differ from the lead in one same token at least. So where a comparison leaves
 a large signature in several components, the differences from its lead are the
 signatures of the next turn: small ones are compared in pairs, larger ones have a
-lead again. All comparisons are exact, and all of them are of sets that share a
-signature.
+lead again. All comparisons are of sets that share a signature.
+
+Comparisons are first of images of the sets, which have half of each token: images
+differ in no more tokens than their sets, so what they leave apart is apart. What
+they leave together is compared exactly.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ SPARE = 0.3
 #: One signature in so many is counted for the costs of segments, of all documents.
 COST_SHARE = 64
 #: Signatures that a task holds before it passes them on.
-TASK_SIGNATURES = 3_000_000
+TASK_SIGNATURES = 1_000_000
 #: Sets that one task compares with one lead, and tokens of them that it holds.
 CHUNK, CHUNK_TOKENS = 256, 2_000_000
 #: Sets of a large lead that stand for all of them when tokens are put in order.
@@ -307,8 +310,11 @@ def _leads(members: DataFrame) -> DataFrame:
     return members.join(lead, "g").filter("a <> b").groupBy("a", "b").agg(F.max("several").alias("several"))
 
 
-def _sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """(sid, tokens) of each active set. Texts whose set is not among them go before the shuffle, but for some that a sieve lets pass."""
+def _sets(texts: DataFrame, active: DataFrame, k: int, exact: bool) -> DataFrame:
+    """(sid, n, tokens) of each active set, tokens of 8 bytes, or of the 4 of its image.
+
+    Texts whose set is not active go before the shuffle, but for some that a sieve lets pass.
+    """
     bits = sieve(active, "sid")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,18 +324,19 @@ def _sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
                 _, h, size, sid = doc_sets(b, k)
                 end, sid = np.cumsum(size), sid.view(np.int64)
                 at = [i for i in np.flatnonzero((size > 0) & passes(bits.value, sid)) if sid[i] not in seen and not seen.add(sid[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array([h[end[i] - size[i] : end[i]].tobytes() for i in at], pa.binary())], ["sid", "tokens"])
+                own = (h[end[i] - size[i] : end[i]] for i in at)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(size[at].astype(np.int64)), pa.array([(x if exact else np.unique(x.astype(np.uint32))).tobytes() for x in own], pa.binary())], ["sid", "n", "tokens"])
                 if len(seen) > TASK_SIGNATURES:
                     seen.clear()
 
-    return texts.mapInArrow(work, "sid long, tokens binary").join(active, "sid", "left_semi").dropDuplicates(["sid"])
+    return texts.mapInArrow(work, "sid long, n long, tokens binary").join(active, "sid", "left_semi").dropDuplicates(["sid"])
 
 
 class _Chunk:
-    """Sets that one task compares with a lead: links, and the differences by which they meet again."""
+    """Sets that one task compares with a lead: those that may link, and the differences by which they meet again."""
 
-    def __init__(self, key: tuple[int, int], lead: np.ndarray, bands: Bands, split: bool):
-        self.key, self.lead, self.bands = key, lead, bands
+    def __init__(self, key: tuple[int, int], lead: np.ndarray, size: int, bands: Bands, split: bool):
+        self.key, self.lead, self.size, self.bands = key, lead, size, bands
         self.held: list[tuple[int, np.ndarray, int]] = []
         self.counted: list[np.ndarray] = []
         self.tokens, self.own = 0, not split
@@ -337,53 +344,62 @@ class _Chunk:
         self.links: list[int] = []
         self.out: list[tuple[np.ndarray, ...]] = []
 
+    def differ(self, tokens: np.ndarray) -> np.ndarray:
+        return np.setxor1d(tokens, self.lead, assume_unique=True)
+
     def sample(self, tokens: np.ndarray) -> None:
         if self.tokens <= CHUNK_TOKENS:
-            self._count(np.setxor1d(tokens, self.lead, assume_unique=True))
+            self._count(self.differ(tokens))
 
     def _count(self, differ: np.ndarray) -> None:
         self.counted.append(differ)
         self.tokens += len(differ)
 
-    def add(self, member: int, tokens: np.ndarray, several: bool) -> None:
-        differ = np.setxor1d(tokens, self.lead, assume_unique=True)
-        union = (len(tokens) + len(self.lead) + len(differ)) // 2
-        if 100 * (union - len(differ)) >= self.bands.percent * union:
+    def add(self, member: int, tokens: np.ndarray, size: int, several: bool) -> None:
+        differ = self.differ(tokens)
+        if len(differ) <= self.bands.difference(size, self.size):
             self.links.append(member)
         if not several:
             return
         if self.order is None and self.own and self.tokens <= CHUNK_TOKENS:
             self._count(differ)
-            self.held.append((member, differ, len(tokens)))
+            self.held.append((member, differ, size))
             return
         self._rank()
-        self._differences(member, differ, len(tokens))
+        self._differences(member, differ, size)
 
     def _rank(self) -> None:
         """Puts tokens in order, the rarest first, and passes the sets held."""
         if self.order is None:
-            self.order = np.unique(np.concatenate([*self.counted, np.zeros(0, U)]), return_counts=True)
+            self.order = np.unique(np.concatenate([*self.counted, np.zeros(0, np.uint32)]), return_counts=True)
             held, self.held, self.counted = self.held, [], []
             for x in held:
                 self._differences(*x)
 
     def _differences(self, member: int, differ: np.ndarray, size: int) -> None:
-        """Tokens in order with the most differences that a set which meets this one there first may have."""
+        """Tokens in order with the most differences that a set which meets this one there first may have.
+
+        Images so near to the lead's that another's may differ from this in all that
+        both differ from the lead meet by a token of their own.
+        """
         token, count = self.order
         n, far = len(differ), self.bands.farthest(size)
         at = np.minimum(np.searchsorted(token, differ), max(len(token) - 1, 0))
         often = np.where(token[at] == differ, count[at], 0) if len(token) else np.zeros(n, np.int64)
         place = np.lexsort((differ, often))[: far + 1]
-        self.out.append((differ[place], np.full(len(place), member), np.full(len(place), n), n + far - 2 * np.arange(len(place))))
+        found, most = differ[place].astype(np.int64), n + far - 2 * np.arange(len(place))
+        if n <= far:
+            found, most = np.append(found, -1), np.append(most, far - n)
+        self.out.append((found, np.full(len(found), member), np.full(len(found), n), most))
 
     def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, set, differences, most) of what may meet."""
         whole = self.own and self.order is None
         self._rank()
         if not self.out:
-            return tuple(np.zeros(0, t) for t in (U, np.int64, np.int64, np.int64))
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
         token, member, n, most = (np.concatenate(x) for x in zip(*self.out))
-        if whole:  # all sets of the lead are here, so what fits nothing here fits nothing
+        if whole and len(token):  # all sets of the lead are here, so what fits nothing here fits nothing
             _, at = np.unique(token, return_inverse=True)
             low, high = np.full(at.max() + 1, 1 << 62), np.zeros(at.max() + 1, np.int64)
             np.minimum.at(low, at, n)
@@ -394,11 +410,12 @@ class _Chunk:
         return token, member, n, most
 
 
-def _compare(percent: int):
-    """Rows (lead, salt, part, set, several, tokens), sorted, as links (0, set, lead) and differences (1, group, set, n, most).
+def _compare(percent: int, exact: bool):
+    """Rows (lead, salt, part, set, several, size, tokens), sorted, as (0, set, lead) that may link and differences (1, group, set, n, most).
 
     part 0 is the lead, which is several if its sets are in several tasks, 1 a set
-    that stands for others, 2 a set to compare.
+    that stands for others, 2 a set to compare. exact: tokens are whole, and what
+    may link links.
     """
     bands = Bands(percent)
     names = ["kind", "x", "y", "n", "most"]
@@ -407,42 +424,43 @@ def _compare(percent: int):
         links = np.array(c.links, dtype=np.int64)
         yield from _slices([np.zeros(len(links), np.int32), links, np.full(len(links), c.key[0]), links, links], names)
         token, member, n, most = c.close()
-        group = mix(token ^ mix(np.array([c.key[0]], np.int64).view(U)))
+        group = mix(token.view(U) ^ mix(np.array([c.key[0]], np.int64).view(U)))
         yield from _slices([np.ones(len(token), np.int32), group.view(np.int64), member, n, most], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = None
         for batch in batches:
             lead, salt, part, member = (batch.column(i).to_numpy() for i in range(4))
-            several, tokens = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5)
+            several, size, tokens = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(), batch.column(6)
             for i in range(batch.num_rows):
-                mine = np.frombuffer(tokens[i].as_buffer(), dtype=U)
+                mine = np.frombuffer(tokens[i].as_buffer(), dtype=U if exact else np.uint32)
                 if part[i] == 0:
                     if c is not None:
                         yield from emit(c)
-                    c = _Chunk((int(lead[i]), int(salt[i])), mine.copy(), bands, bool(several[i]))
+                    c = _Chunk((int(lead[i]), int(salt[i])), mine.copy(), int(size[i]), bands, bool(several[i]))
                 elif part[i] == 1:
                     c.sample(mine)
                 else:
-                    c.add(int(member[i]), mine, bool(several[i]))
+                    c.add(int(member[i]), mine, int(size[i]), bool(several[i]))
         if c is not None:
             yield from emit(c)
 
     return work
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool = False) -> DataFrame:
     """pairs (a, b, several) of sets and their leads, compared. A lead's sets go to tasks of about CHUNK, each with the lead."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     own = pairs.join(many, "b")
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt")
     rows = own.select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.lit(2).alias("part"), F.col("a").alias("sid"), "several")
-    some = own.filter("parts > 1 AND several").filter(F.pmod(F.xxhash64("a", F.lit(1)), F.col("parts") * (CHUNK // SAMPLE)) == 0)
-    rows = rows.unionByName(some.select("b", salts, F.lit(1).alias("part"), F.col("a").alias("sid"), "several"))
+    if not exact:
+        some = own.filter("parts > 1 AND several").filter(F.pmod(F.xxhash64("a", F.lit(1)), F.col("parts") * (CHUNK // SAMPLE)) == 0)
+        rows = rows.unionByName(some.select("b", salts, F.lit(1).alias("part"), F.col("a").alias("sid"), "several"))
     rows = rows.unionByName(many.select("b", salts, F.lit(0).alias("part"), F.col("b").alias("sid"), (F.col("parts") > 1).alias("several")))
-    rows = rows.join(sets, "sid").select("b", "salt", "part", "sid", "several", "tokens")
+    rows = rows.join(sets, "sid").select("b", "salt", "part", "sid", "several", "n", "tokens")
     rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "part", "sid")
-    return rows.mapInArrow(_compare(percent), "kind int, x long, y long, n long, most long")
+    return rows.mapInArrow(_compare(percent, exact), "kind int, x long, y long, n long, most long")
 
 
 def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | None:
@@ -495,12 +513,18 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
     index = rows.select("text").mapInArrow(_index(k, bands, shared), "a long, b long, c long")
     members = materialize(_members(index), "jaccard-members")
     pairs = materialize(_leads(members), "jaccard-pairs")
-    sets = materialize(_sets(rows.select("text"), members.select(F.col("a").alias("sid")), k), "jaccard-tokens")
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    sets = materialize(_sets(rows.select("text"), ends, k, False), "jaccard-images")
 
     parts, turn = None, 0
     while pairs is not None:
         found = materialize(_compared(pairs, sets, percent), "jaccard-found")
-        links = found.filter("kind = 0").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        near = found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("several"))
+        links = near.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if not near.isEmpty():
+            ends = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")))
+            links = _compared(near, _sets(rows.select("text"), ends, k, True), percent, exact=True)
+            links = materialize(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "jaccard-links")
         parts = merged(parts, links) if parts is not None else materialize(components(links), "jaccard-components")
         pairs = _next_pairs(found, parts, turn)
         turn += 1
