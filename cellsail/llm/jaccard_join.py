@@ -253,9 +253,9 @@ def _index(k: int, bands: Bands, schemes):
     """
 
     def flush(sigs: list, sids: list) -> Iterator[pa.RecordBatch]:
-        if not sigs:
+        sig, sid = np.concatenate([np.zeros(0, U), *sigs]), np.concatenate([np.zeros(0, U), *sids])
+        if len(sig) == 0:
             return
-        sig, sid = np.concatenate(sigs), np.concatenate(sids)
         order = np.lexsort((sid, sig))
         sig, sid = sig[order], sid[order]
         new = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))

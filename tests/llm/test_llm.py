@@ -338,3 +338,42 @@ def test_words_of_blocks():
         for i in range(b.n):
             s = slice(w.first[i], w.first[i] + w.count[i])
             assert [bytes(b.buf[x:y]).decode() for x, y in zip(w.start[s], w.end[s])] == re.findall(WORD, texts[b.row + i] or "")
+
+
+def test_verdicts_go_by_owners_and_repositories(spark):
+    one, two, many = ("Zx9" + c + "aB3kQ7mN2pL8" * 2 for c in "abc")
+    rows = [(i, f"see {one} here", "s0") for i in range(11)] + [(20, f"see {two} here", "s1"), (21, f"see {two} here", "s2"), (22, f"see {two} here", "s2")]
+    rows += [(30 + i, f"see {many} here", f"s{i}") for i in range(3)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"])
+    got = {r["doc_id"]: r["s"] for r in found.select("doc_id", secret_scan.as_text(F.col("all_spans")).alias("s")).collect()}
+    assert {got[i] for i in range(11)} == {""} and {got[30 + i] for i in range(3)} == {""}
+    assert {got[20], got[21], got[22]} == {f"generic:4:{4 + len(two)}"}
+
+
+def test_hundreds_of_globs(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    globs = [("block" if rng.random() < 0.5 else "allow", rng.choice([f"*{word()}**", f"**/{word()}/?{word()}**", f"{word()}.{word()}/**", f"*.{word()}/*{word()}"])) for _ in range(400)]
+    urls = [f"http://{word()}.{word()}/{word()}/{word()}" for _ in range(200)] + ["http://u:p@A.b.:80/%61b?q=%63", "http://a.b", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*globs, ("block", None)], "verdict string, glob string")
+    rules = url_filter.load_globs(table)
+    assert len(rules) == 400
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, ["page_id"], host_rules=[], glob_rules=rules).collect()}
+    regex = [(v, re.compile("".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*|.", g)), re.S)) for v, g in rules]
+    seen = [*(u[7:] for u in urls[:200]), "a.b/ab?q=c", "a.b/", "/"]
+    for i, u in enumerate(seen):
+        assert got[i] == next((v for v, x in regex if x.fullmatch(u)), "allow")
+
+
+def test_rounding_keeps_each_expectation():
+    rng = np.random.default_rng(4)
+    size = np.sort(rng.integers(1, 900, 14))[::-1].astype(float)
+    p = rng.uniform(0.05, 0.95, 14)
+    total, n = np.zeros(14), 4000
+    for _ in range(n):
+        out, q = mixing.round_fractions(size, p, rng.random(14))
+        assert (out < 0).sum() <= 1 and abs((np.where(out < 0, q, out) * size).sum() - (p * size).sum()) < 1e-6
+        total += np.where(out < 0, q, out)
+    assert np.abs(total / n - p).max() < 5 * 0.5 / n**0.5
+    assert mixing.round_fractions(size[:0], p[:0], p[:0])[0].size == 0
