@@ -120,5 +120,31 @@ FROM d LEFT JOIN g USING (rid)
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP5 = rf"""
+WITH w AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item, w, least(len(w), 13) AS k FROM w WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+own AS (SELECT rid, k, j, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d CROSS JOIN (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+m AS (SELECT rid, j, own.k, item FROM own JOIN windows ON own.k = windows.k AND own.s = windows.s),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(j, j + k)) AS p FROM m) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
+_OP9 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.rid = x JOIN n AS b ON b.rid = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT rid, rid AS r FROM d UNION SELECT c.rid, e.y FROM c JOIN e ON e.x = c.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n USING (rid) JOIN (SELECT c.rid, min(o.doc_id) AS component_id FROM c JOIN d AS o ON o.rid = c.r GROUP BY 1) AS r USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": _OP4, "op8_url_filter": _OP8}
+    return {"op4_secret_scan": _OP4, "op5_decontaminate": _OP5, "op8_url_filter": _OP8, "op9_jaccard_join": _OP9}
