@@ -41,6 +41,8 @@ from cellsail.llm.textkit import LOWER, NOT_SPACE, Block, U, blocks, mix, unique
 BAND_RATIO = 1.5
 #: Segments to spare, as a share of those needed.
 SPARE = 0.3
+#: Tokens of a segment, on average, from which on its one-deletion neighbourhood is considered: of fewer tokens, unlike sets share it.
+LEAST_FOR_DELETION = 7
 #: One signature in so many is counted for the costs of segments, of all documents.
 COST_SHARE = 64
 #: Signatures that a task holds before it passes them on.
@@ -193,14 +195,14 @@ def allocate(n: int, collisions: np.ndarray, sets: float, mean_size: float) -> S
 
     A costly segment is left out and a cheap one gets its one-deletion
     neighbourhood instead, as long as that lowers the cost: the pairs that meet
-    and the signatures written.
+    and the signatures written. Segments of very few tokens have none.
     """
     value = np.ones(n, dtype=np.int64)
     cost = collisions + sets
     order = np.argsort(cost, kind="stable")
     width = mean_size / n + 1
     cheap, dear = 0, n - 1
-    while cheap < dear:
+    while cheap < dear and width > LEAST_FOR_DELETION:
         i, j = order[cheap], order[dear]
         if cost[j] + cost[i] <= sets * width + collisions[i] * width:
             break

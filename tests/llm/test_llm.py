@@ -89,7 +89,7 @@ def test_bands_and_allocation():
     for _ in range(3000):
         assert bands.segments(4) == bands.segments(4)
     assert len(bands.starts) == max(known, 6)
-    s = jaccard_join.allocate(6, np.array([0, 0, 0, 0, 1e9, 0.0]), 10.0, 30.0)
+    s = jaccard_join.allocate(6, np.array([0, 0, 0, 0, 1e9, 0.0]), 10.0, 60.0)
     assert s.value.sum() == 6 and s.value[4] == 0
 
 
