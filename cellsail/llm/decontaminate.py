@@ -216,6 +216,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
     n_blocks = max(1, -(-int(total) // block_bytes))
     plain = docs.select(*carry).schema.fields
     inner = StructType([*plain, StructField("_text", StringType()), StructField("_hits", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))])
+    schema = StructType([*plain, *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType())])
     state = docs.select(*carry, F.col(text_col).alias("_text"), F.array().cast("array<bigint>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for i in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
@@ -223,10 +224,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
         found = item_windows(got["item"].to_pylist(), got["t"].combine_chunks(), window)
         wanted = _wanted(found)
         table = _prefixes(found, wanted, _count_shingles(docs, text_col, wanted, sorted({min(SHINGLE, int(k)) for k in np.unique(found.length)})))
-        state = state.mapInArrow(_search(spark.sparkContext.broadcast(table), inner), inner)
-    schema = StructType([*plain, *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType())])
-    out = state.mapInArrow(_summary(schema), schema)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        search = _search(spark.sparkContext.broadcast(table), inner)
+        # the last search and the summary are one step of the same worker
+        state = state.mapInArrow(search, inner) if i < n_blocks - 1 else state.mapInArrow(_then(search, _summary(schema)), schema)
+    return state.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _then(first, second):
+    return lambda batches: second(first(batches))
 
 
 def _search(shared, schema: StructType):
