@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
+from cellsail.llm.store import small_batches
 from cellsail.llm.training import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
