@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from cellsail.llm import decontaminate, jaccard_join, mixing, secret_scan, toxicity
 from cellsail.llm.queries import table
-from cellsail.llm.store import materialize
+from cellsail.llm.store import materialize, small_batches
 from cellsail.llm.training import remainder
 
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs with names that no operator uses: text, doc_id and source stay, others are numbered."""
+    small_batches(docs.sparkSession)
     own = {"text", "doc_id", "source"}
     names = [c if c in own else f"carried_{i}" for i, c in enumerate(docs.columns)]
     return docs.toDF(*names), names
