@@ -468,6 +468,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool = Fal
 def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | None:
     """Pairs (a, b, several) that may link two components, from differences (group, set, n, most)."""
     rows = found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("a"), "n", "most")
+    # most tokens are those of one set: they go before anything is joined with their rows
+    shared = rows.groupBy("g").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("k")).filter("k > 1")
+    rows = rows.join(shared, "g").filter("most >= low AND n <= high").select("g", "a", "n", "most")
     rows = materialize(_fitting(_fitting(labelled(rows, parts, "a", "c"))), "jaccard-differences")
     if rows.isEmpty():
         return None
