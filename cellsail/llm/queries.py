@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsail.llm import decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
+from cellsail.llm import centroids, decontaminate, jaccard_join, language_id, mixing, quality_nbsvm, quality_rules, resample, secret_scan, suffix_dedup, token_counts, toxicity, url_filter
 from cellsail.llm.store import small_batches
 from cellsail.llm.training import remainder
 
@@ -80,8 +80,23 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_nbsvm.score(docs.withColumn("held_out", _held_out(5, 0)), model, ["doc_id", "held_out"]), 0.3)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_quality_nbsvm)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_language_id, op4_secret_scan, op5_decontaminate, op6_mixing, op7_toxicity, op8_url_filter, op9_jaccard_join, op10_quality_nbsvm, op11_importance_resampling, op12_token_counts, op13_centroid_clusters)}
 
 
 _OP8 = r"""
@@ -148,5 +163,49 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN
 """
 
 
+_OP11 = rf"""
+WITH poly AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM poly),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+f AS MATERIALIZED (SELECT rid, unnest(w) AS word FROM d),
+g AS MATERIALIZED (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+h AS MATERIALIZED (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM f UNION SELECT word FROM g)),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', x[i]) - 1) + strpos('0123456789ABCDEF', x[i + 1]) - 1 AS BIGINT))),
+  lambda c, y: xor(c >> 8, t[CAST(xor(c, y) & 255 AS INTEGER) + 1])), 4294967295) % 10000 AS bucket FROM h CROSS JOIN crc),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (word) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM f) AS s_all, (SELECT count(*) FROM g) AS t_all),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS gain FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket) CROSS JOIN n),
+m AS (SELECT rid, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (word) JOIN gain USING (bucket) GROUP BY 1),
+u AS (SELECT d.rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', substr(sha256(concat('2024:', doc_id)), i, 1)) - 1 AS BIGINT))), lambda a, y: a * 16 + y) AS h FROM d LEFT JOIN m USING (rid)),
+v AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM u),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS place, count(*) OVER () AS can FROM v WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * can // 100 THEN place END AS rank FROM v LEFT JOIN r USING (rid)
+"""
+
+
+def _op13(rounds: int) -> str:
+    """One assignment and one update for each round."""
+    assign = """a{i} AS MATERIALIZED (SELECT rid, vec_id, v, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(kept.v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c)) AS m FROM kept CROSS JOIN c{i} GROUP BY ALL)"""
+    update = """s{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place) AS w FROM (SELECT m.c AS c, place, sum(v[place]) AS s, count(*) AS n FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS place) GROUP BY ALL) GROUP BY c),
+c{j} AS MATERIALIZED (SELECT c, CAST(coalesce(s{i}.w, c{i}.w) AS BIGINT[]) AS w FROM c{i} LEFT JOIN s{i} USING (c))"""
+    steps = [assign.format(i=rounds)]
+    for i in reversed(range(rounds)):
+        steps = [assign.format(i=i), update.format(i=i, j=i + 1), *steps]
+    return (
+        """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS w FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT 8)),
+"""
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = m.c
+"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": _OP4, "op5_decontaminate": _OP5, "op8_url_filter": _OP8, "op9_jaccard_join": _OP9}
+    return {"op4_secret_scan": _OP4, "op5_decontaminate": _OP5, "op8_url_filter": _OP8, "op9_jaccard_join": _OP9, "op11_importance_resampling": _OP11, "op13_centroid_clusters": _op13(10)}
