@@ -8,16 +8,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
+from cellsail.functions.quantiles import quantiles
 
-AGGREGATES = {"mean": lambda: F.avg("value"), "median": lambda: F.median("value"), "min": lambda: F.min("value"), "max": lambda: F.max("value"), "fraction": lambda: F.avg((F.col("value") > 0).cast("double"))}
+AGGREGATES = ("mean", "median", "min", "max", "fraction")
 
 
-def summarize(frame: ExpressionFrame, cluster: str, how: str = "mean", max_genes: int = 100) -> DataFrame:
-    """(cluster, gene, value) of the first max_genes genes by name; null where a value is missing."""
-    sub = frame.keep_genes(frame.genes.orderBy("gene").limit(max_genes))
-    d = sub.dense().expr.join(frame.cells.select("cell", F.col(cluster).alias("cluster")), "cell")
-    whole = F.count("value") == F.count("*")
-    return d.groupBy("cluster", "gene").agg(F.when(whole, AGGREGATES[how]()).alias("value"))
+def summarize(frame: ExpressionFrame, cluster: str, how: str = "mean", max_genes: int | None = None) -> DataFrame:
+    """(cluster, gene, value) of all genes, or of the first max_genes by name; null where a value is missing.
+
+    Sums run over stored values, and the cells of a cluster that lack a gene enter as
+    so many zeros, in the median by an exact selection.
+    """
+    if how not in AGGREGATES:
+        raise ValueError(f"unknown summary {how!r}")
+    sub = frame if max_genes is None else frame.keep_genes(frame.genes.orderBy("gene").limit(max_genes))
+    of = frame.cells.select("cell", F.col(cluster).alias("cluster"))
+    rows = sub.expr.join(of, "cell").select("cluster", "gene", "value")
+    sizes = of.groupBy("cluster").agg(F.count("*").alias("size")).crossJoin(sub.genes.select("gene"))
+    v = F.col("value")
+    seen = rows.groupBy("cluster", "gene").agg(F.count("*").alias("stored"), F.count_if(v.isNull()).alias("missing"), F.sum("value").alias("s"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(v > 0).alias("on"))
+    grid = _beside(sizes, seen).fillna(0, ["stored", "missing", "on"])
+    zero = F.when(F.col("stored") < F.col("size"), F.lit(0.0))
+    value = {"mean": F.coalesce("s", F.lit(0.0)) / F.col("size"), "min": F.least("min", zero), "max": F.greatest("max", zero), "fraction": F.col("on") / F.col("size")}
+    if how == "median":
+        # zeros of whole clusters beside the stored ones: with null clusters too
+        short = grid.select("cluster", "gene", F.lit(0.0).alias("value"), (F.col("size") - F.col("stored")).alias("weight")).filter("weight > 0")
+        weighted = rows.withColumn("weight", F.lit(1).cast("long")).unionByName(short)
+        middle = quantiles(weighted, ["cluster", "gene"], "value", [0.5], "weight").select("cluster", "gene", F.col("q")[0].alias("middle"))
+        grid, value["median"] = _beside(grid, middle), F.col("middle")
+    return grid.select("cluster", "gene", F.when(F.col("missing") == 0, value[how]).alias("value"))
+
+
+def _beside(grid: DataFrame, found: DataFrame) -> DataFrame:
+    """grid(cluster, gene, ...) with what is found for its rows; a null cluster is one like others."""
+    other = found.withColumnsRenamed({"cluster": "cluster_", "gene": "gene_"})
+    return grid.join(other, F.col("cluster").eqNullSafe(F.col("cluster_")) & (F.col("gene") == F.col("gene_")), "left").drop("cluster_", "gene_")
 
 
 def normalize_summary(summary: DataFrame, log: bool = True, z_score: bool = True, clip: float = 3.0) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
+from cellsail.functions.quantiles import order_statistics, with_zeros
 
 
 def gene_moments(frame: ExpressionFrame, skip_missing: bool = False) -> DataFrame:
@@ -39,10 +40,28 @@ def top_genes(scores: DataFrame, by: str, n: int = 5) -> DataFrame:
 
 
 def information_gain(frame: ExpressionFrame, label: str, bins: int = 4) -> DataFrame:
-    """(gene, info_gain): entropy of the label less its entropy within bins of equal counts of the gene."""
-    d = frame.dense().expr.join(frame.cells.select("cell", F.col(label).alias("_y")), "cell")
-    d = d.withColumn("bin", F.floor(F.percent_rank().over(Window.partitionBy("gene").orderBy("value")) * bins))
-    counts = d.groupBy("gene", "bin", "_y").agg(F.count("*").alias("n"))
+    """(gene, info_gain): entropy of the label less its entropy within bins of equal counts of the gene.
+
+    A value's bin is the share of smaller ones among the other cells, times bins, floored, so the single largest has one of its own;
+    missing values are 0. Bins end at exact order statistics, in which what is not
+    stored enters as one row of zeros; no gene's values meet in one task.
+    """
+    labels = frame.cells.select("cell", F.col(label).alias("_y"))
+    x = frame.fill_missing().expr.select("cell", "gene", "value")
+    sizes = frame.genes.select("gene").crossJoin(F.broadcast(frame.n_cells().withColumnRenamed("n_cells", "size")))
+    # a value is in bin b or above if b * (n - 1) / bins others are smaller: it is above the last of these
+    edges = order_statistics(with_zeros(x, ["gene"], "value", sizes), ["gene"], "value", lambda n: [F.ceil(F.lit(b) * (n - 1) / F.lit(bins)) - 1 for b in range(1, bins + 1)], "weight")
+    edges = edges.select("gene", F.array_compact("stats").alias("edges"))
+
+    def bin_of(v: Column) -> Column:
+        return F.size(F.filter("edges", lambda e: v > e)).alias("bin")
+
+    stored = x.join(labels, "cell").join(edges, "gene").groupBy("gene", bin_of(F.col("value")), "_y").agg(F.count("*").alias("n"))
+    all_y = labels.groupBy("_y").agg(F.count("*").alias("size"))
+    known = stored.groupBy("gene", F.col("_y").alias("_y2")).agg(F.sum("n").alias("stored"))
+    grid = edges.crossJoin(F.broadcast(all_y)).join(known.withColumnRenamed("gene", "gene2"), (F.col("gene") == F.col("gene2")) & F.col("_y").eqNullSafe(F.col("_y2")), "left")
+    zeros = grid.select("gene", bin_of(F.lit(0.0)), "_y", (F.col("size") - F.coalesce("stored", F.lit(0))).alias("n")).filter("n > 0")
+    counts = stored.unionByName(zeros).groupBy("gene", "bin", "_y").agg(F.sum("n").alias("n"))
     n_bin = F.sum("n").over(Window.partitionBy("gene", "bin"))
     n_y = F.sum("n").over(Window.partitionBy("gene", "_y"))
     n = F.sum("n").over(Window.partitionBy("gene"))
@@ -54,18 +73,32 @@ def score_cells(frame: ExpressionFrame, markers: DataFrame, method: str = "mean"
     """(cell, score) over the marker genes that the data has: mean, normalized, median, max or fraction.
 
     normalized divides each gene by its population deviation first. Missing values
-    are left out. Without any matching marker every score is 1.
+    are left out, but count as not expressed in the fraction; a cell with none known has a null score.
+    Without any matching marker every score is 1. Values that are not stored enter as so many zeros.
     """
     sub = frame.keep_genes(markers)
     k = F.broadcast(sub.genes.agg(F.count("*").alias("k")))
-    d = sub.dense().expr
+    d = sub.expr
     if method == "normalized":
-        sd = F.stddev_pop("value").over(Window.partitionBy("gene"))
-        d = d.withColumn("value", F.col("value") / F.when(sd == 0, 1.0).otherwise(sd))
-    how = {"mean": F.avg("value"), "normalized": F.avg("value"), "median": F.median("value"), "max": F.max("value"), "fraction": F.avg((F.coalesce(F.col("value"), F.lit(0.0)) > 0).cast("double"))}
-    found = d.groupBy("cell").agg(how[method].alias("score"))
-    out = frame.cells.select("cell").join(found, "cell", "left").crossJoin(k)
-    return out.select("cell", F.when(F.col("k") == 0, 1.0).otherwise(F.col("score")).alias("score"))
+        sd = F.sqrt("variance")
+        scale = gene_moments(sub, skip_missing=True).select("gene", F.when(sd > 0, sd).otherwise(1.0).alias("scale"))
+        d = d.join(scale, "gene").select("cell", "gene", (F.col("value") / F.col("scale")).alias("value"))
+    seen = d.groupBy("cell").agg(F.count("*").alias("stored"), F.count_if(F.col("value").isNull()).alias("missing"), F.sum("value").alias("s"), F.max("value").alias("most"), F.count_if(F.col("value") > 0).alias("on"))
+    rows = frame.cells.select("cell").join(seen, "cell", "left").crossJoin(k).fillna(0, ["stored", "missing", "on"])
+    known = F.col("k") - F.col("missing")
+    if method in ("mean", "normalized"):
+        score = F.try_divide(F.coalesce("s", F.lit(0.0)), known)
+    elif method == "max":
+        score = F.when(F.col("stored") < F.col("k"), F.greatest("most", F.lit(0.0))).otherwise(F.col("most"))
+    elif method == "fraction":
+        score = F.try_divide(F.col("on"), F.col("k"))
+    elif method == "median":
+        sizes = frame.cells.select("cell").crossJoin(k).withColumnRenamed("k", "size")
+        middle = with_zeros(d, ["cell"], "value", sizes).groupBy("cell").agg(F.percentile("value", F.lit(0.5), F.col("weight")).alias("middle"))
+        rows, score = rows.join(middle, "cell", "left"), F.col("middle")
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return rows.select("cell", F.when(F.col("k") == 0, 1.0).otherwise(score).alias("score"))
 
 
 def regression_scores(frame: ExpressionFrame, target: str) -> DataFrame:
