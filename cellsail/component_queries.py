@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsail.operators import harmony, principal
-from cellsail.queries import _E1, Query, _rounded, brands, vectors
+from cellsail.frame import from_long
+from cellsail.operators import align, harmony, principal
+from cellsail.queries import _E1, _E4, Query, _rounded, brands, vectors
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -38,5 +39,80 @@ def harmony_pcs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out.drop("x", "y"), *[f"PC{i + 1}" for i in range(8)])
 
 
-QUERIES["principal_first"], SQL["principal_first"] = principal_first, _first_component_sql()
-QUERIES["harmony_pcs"] = harmony_pcs
+def _two_sets(spark: SparkSession, d: str):
+    """Embeddings of even and of odd labels, and their first two numbers as places on two components."""
+    f = vectors(spark, d)
+    frames = [f.keep_cells(f.cells.filter(f"label % 2 = {i}")) for i in (0, 1)]
+    return frames, [x.expr.filter("gene < 2").select("cell", F.col("gene").alias("component"), "value") for x in frames]
+
+
+def _chosen(frames, places, n: int = 6) -> DataFrame:
+    return align.metagenes([align.gene_scores(f, p) for f, p in zip(frames, places)], n)
+
+
+def metagene_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _chosen(*_two_sets(spark, d))
+
+
+def component_spearman(spark: SparkSession, d: str) -> DataFrame:
+    frames, places = _two_sets(spark, d)
+    return _rounded(align.gene_scores(frames[0], places[0], "spearman"), "score")
+
+
+def shared_correlation(spark: SparkSession, d: str) -> DataFrame:
+    frames, places = _two_sets(spark, d)
+    return _rounded(align.shared_correlation(frames, places, _chosen(frames, places)), "shared")
+
+
+def component_bicor(spark: SparkSession, d: str) -> DataFrame:
+    frames, places = _two_sets(spark, d)
+    return _rounded(align.gene_scores(frames[1], places[1], "bicor"), "score")
+
+
+def metagene_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Both sets on two metagenes, the second brought to the range and deciles of the first."""
+    frames, places = _two_sets(spark, d)
+    chosen = _chosen(frames, places)
+    first, other = (align.reference_range(align.projected(f, p, chosen)) for f, p in zip(frames, places))
+    return _rounded(first.unionByName(align.quantile_shift(first, other)), "value", digits=5)
+
+
+def align_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The whole alignment of two halves of the suppliers over the brands."""
+    f = brands(spark, d)
+    halves = from_long(f.expr, f.cells.withColumn("half", F.when(F.col("cell") % 3 == 0, "a").otherwise("b")), f.genes)
+    return _rounded(align.fit_alignment(halves, "half", 3, 8).transform(halves), "value", digits=4)
+
+
+_SETS = f"""{_E4.replace("CAST(unnest(embedding) AS DOUBLE) AS value, label", "CAST(unnest(embedding) AS DOUBLE) AS value, label % 2 AS part, label")},
+p AS (SELECT cell, part, gene AS component, value AS w FROM e WHERE gene < 2),
+sc AS (SELECT e.part, e.gene, component, sum(value * w) AS s, sum(value * w) / sqrt(sum(value * value)) AS score FROM e JOIN p ON e.cell = p.cell GROUP BY ALL),
+rk AS (SELECT a.component, a.gene, CAST(row_number() OVER (PARTITION BY a.component ORDER BY CASE WHEN sign(a.score) = sign(b.score) THEN 0 ELSE 1 END, least(abs(a.score), abs(b.score)) DESC, a.gene) AS INTEGER) AS rank
+  FROM sc a JOIN sc b ON a.gene = b.gene AND a.component = b.component AND a.part = 0 AND b.part = 1),
+ch AS (SELECT * FROM rk WHERE rank <= 6)"""
+_BICOR = """pr AS (SELECT e.part, e.gene, component, value AS x, w AS y FROM e JOIN p ON e.cell = p.cell),
+md AS (SELECT part, gene, component, median(x) AS mx, median(y) AS my FROM pr GROUP BY ALL),
+ma AS (SELECT part, gene, component, any_value(mx) AS mx, any_value(my) AS my, median(abs(x - mx)) AS ax, median(abs(y - my)) AS ay FROM pr JOIN md USING (part, gene, component) GROUP BY ALL),
+tt AS (SELECT part, gene, component, CASE WHEN abs((x - mx) / (9 * ax)) < 1 THEN (x - mx) * (1 - ((x - mx) / (9 * ax)) ** 2) ** 2 ELSE 0 END AS a, CASE WHEN abs((y - my) / (9 * ay)) < 1 THEN (y - my) * (1 - ((y - my) / (9 * ay)) ** 2) ** 2 ELSE 0 END AS b FROM pr JOIN ma USING (part, gene, component)),
+bc AS (SELECT part, gene, component, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS score FROM tt GROUP BY ALL)"""
+_PHI = """f AS (SELECT e.part, cell, component, sum(value * s) AS v FROM e JOIN ch USING (gene) JOIN sc USING (part, gene, component) GROUP BY ALL),
+q AS (SELECT part, component, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM f GROUP BY ALL),
+r AS (SELECT part, cell, component, (v - lo) / (hi - lo) AS v FROM f JOIN q USING (part, component)),
+t AS (SELECT part, component, z, quantile_cont(v, 0.1) FILTER (z = 1) AS d1, quantile_cont(v, 0.2) FILTER (z = 2) AS d2, quantile_cont(v, 0.3) FILTER (z = 3) AS d3, quantile_cont(v, 0.4) FILTER (z = 4) AS d4, quantile_cont(v, 0.5) FILTER (z = 5) AS d5, quantile_cont(v, 0.6) FILTER (z = 6) AS d6,
+  quantile_cont(v, 0.7) FILTER (z = 7) AS d7, quantile_cont(v, 0.8) FILTER (z = 8) AS d8, quantile_cont(v, 0.9) FILTER (z = 9) AS d9 FROM r CROSS JOIN (SELECT unnest(range(1, 10)) AS z) GROUP BY ALL),
+dc AS (SELECT part, component, z, coalesce(d1, d2, d3, d4, d5, d6, d7, d8, d9) AS dec FROM t),
+sh AS (SELECT a.component, min(abs(a.dec - b.dec)) AS shift FROM dc a JOIN dc b ON a.component = b.component AND a.z = b.z AND a.part = 0 AND b.part = 1 GROUP BY 1)"""
+
+for _name, _query, _sql in (
+    ("principal_first", principal_first, _first_component_sql()),
+    ("harmony_pcs", harmony_pcs, None),
+    ("metagene_rank", metagene_rank, f"WITH {_SETS} SELECT component, gene, rank FROM ch"),
+    ("component_spearman", component_spearman, f"WITH {_SETS}, pr AS (SELECT e.gene, component, value AS x, w AS y FROM e JOIN p ON e.cell = p.cell WHERE e.part = 0), rr AS (SELECT gene, component, rank() OVER (PARTITION BY gene, component ORDER BY x) + (count(*) OVER (PARTITION BY gene, component, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY gene, component ORDER BY y) + (count(*) OVER (PARTITION BY gene, component, y) - 1) / 2 AS ry FROM pr) SELECT gene, component, round(corr(rx, ry), 6) AS score FROM rr GROUP BY ALL"),
+    ("component_bicor", component_bicor, f"WITH {_SETS}, {_BICOR} SELECT gene, component, round(score, 6) AS score FROM bc WHERE part = 1"),
+    ("shared_correlation", shared_correlation, f"WITH {_SETS}, {_BICOR} SELECT part AS dataset, component, round(avg(abs(score)), 6) AS shared FROM bc JOIN ch USING (gene, component) GROUP BY ALL"),
+    ("metagene_projection", metagene_projection, f"WITH {_SETS}, {_PHI} SELECT cell, component, round(v + CASE WHEN part = 1 THEN shift ELSE 0 END, 5) AS value FROM r JOIN sh USING (component)"),
+    ("align_sources", align_sources, None),
+):
+    QUERIES[_name] = _query
+    if _sql:
+        SQL[_name] = _sql
