@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame, from_long
+from cellsail.tables import written
 
 #: Fixed values of the reproducible read-time sample: its seed, and the leading indices that are always kept.
 SAMPLE_SEED, ALWAYS_KEPT = 0x667, 4
+#: Draws that a task makes at a time.
+DRAWS = 1 << 20
+#: Lines that may be dropped from a file before what is left is counted up.
+FEW = 50
+#: Stands for a separator between quotes while a record is split; no character of any text.
+HELD = "\ufdd0"
 #: A text column with at most so many distinct values is discrete.
 MAX_DISCRETE = 50
 
@@ -43,21 +51,102 @@ def separator(path: str) -> str:
     return "," if plain_name(path).endswith(".csv") else "\t"
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, id, value): lines with their file and split; ids ascend by one within a split."""
+    m = F.col("_metadata")
+    return spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
     """(i, value): the lines of a text file that keep holds for, numbered from 0 in the order of the file.
 
-    Each split is counted by itself; one row a split gives its first number, so no
-    task sees the whole file.
+    A line's number follows from its split's first number, one row a split, and its
+    place in it, so nothing is sorted or shuffled; but if more than FEW lines are dropped, those
+    kept are counted up within each split.
     """
-    m = F.col("_metadata")
-    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id"))
-    lines = lines if keep is None else lines.filter(keep)
-    inside = Window.partitionBy("file", "start").orderBy("id")
-    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.select("file", "start", before.alias("first"))
-    placed = lines.withColumn("place", F.row_number().over(inside) - 1)
-    return placed.join(first, ["file", "start"]).select((F.col("first") + F.col("place")).alias("i"), "value")
+    lines = _lines(spark, path)
+    ok = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    splits = sorted((r["file"], r["start"], r["n"], r["low"], r["gone"]) for r in lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.count_if(~ok).alias("gone")).collect())
+    first = np.concatenate([[0], np.cumsum([x[2] for x in splits])]).astype(int)
+    shifts = spark.createDataFrame([(f, start, int(at) - low) for (f, start, _, low, _), at in zip(splits, first)], "file string, start long, shift long")
+    placed = lines.join(shifts, ["file", "start"]).select((F.col("id") + F.col("shift")).alias("i"), "value", "file", "start")
+    gone = sum(x[4] for x in splits)
+    if gone > FEW:
+        kept = placed.filter(ok)
+        before = np.concatenate([[0], np.cumsum([x[2] - x[4] for x in splits])]).astype(int)
+        starts = spark.createDataFrame([(f, start, int(at)) for (f, start, *_), at in zip(splits, before)], "file string, start long, first long")
+        place = F.row_number().over(Window.partitionBy("file", "start").orderBy("i")) - 1
+        return kept.withColumn("place", place).join(starts, ["file", "start"]).select((F.col("first") + F.col("place")).alias("i"), "value")
+    if not gone:
+        return placed.select("i", "value")
+    dropped = F.array(*[F.lit(r["i"]) for r in placed.filter(~ok).select("i").collect()])
+    return placed.filter(ok).select((F.col("i") - F.size(F.filter(dropped, lambda x: x < F.col("i")))).alias("i"), "value")
+
+
+def records(spark: SparkSession, path: str, quote: str | None = '"') -> DataFrame:
+    """(i, value): the records of a text file that are not blank, numbered from 0; a quoted field may hold line breaks.
+
+    Whether a line begins inside a field is the parity of the quotes before it, a sum over
+    splits and within each. Lines of one record are put together wherever splits cut it.
+    """
+    blank = F.trim("value") == ""
+    if not quote or spark.read.text(path).filter(F.col("value").contains(quote)).isEmpty():
+        return numbered_lines(spark, path, ~blank)
+    lines = _lines(spark, path).withColumn("q", F.length("value") - F.length(F.replace("value", F.lit(quote))))
+    lines = written(lines, "lines")
+    before, ends, shifts = 0, "", []
+    for r in sorted(lines.groupBy("file", "start").agg(F.sum("q").alias("q")).collect()):
+        if r["file"] != ends:
+            if before % 2:
+                raise ReadError(f"{ends}: a quoted field is not closed")
+            before, ends = 0, r["file"]
+        shifts.append((r["file"], r["start"], before % 2))
+        before += r["q"]
+    if before % 2:
+        raise ReadError(f"{ends}: a quoted field is not closed")
+    w = Window.partitionBy("file", "start").orderBy("id")
+    own = F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.withColumn("own", own).join(spark.createDataFrame(shifts, "file string, start long, open int"), ["file", "start"])
+    inside = (F.col("own") + F.col("open")) % 2 == 1
+    lines = written(lines.select("file", "start", "id", "value", "q", inside.alias("inside"), (~inside & ~((F.col("q") == 0) & blank)).alias("begins")), "lines")
+    first, starts = 0, []
+    for r in sorted(lines.groupBy("file", "start").agg(F.count_if("begins").alias("n")).collect()):
+        starts.append((r["file"], r["start"], first))
+        first += r["n"]
+    placed = lines.withColumn("own", F.count_if("begins").over(w)).join(spark.createDataFrame(starts, "file string, start long, first long"), ["file", "start"])
+    placed = placed.filter("begins OR inside").withColumn("i", F.col("first") + F.col("own") - 1)
+    alone = (F.col("q") % 2 == 0) & F.col("begins")
+    parts = placed.filter(~alone).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("file", "start", "id", "value"))).alias("x"))
+    return placed.filter(alone).select("i", "value").unionByName(parts.select("i", F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("value")))
+
+
+def record_fields(value: Column, sep: str, quote: str | None = '"') -> Column:
+    """The fields of a record: quotes around a field go, two within one are one, and separators between quotes are text."""
+    plain = F.split(value, "\\Q" + sep + "\\E", -1)
+    if not quote:
+        return plain
+    parts = F.split(value, "\\Q" + quote + "\\E", -1)
+
+    def masked(x: Column, i: Column) -> Column:
+        doubled = (i % 2 == 0) & (x == "") & (i > 0) & (i < F.size(parts) - 1)
+        return F.when(i % 2 == 1, F.replace(x, F.lit(sep), F.lit(HELD))).when(doubled, F.lit(quote)).otherwise(x)
+
+    joined = F.array_join(F.transform(parts, masked), "")
+    free = F.transform(F.split(joined, "\\Q" + sep + "\\E", -1), lambda x: F.replace(x, F.lit(HELD), F.lit(sep)))
+    return F.when(value.contains(quote), free).otherwise(plain)
+
+
+def _unique(names: list[str]) -> list[str]:
+    """Names with .1, .2 and on after those that came before."""
+    seen, out = set(), []
+    for name in names:
+        new, n = name, 0
+        while new in seen:
+            n += 1
+            new = f"{name}.{n}"
+        seen.add(new)
+        out.append(new)
+    return out
 
 
 def keep_list(rng: np.random.RandomState, n: int, percent: float) -> np.ndarray:
@@ -66,13 +155,48 @@ def keep_list(rng: np.random.RandomState, n: int, percent: float) -> np.ndarray:
     return np.flatnonzero(np.append(np.ones(min(n, ALWAYS_KEPT), dtype=bool), drawn))
 
 
-def _positions(spark: SparkSession, kept: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(i),) for i in kept], "i long")
-
+def drawn_rows(body: DataFrame, percent: float, n_headers: int, drawn_before: int) -> DataFrame:
+    """Rows of body(i, ...) that a sample keeps, i their place in the file: the leading ones, and others by one draw each.
 
-def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, sep: str | None = None, n_headers: int = 1, n_labels: int = 1, rows_percent: float | None = None, columns_percent: float | None = None) -> ExpressionFrame:
+    The draws are one stream of random numbers by place, after those drawn before. Each task
+    goes through the stream up to its own places, so nothing a row is held or sent.
+    """
+    always = max(ALWAYS_KEPT, n_headers)
+    at = body.columns.index("i")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, pos = None, 0
+        for batch in batches:
+            i = batch.column(at).to_numpy()
+            keep = i < always
+            free = np.flatnonzero(~keep)
+            order = free[np.argsort(i[free], kind="stable")]
+            place = i[order] - always + drawn_before
+            if len(order) and (rng is None or place[0] < pos):
+                rng, pos = np.random.RandomState(SAMPLE_SEED), 0
+            done = 0
+            while done < len(order):
+                if place[done] - pos >= DRAWS:
+                    rng.random_sample(DRAWS)
+                    pos += DRAWS
+                    continue
+                n = int(min(place[-1] - pos + 1, DRAWS))
+                drawn = rng.random_sample(n) * 100 <= percent
+                upto = int(np.searchsorted(place, pos + n))
+                keep[order[done:upto]] = drawn[place[done:upto] - pos]
+                done, pos = upto, pos + n
+            yield batch.filter(pa.array(keep))
+
+    return body.mapInArrow(work, body.schema)
+
+
+def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, sep: str | None = None, n_headers: int = 1, n_labels: int = 1, rows_percent: float | None = None, columns_percent: float | None = None, quote: str | None = '"') -> ExpressionFrame:
     """A delimited matrix; NaN and empty fields are missing, zeros are not stored.
 
+    Fields may be quoted, with separators, line breaks and doubled quotes inside;
+    quote None takes quotes as text. Of columns that share a name the later ones get
+    .1, .2 and on, of rows that do, all but the first get their place in the file.
+
     The first of n_headers rows names the columns and the first of n_labels columns
     the rows. Further label columns become columns of the side of the rows, under
     the names of the header or label_2 and on; further header rows become columns of
@@ -83,28 +207,28 @@ def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, s
     reading: positions in the file with its headers and labels, of which the leading
     ones are always kept. Both sides have their place in the file as row_idx or col_idx.
     """
-    lines = numbered_lines(spark, path, F.trim("value") != "")
+    lines = records(spark, path, quote)
     sep = sep or separator(path)
-    quoted = sep.replace("\t", r"\t") if sep in "\t," else "\\Q" + sep + "\\E"
-    fields = F.split("value", quoted, -1)
-    heads = [r["value"].split(sep) for r in lines.filter(F.col("i") < max(n_headers, 1)).orderBy("i").limit(max(n_headers, 1)).collect()]
+    fields = record_fields(F.col("value"), sep, quote)
+    heads = [r["f"] for r in lines.filter(F.col("i") < max(n_headers, 1)).orderBy("i").limit(max(n_headers, 1)).select(fields.alias("f")).collect()]
     if len(heads) < n_headers or (heads and len(heads[0]) < n_labels) or not heads:
         raise InadequateHeaders(f"{path}: {n_headers} header rows and {n_labels} label columns expected")
     width = len(heads[0])
-    names = heads[0] if n_headers else [str(j - n_labels) if j >= n_labels else "" for j in range(width)]
-    rng, columns = np.random.RandomState(SAMPLE_SEED), np.arange(width)
+    names = [*heads[0][:n_labels], *_unique(heads[0][n_labels:])] if n_headers else [str(j - n_labels) if j >= n_labels else "" for j in range(width)]
+    columns = np.arange(width)
     if columns_percent is not None:
-        columns = keep_list(rng, width, columns_percent)
+        columns = keep_list(np.random.RandomState(SAMPLE_SEED), width, columns_percent)
     columns = [int(j) for j in columns if j >= n_labels]
-    body = lines.filter(F.col("i") >= n_headers)
+    body = lines.filter(F.col("i") >= n_headers).select("i", "value")
     if rows_percent is not None:
-        n = lines.agg(F.max("i")).collect()[0][0] + 1
-        if columns_percent is None:
-            keep_list(rng, width, 100.0)
-        kept = np.concatenate([np.arange(n_headers), n_headers + _drawn_rows(rng, int(n) - n_headers, rows_percent, n_headers)])
-        body = body.join(F.broadcast(_positions(spark, kept)), "i", "left_semi")
+        body = drawn_rows(body, rows_percent, n_headers, max(0, width - ALWAYS_KEPT))
     label = F.get(fields, F.lit(0)) if n_labels else (F.col("i") - n_headers).cast("string")
     rows = body.select((F.col("i") - n_headers).alias("row_idx"), label.alias("row"), fields.alias("f"))
+    if n_labels:
+        twice = rows.groupBy("row").agg(F.count("*").alias("n"), F.min("row_idx").alias("first")).filter("n > 1").drop("n")
+        if not twice.isEmpty():
+            name = F.when(F.col("row_idx") != F.col("first"), F.concat("row", F.lit("."), F.col("row_idx"))).otherwise(F.col("row"))
+            rows = rows.join(twice, "row", "left").select("row_idx", name.alias("row"), "f")
     more = [F.get("f", F.lit(j)).alias(heads[0][j] if n_headers and heads[0][j] else f"label_{j + 1}") for j in range(1, n_labels)]
     row_side = rows.select("row", "row_idx", *more)
     cols = spark.createDataFrame([(names[j], j - n_labels, *[h[j] if j < len(h) else None for h in heads[1:]]) for j in columns], ", ".join(["col string", "col_idx int", *[f"header_{i} string" for i in range(2, n_headers + 1)]]))
@@ -116,12 +240,6 @@ def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, s
     return ExpressionFrame(expr, sides[cell].withColumnRenamed(cell, "cell"), sides[gene].withColumnRenamed(gene, "gene"))
 
 
-def _drawn_rows(rng: np.random.RandomState, n: int, percent: float, before: int) -> np.ndarray:
-    """Kept rows of n that follow `before` rows; those within the leading indices of the file are kept without a draw."""
-    free = max(0, min(n, ALWAYS_KEPT - before))
-    return np.flatnonzero(np.append(np.ones(free, dtype=bool), rng.uniform(0, 100, n - free) <= percent))
-
-
 def read_count(spark: SparkSession, path: str) -> ExpressionFrame:
     """A .count file, genes in rows, with the annotations of the .meta file of the same name if there is one."""
     frame = read_delimited(spark, path, sep="\t")
@@ -181,15 +299,15 @@ def mtx_summary(spark: SparkSession, path: str) -> DataFrame:
     return head.select(n[1].cast("long").alias("n_cells"), n[0].cast("long").alias("n_genes"), F.try_divide(pairs - n[2].cast("double"), pairs).alias("sparsity"))
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """An annotation table with a header, and the place of each row as i, from 0."""
-    lines = numbered_lines(spark, path, F.trim("value") != "")
-    head = lines.filter("i = 0").first()
+def read_table(spark: SparkSession, path: str, sep: str | None = None, quote: str | None = '"') -> DataFrame:
+    """An annotation table with a header, and the place of each row as i, from 0; fields may be quoted."""
+    lines = records(spark, path, quote)
+    sep = sep or separator(path)
+    fields = record_fields(F.col("value"), sep, quote)
+    head = lines.filter("i = 0").select(fields.alias("f")).first()
     if head is None:
         raise InadequateHeaders(f"{path}: no header")
-    sep = sep or separator(path)
-    fields = F.split("value", sep.replace("\t", r"\t"), -1)
-    names = [n.strip() or f"column_{j + 1}" for j, n in enumerate(head["value"].split(sep))]
+    names = _unique([n.strip() or f"column_{j + 1}" for j, n in enumerate(head["f"])])
     return lines.filter("i > 0").select((F.col("i") - 1).alias("i"), *[F.get(fields, F.lit(j)).alias(n) for j, n in enumerate(names)])
 
 
