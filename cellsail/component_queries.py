@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsail.frame import from_long
-from cellsail.operators import align, harmony, principal
-from cellsail.queries import _E1, _E4, Query, _rounded, brands, vectors
+from cellsail.operators import align, display, harmony, principal
+from cellsail.queries import _E1, _E3, _E4, Query, _rounded, _values, brands, parts, vectors
+from cellsail.sources import readers
+from cellsail.tables import shared_path
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -84,6 +87,47 @@ def align_sources(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(align.fit_alignment(halves, "half", 3, 8).transform(halves), "value", digits=4)
 
 
+def display_sample(spark: SparkSession, d: str) -> DataFrame:
+    return display.display_sample(parts(spark, d), 500)
+
+
+def value_density(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(display.density(display.display_values(brands(spark, d)), "value", 200), "x", "density", digits=7)
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """One row a supplier, in their order, and one column a brand, with a separator, a quote and a line break in the names."""
+    f = brands(spark, d)
+    genes = [r[0] for r in f.genes.orderBy("gene").collect()]
+    rows = f.cells.select("cell").join(f.expr, "cell", "left").groupBy("cell").pivot("gene", genes).agg(F.first("value"))
+    return rows.orderBy("cell").select(F.concat(F.lit('"s"\n'), "cell").alias("id, quoted"), *[F.col(f"`{g}`").alias(g.replace("#", ',"')) for g in genes])
+
+
+def _written_wide(spark: SparkSession, d: str) -> str:
+    path = f"{shared_path(spark, 'files')}/wide.csv"
+    _wide(spark, d).coalesce(1).write.csv(path, header=True, escape='"', quoteAll=True, nullValue="0")
+    return path
+
+
+def read_csv_quoted(spark: SparkSession, d: str) -> DataFrame:
+    return _values(readers.read_delimited(spark, _written_wide(spark, d), genes_in_rows=False))
+
+
+#: Share of rows that read_sample takes, and columns of its file.
+_PERCENT, _WIDTH = 30.0, 26
+
+
+def read_sample(spark: SparkSession, d: str) -> DataFrame:
+    f = readers.read_delimited(spark, _written_wide(spark, d), genes_in_rows=False, rows_percent=_PERCENT)
+    return _values(f)
+
+
+def _kept_places(n: int = 1000) -> str:
+    """Places in the file, from 0 with the header, that the reader's stream of draws keeps: the first four, and those whose draw is low enough."""
+    drawn = np.random.RandomState(readers.SAMPLE_SEED).uniform(0, 100, _WIDTH - readers.ALWAYS_KEPT + n)[_WIDTH - readers.ALWAYS_KEPT :]
+    return ", ".join(str(i) for i in [*range(readers.ALWAYS_KEPT), *(np.flatnonzero(drawn <= _PERCENT) + readers.ALWAYS_KEPT)])
+
+
 _SETS = f"""{_E4.replace("CAST(unnest(embedding) AS DOUBLE) AS value, label", "CAST(unnest(embedding) AS DOUBLE) AS value, label % 2 AS part, label")},
 p AS (SELECT cell, part, gene AS component, value AS w FROM e WHERE gene < 2),
 sc AS (SELECT e.part, e.gene, component, sum(value * w) AS s, sum(value * w) / sqrt(sum(value * value)) AS score FROM e JOIN p ON e.cell = p.cell GROUP BY ALL),
@@ -112,6 +156,10 @@ for _name, _query, _sql in (
     ("shared_correlation", shared_correlation, f"WITH {_SETS}, {_BICOR} SELECT part AS dataset, component, round(avg(abs(score)), 6) AS shared FROM bc JOIN ch USING (gene, component) GROUP BY ALL"),
     ("metagene_projection", metagene_projection, f"WITH {_SETS}, {_PHI} SELECT cell, component, round(v + CASE WHEN part = 1 THEN shift ELSE 0 END, 5) AS value FROM r JOIN sh USING (component)"),
     ("align_sources", align_sources, None),
+    ("display_sample", display_sample, f"WITH {_E3}, h AS (SELECT cell, gene, value, CAST('0x' || substr(md5(cell || ':' || gene), 1, 13) AS BIGINT) AS hash, cell || ':' || gene AS pair FROM e WHERE value <> 0), r AS (SELECT *, row_number() OVER (ORDER BY value, hash, pair) AS up, row_number() OVER (ORDER BY value DESC, hash DESC, pair DESC) AS down FROM h), k AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN up = 1 OR down = 1 THEN 0 ELSE 1 END, hash, pair) AS i FROM r) SELECT cell, gene, value FROM k WHERE i <= 500"),
+    ("value_density", value_density, f"WITH {_E1}, v AS (SELECT value FROM e WHERE value <> 0), s AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2::DOUBLE) AS h FROM v), g AS (SELECT CAST(p AS INTEGER) AS place, lo - 0.025::DOUBLE * (hi - lo) + p * (1.05::DOUBLE * (hi - lo)) / 199 AS x, n, h FROM s CROSS JOIN (SELECT unnest(range(200)) AS p)) SELECT place, round(x, 7) AS x, round(sum(exp(-0.5::DOUBLE * ((x - value) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 7) AS density FROM g CROSS JOIN v GROUP BY place, x"),
+    ("read_csv_quoted", read_csv_quoted, f"""WITH {_E1} SELECT '"s"' || chr(10) || cell AS cell, replace(gene, '#', ',"') AS gene, round(value, 6) AS value FROM e WHERE value <> 0"""),
+    ("read_sample", read_sample, f"""WITH {_E1}, o AS (SELECT cell, row_number() OVER (ORDER BY cell) AS place FROM cells) SELECT '"s"' || chr(10) || cell AS cell, replace(gene, '#', ',"') AS gene, round(value, 6) AS value FROM e JOIN o USING (cell) WHERE value <> 0 AND place IN ({_kept_places()})"""),
 ):
     QUERIES[_name] = _query
     if _sql:

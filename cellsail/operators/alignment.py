@@ -7,7 +7,7 @@ its standardized values times weights of genes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
+from cellsail.functions.sums import matrix_sum
+from cellsail.operators.principal import dense_slices, largest_eigenvectors
 from cellsail.operators.scoring import gene_moments
+from cellsail.tables import written
 
-#: Genes that the sets may share: their products are a matrix of so many rows and columns in each task.
+#: Genes up to which the sets' products are made: a matrix of so many rows and columns in each task.
 MAX_GENES = 2000
 #: Tasks that sum products, each of which passes on one matrix.
 SUM_TASKS = 32
@@ -48,8 +51,6 @@ def _dense(batch: pa.RecordBatch, mean: np.ndarray, scale: np.ndarray) -> np.nda
 
 def standardized(frame: ExpressionFrame, genes: list) -> Standardized:
     """frame's cells over these genes; missing values count as 0."""
-    if len(genes) > MAX_GENES:
-        raise ValueError(f"more than {MAX_GENES} genes")
     place = {g: i for i, g in enumerate(genes)}
     spark = frame.expr.sparkSession
     index = spark.createDataFrame([(g, i) for g, i in place.items()], f"gene {dict(frame.genes.dtypes)['gene']}, i int")
@@ -139,6 +140,36 @@ def two_set_components(a: np.ndarray, b: np.ndarray, k: int) -> tuple[list[np.nd
     return [u, v], np.array([np.corrcoef(x, y)[0, 1] for x, y in zip((a @ u).T, (b @ v).T)])
 
 
+def large_set_components(x: Standardized, y: Standardized, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """As two_set_components, of sets of many genes: X'X and Y'Y are only applied to some vectors at a time, each time in one pass over the cells."""
+
+    def applied(z: Standardized) -> Callable[[np.ndarray], np.ndarray]:
+        size, mean, scale = len(z.mean), z.mean, z.scale
+        rows = written(z.vectors, "standardized")
+
+        def apply(w: np.ndarray) -> np.ndarray:
+            shared = rows.sparkSession.sparkContext.broadcast(w)
+
+            def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+                total = np.zeros((size, shared.value.shape[1]))
+                for batch in batches:
+                    for _, dense in dense_slices(batch, size):
+                        dense = (dense - mean) * scale
+                        total += dense.T @ (dense @ shared.value)
+                return total
+
+            return matrix_sum(rows, part, size, w.shape[1])
+
+        return apply
+
+    a, b = applied(x), applied(y)
+    value, u = largest_eigenvectors(len(x.mean), k, b, a)
+    u *= np.where(u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
+    seen = a(u)
+    v = seen / np.sqrt(value)
+    return [u, v], np.array([np.corrcoef(p, q)[0, 1] for p, q in zip(seen.T, b(v).T)])
+
+
 def many_set_components(grams: list[np.ndarray], k: int, turns: int = 25, limit: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray]:
     """Weights of each set for k components, one after the other.
 
@@ -176,16 +207,24 @@ def many_set_components(grams: list[np.ndarray], k: int, turns: int = 25, limit:
 
 
 def canonical_components(frames: list[ExpressionFrame], k: int = 20) -> tuple[Components, list[DataFrame]]:
-    """Components of two sets or more over the genes that all share, and (cell, component, value) of each set's cells."""
+    """Components of two sets or more over the genes that all share, and (cell, component, value) of each set's cells.
+
+    Two sets of more than MAX_GENES genes have no products; more sets of so many are an error.
+    """
     if len(frames) < 2:
         raise ValueError("two sets at least")
     shared = frames[0].genes.select("gene")
     for f in frames[1:]:
         shared = shared.join(f.genes.select("gene"), "gene", "left_semi")
-    genes = sorted(r[0] for r in shared.limit(MAX_GENES + 1).collect())
+    genes = sorted(r[0] for r in shared.collect())
+    if len(genes) > MAX_GENES and len(frames) > 2:
+        raise ValueError(f"more than {MAX_GENES} genes of more than two sets")
     if k > len(genes):
         raise ValueError(f"{k} components of {len(genes)} genes")
     sets = [standardized(f, genes) for f in frames]
+    if len(genes) > MAX_GENES:
+        weights, correlations = large_set_components(*sets, k)
+        return Components(genes, weights, correlations, []), [places(x, w) for x, w in zip(sets, weights)]
     grams = [products(x) for x in sets]
     weights, correlations = two_set_components(*grams, k) if len(sets) == 2 else many_set_components(grams, k)
     return Components(genes, weights, correlations, grams), [places(x, w) for x, w in zip(sets, weights)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -79,7 +79,8 @@ def batch_score(frame: ExpressionFrame, column: str, discrete: bool, alpha: floa
         z = frame.cells.select("cell", F.col(column).alias("own")).crossJoin(F.broadcast(levels)).select("cell", "level", F.coalesce(F.col("own") == F.col("level"), F.lit(False)).cast("double").alias("z"))
     else:
         z = frame.cells.select("cell", F.lit(0).alias("level"), F.col(column).cast("double").alias("z"))
-    limit = critical_r(frame.cells.count(), alpha)
+    # of as many pairs as the correlations have; indicators are known for all cells
+    limit = critical_r((frame.cells if discrete else z.filter("z IS NOT NULL")).count(), alpha)
     hit = _correlations(frame, z).groupBy("gene").agg(F.max(F.abs("r")).alias("r"))
     out = frame.genes.select("gene").join(hit, "gene", "left")
     return out.agg(F.avg((F.coalesce("r", F.lit(0.0)) > limit).cast("double")).alias("score"))
@@ -105,15 +106,16 @@ class BatchModel:
         return 1 + sum(len(v) - 1 for v in self.levels.values()) + len(self.continuous)
 
     def design(self, cells: DataFrame) -> DataFrame:
-        """(cell, z): the columns that are not 0 of each cell's row, as (i, z). Cells with a missing continuous value are left out; an unknown level is the first."""
-        at, items = 1, [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("z"))]
+        """(cell, z): the columns that are not 0 of each cell's row, as (i, z). Cells with a missing value of a variable, or a level that the fit did not see, are left out."""
+        at, items, known = 1, [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("z"))], []
         for name, levels in self.levels.items():
             place = F.array_position(F.array(*map(F.lit, levels)), F.col(name)) if levels else F.lit(0)
+            known.append(place > 0)
             items.append(F.when(place > 1, F.struct((place - 2 + at).cast("int").alias("i"), F.lit(1.0).alias("z"))))
             at += max(len(levels) - 1, 0)
         for j, name in enumerate(self.continuous):
             items.append(F.struct(F.lit(at + j).alias("i"), F.col(name).cast("double").alias("z")))
-        known = [F.col(c).cast("double").isNotNull() for c in self.continuous]
+        known += [F.col(c).cast("double").isNotNull() for c in self.continuous]
         rows = cells
         for k in known:
             rows = rows.filter(k)
@@ -159,6 +161,8 @@ def fit_batch(frame: ExpressionFrame, discrete: list[str] = (), continuous: list
     model = BatchModel(list(discrete), list(continuous), levels, None, nonzero_only, log_link)
     if model.width > MAX_DESIGN:
         raise ValueError(f"more than {MAX_DESIGN} columns in the design")
+    if len(discrete) == 1 and not continuous:
+        return replace(model, weights=_level_weights(frame, model))
     z = model.design(frame.cells)
     own = frame.expr.join(z, "cell")
     first = lambda x: F.explode(F.col(x))
@@ -178,6 +182,20 @@ def fit_batch(frame: ExpressionFrame, discrete: list[str] = (), continuous: list
     return BatchModel(model.discrete, model.continuous, levels, weights, nonzero_only, log_link)
 
 
+def _level_weights(frame: ExpressionFrame, model: BatchModel) -> DataFrame:
+    """(gene, w) of a design of one discrete variable: means of its levels, by sums over stored values."""
+    name, levels = model.discrete[0], model.levels[model.discrete[0]]
+    of = frame.cells.select("cell", F.col(name).alias("level")).filter(F.col("level").isin(levels))
+    y = F.log("value") if model.log_link else F.col("value")
+    own = frame.expr.join(of, "cell").groupBy("gene", "level").agg(F.sum(F.when(F.col("value") != 0, y)).alias("s"), F.count_if(F.col("value") != 0).alias("on"), F.count_if(F.col("value").isNull()).alias("missing"))
+    own = own.join(F.broadcast(of.groupBy("level").agg(F.count("*").alias("size"))), "level")
+    n = F.col("on") if model.nonzero_only else F.col("size") - F.col("missing")
+    means = own.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("level", F.coalesce(F.try_divide("s", n), F.lit(0.0))))).alias("m"))  # one entry a level
+    rows = frame.genes.select("gene").join(means, "gene", "left")
+    mean = [F.coalesce(F.try_element_at("m", F.lit(v)), F.lit(0.0)) for v in levels]
+    return rows.select("gene", F.array(*(mean[:1] or [F.lit(0.0)]), *[m - mean[0] for m in mean[1:]]).alias("w"))
+
+
 def remove_batch(frame: ExpressionFrame, model: BatchModel) -> ExpressionFrame:
     """Values less the fit, back through the link. A model fitted elsewhere can be replayed; genes that it lacks, and cells out of its design, stay.
 
@@ -193,7 +211,7 @@ def remove_batch(frame: ExpressionFrame, model: BatchModel) -> ExpressionFrame:
     left = F.col("value") - fitted
     # what a fit explains in full is 0, not the rounding of its arithmetic
     v = F.exp(F.log("value") - fitted) if model.log_link else F.when(F.abs(left) < 1e-9 * F.abs("value"), 0.0).otherwise(left)
-    out = d.select("cell", "gene", v.alias("value"))
+    out = d.select("cell", "gene", F.when(F.col("z").isNull(), F.col("value")).otherwise(v).alias("value"))
     return frame.with_expr(_shifted(frame, out) if model.nonzero_only and not model.log_link else out)
 
 

@@ -6,8 +6,6 @@ supplier and part the sparse one; embeddings by position are the dense, signed o
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,7 @@ from cellsail.functions.robust import biweight_location, biweight_midcorrelation
 from cellsail.operators import alignment, batch, clusters, filters, scoring, selection, spatial, stack, transforms
 from cellsail.plans import pipeline
 from cellsail.sources import readers
+from cellsail.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 MARKERS = ["Brand#11", "Brand#12", "Brand#23", "Brand#34", "Brand#55"]
@@ -200,25 +199,19 @@ def _against_first(spark: SparkSession, d: str) -> DataFrame:
     return f.expr.filter("gene > 0").join(f.cells.select("cell", "x"), "cell")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, or where that is unset, as in tests, in this machine's."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellsail-")
-    return f"{where.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def read_tsv(spark: SparkSession, d: str) -> DataFrame:
     """Counts written as a table of genes in rows, and read again."""
     f = brands(spark, d)
     cells = sorted(r[0] for r in f.cells.select("cell").collect())
     wide = f.expr.groupBy("gene").pivot("cell", cells).agg(F.first("value"))
-    path = f"{_folder(spark)}/counts.tsv"
+    path = f"{shared_path(spark, "files")}/counts.tsv"
     wide.coalesce(1).write.csv(path, sep="\t", header=True, nullValue="0")
     return _values(readers.read_expression(spark, path))
 
 
 def read_mtx(spark: SparkSession, d: str) -> DataFrame:
     """Counts written as a MatrixMarket triple, and read again."""
-    f, folder = parts(spark, d), _folder(spark)
+    f, folder = parts(spark, d), shared_path(spark, "files")
     n_genes, n_cells, n = f.genes.agg(F.max("gene")).first()[0] + 1, f.cells.agg(F.max("cell")).first()[0] + 1, f.expr.count()
     lines = f.expr.select(F.lit(1).alias("part"), F.concat_ws(" ", F.col("gene") + 1, F.col("cell") + 1, F.col("value")).alias("value"))
     head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{n_genes} {n_cells} {n}")], "part int, value string")
