@@ -471,7 +471,7 @@ def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | No
     # most tokens are those of one set: they go before anything is joined with their rows
     shared = rows.groupBy("g").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count("*").alias("k")).filter("k > 1")
     rows = rows.join(shared, "g").filter("most >= low AND n <= high").select("g", "a", "n", "most")
-    rows = materialize(_fitting(_fitting(labelled(rows, parts, "a", "c"))), "jaccard-differences")
+    rows = materialize(_fitting(labelled(rows, parts, "a", "c")), "jaccard-differences")
     if rows.isEmpty():
         return None
     size = rows.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("square"))
