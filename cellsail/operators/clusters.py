@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
 from cellsail.functions.quantiles import quantiles
+from cellsail.tables import written
 
 AGGREGATES = ("mean", "median", "min", "max", "fraction")
 
@@ -118,21 +119,25 @@ def top_overall(scores: DataFrame, n: int, by: str = "either") -> DataFrame:
 def top_per_cluster(scores: DataFrame, n: int, by: str = "either") -> DataFrame:
     """(cluster, gene, p): for each cluster in order, the n smallest p of genes that no earlier cluster took.
 
-    Sequential by definition. Only a cluster's n * clusters best candidates can be
-    taken, so that many rows a cluster reach the driver.
+    In rounds: each cluster offers for its n best genes that were not refused to it, and
+    a gene refuses all but the first cluster that offers. What nobody is refused any more
+    is what the clusters take one after the other. A cluster's n * clusters best genes are
+    all that it can need.
     """
-    n_clusters = scores.select("cluster").distinct().count()
-    w = Window.partitionBy("cluster").orderBy(F.round(by, 12), "gene")
-    rows = scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n * n_clusters).orderBy("cluster", "place").select("cluster", "gene", by).collect()
-    taken, out, left = set(), [], {}
-    for r in rows:
-        left.setdefault(r["cluster"], n)
-        if left[r["cluster"]] and r["gene"] not in taken:
-            taken.add(r["gene"])
-            left[r["cluster"]] -= 1
-            out.append((r["cluster"], r["gene"], r[by]))
-    types = dict(scores.dtypes)
-    return scores.sparkSession.createDataFrame(out, f"cluster {types['cluster']}, gene {types['gene']}, p double")
+    order = scores.select("cluster").distinct()
+    order = order.select(F.col("cluster").alias("of"), F.row_number().over(Window.orderBy("cluster")).alias("number"))  # one row a cluster
+    best = Window.partitionBy("number").orderBy(F.round("p", 12), "gene")
+    rows = scores.select("cluster", "gene", F.col(by).alias("p")).join(F.broadcast(order), F.col("cluster").eqNullSafe(F.col("of"))).drop("of")
+    rows = written(rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n * order.count()), "best-genes")
+    refused = None
+    while True:
+        left = rows if refused is None else rows.join(refused, ["number", "gene"], "left_anti")
+        offers = left.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n)
+        offers = written(offers.withColumn("first", F.min("number").over(Window.partitionBy("gene"))), "offers")
+        new = offers.filter("number > first").select("number", "gene")
+        if new.isEmpty():
+            return offers.select("cluster", "gene", "p")
+        refused = new if refused is None else refused.unionByName(new)
 
 
 def impute_means(summary: DataFrame) -> DataFrame:

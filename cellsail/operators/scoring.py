@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.frame import ExpressionFrame
 from cellsail.functions.quantiles import order_statistics, with_zeros
+from cellsail.tables import written
 
 
 def gene_moments(frame: ExpressionFrame, skip_missing: bool = False) -> DataFrame:
@@ -116,16 +121,27 @@ def regression_scores(frame: ExpressionFrame, target: str) -> DataFrame:
     return r.select("gene", F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("f"), r2.alias("r2"))
 
 
-def score_table(genes: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
+def score_table(genes: DataFrame, scores: dict[str, DataFrame | Callable[[], DataFrame]]) -> DataFrame:
     """One row a gene with the scores of all scorers; a gene that one does not know has null there.
 
-    Each has (gene, score...). One column takes the scorer's name, several name_1 and on.
+    Each has (gene, score...). One column takes the scorer's name, several name_1 and
+    on. A scorer given as a function is worked out by itself: if it fails, its scores are
+    missing, under its name, and a warning says why. Infinite scores become the largest double.
     """
     out = genes
     for name, found in scores.items():
+        if callable(found):
+            try:
+                found = written(found(), "scores")
+            except Exception as e:  # whatever a scorer raises
+                warnings.warn(f"{name}: {e}", stacklevel=2)
+                out = out.withColumn(name, F.lit(None).cast("double"))
+                continue
         own = [c for c in found.columns if c != "gene"]
         new = [name] if len(own) == 1 else [f"{name}_{i + 1}" for i in range(len(own))]
-        out = out.join(found.select("gene", *[F.col(c).alias(n) for c, n in zip(own, new)]), "gene", "left")
+        most = float(sys.float_info.max)
+        held = [F.greatest(F.least(F.col(c).cast("double"), F.lit(most)), F.lit(-most)).alias(x) if dict(found.dtypes)[c] in ("double", "float") else F.col(c).alias(x) for c, x in zip(own, new)]
+        out = out.join(found.select("gene", *held), "gene", "left")
     return out
 
 

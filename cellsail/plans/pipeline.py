@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from cellsail.frame import ExpressionFrame
-from cellsail.operators.selection import dropout_genes, variable_genes
+from cellsail.operators.selection import dropout_by_curve, dropout_genes, dropout_statistics, variable_genes
 from cellsail.operators.transforms import binarize, log_scale, normalize_cells, normalize_groups, standardize
 
+
+def _dropout(frame: ExpressionFrame, n_genes: int | None = 1000, x_offset: float = 5.0, decay: float = 1.0, y_offset: float = 0.02, threshold: float = 0, at_least: int = 0) -> ExpressionFrame:
+    """The genes that a curve selects, moved so that there are n_genes or, without n_genes, at x_offset."""
+    if n_genes is None:
+        return frame.keep_genes(dropout_by_curve(dropout_statistics(frame, threshold, at_least), decay, x_offset, y_offset))
+    return frame.keep_genes(dropout_genes(frame, n_genes, decay, y_offset, threshold, at_least))
+
+
 ACTIONS = {
     "log": log_scale,
     "binarize": binarize,
@@ -13,7 +21,7 @@ ACTIONS = {
     "normalize_groups": normalize_groups,
     "standardize": standardize,
     "variable_genes": lambda frame, **kw: frame.keep_genes(variable_genes(frame, **kw)),
-    "dropout_genes": lambda frame, n_genes=1000: frame.keep_genes(dropout_genes(frame, n_genes)),
+    "dropout_genes": _dropout,
 }
 DEFAULT = [("normalize", {}), ("log", {}), ("variable_genes", {}), ("standardize", {})]
 

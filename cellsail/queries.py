@@ -146,7 +146,18 @@ def _register() -> None:
     _add("enrich_counts", lambda s, d: clusters.expression_counts(vectors(s, d), "label"), f"WITH {_E4}, {counts} SELECT cluster, gene, k, in_cluster, expressing, total FROM t")
     _add("enrichment", lambda s, d: _rounded(clusters.enrichment(vectors(s, d), "label"), "fraction", "low", "high", "either"), f"WITH {_E4}, {counts}, {tails} SELECT cluster, gene, round(fraction, 6) AS fraction, round(low, 6) AS low, round(high, 6) AS high, round(least(low, high), 6) AS either FROM en")
     _add("enrich_top_overall", lambda s, d: _rounded(clusters.top_overall(clusters.enrichment(vectors(s, d), "label"), 10), "p"), f"WITH {_E4}, {counts}, {tails}, r AS (SELECT *, least(low, high) AS p, row_number() OVER (PARTITION BY cluster ORDER BY round(least(low, high), 12), gene) AS i FROM en) SELECT gene, round(min(p), 6) AS p FROM r WHERE i <= 10 GROUP BY 1 ORDER BY round(min(p), 12), gene LIMIT 10")
-    _add("enrich_top_per_cluster", lambda s, d: _rounded(clusters.top_per_cluster(clusters.enrichment(vectors(s, d), "label"), 3), "p"))
+    # ten labels, one after the other
+    steps = ", ".join(f"g{i} AS MATERIALIZED (SELECT cluster, gene, p FROM en2 WHERE cluster = {i}" + (f" AND gene NOT IN ({' UNION ALL '.join(f'SELECT gene FROM g{j}' for j in range(i))})" if i else "") + " ORDER BY round(p, 12), gene LIMIT 3)" for i in range(10))
+    _add("enrich_top_per_cluster", lambda s, d: _rounded(clusters.top_per_cluster(clusters.enrichment(vectors(s, d), "label"), 3), "p"), f"WITH {_E4}, {counts}, {tails}, en2 AS MATERIALIZED (SELECT cluster, gene, least(low, high) AS p FROM en), {steps} SELECT cluster, gene, round(p, 6) AS p FROM ({' UNION ALL '.join(f'SELECT * FROM g{i}' for i in range(10))})")
+    given = [0, 5, 63, 64]
+    _add("enrich_given_genes", lambda s, d: _rounded(clusters.scores_of(clusters.enrichment((f := vectors(s, d)), "label").select("cluster", "gene", F.col("either").alias("p")), f.genes.filter(F.col("gene").isin(given))), "p").select("cluster", "gene", "p"), f"WITH {_E4}, {counts}, {tails} SELECT cluster, gene, round(least(low, high), 6) AS p FROM en WHERE gene IN (0, 5, 63)")
+    _add("cluster_result_table", lambda s, d: clusters.result_table(vectors(s, d), "label", [7, 3], "max").select("cluster", F.round("7", 6).alias("g7"), F.round("3", 6).alias("g3")), f"WITH {_E4} SELECT label AS cluster, round(max(value) FILTER (gene = 7), 6) AS g7, round(max(value) FILTER (gene = 3), 6) AS g3 FROM e GROUP BY 1")
+    _add("score_cells_no_markers", lambda s, d: scoring.score_cells((f := brands(s, d)), f.genes.filter("gene = 'none'")), f"WITH {_E1} SELECT cell, 1.0::DOUBLE AS score FROM cells")
+    _add("stack_sources", lambda s, d: stack.stack(_halves(s, d)).cells.groupBy("source").agg(F.count("*").alias("n"), F.min("cell").alias("first")), f"WITH {_E1} SELECT CASE cell % 2 WHEN 0 THEN 'a' ELSE 'b' END AS source, count(*) AS n, min(CASE cell % 2 WHEN 0 THEN 'a:' ELSE 'b:' END || cell) AS first FROM cells GROUP BY 1")
+    _add("transposed_totals", lambda s, d: _rounded(filters.metric(brands(s, d).transpose(), "cell", "total_counts"), "metric"), f"WITH {_E1} SELECT gene AS cell, round(coalesce(sum(value), 0), 6) AS metric FROM genes LEFT JOIN e USING (gene) GROUP BY 1")
+    _add("filter_without_bounds", lambda s, d: _values(filters.filter_side(parts(s, d), "cell", "detection")), f"WITH {_E3} SELECT cell, gene, round(value, 6) AS value FROM e WHERE value <> 0")
+    _add("reduced_to_top_genes", lambda s, d: _values((f := brands(s, d)).keep_genes(scoring.top_genes(scoring.score_genes(f).select("gene", "mean"), "mean", 4))), f"WITH {_E1}, {moments}, k AS (SELECT gene FROM mo ORDER BY mean DESC, gene DESC LIMIT 4) SELECT cell, gene, round(value, 6) AS value FROM e WHERE gene IN (SELECT gene FROM k) AND value <> 0")
+    _add("matrix_summary", lambda s, d: _rounded(readers.summary(parts(s, d)), "sparsity"), f"WITH {_E3} SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT count(*) FROM genes) AS n_genes, round(1 - (SELECT count(*) FROM e WHERE value <> 0) / ((SELECT count(*) FROM cells) * (SELECT count(*) FROM genes))::DOUBLE, 6) AS sparsity")
     dz = "dz AS (SELECT gene, cell, value, balance AS z, nation FROM dense JOIN cells USING (cell))"
     _add("batch_correlation", lambda s, d: _rounded(batch._correlations((f := brands(s, d)), f.cells.select("cell", F.lit(0).alias("level"), F.col("balance").alias("z"))).select("gene", "r"), "r"), f"WITH {_E1}, {dz} SELECT gene, round(corr(value, z), 6) AS r FROM dz GROUP BY 1")
     # the correlation of p = 0.05 depends on the number of cells: 10, 100 and 1000 in the driver's tables
@@ -155,6 +166,8 @@ def _register() -> None:
     _add("batch_score_discrete", lambda s, d: _rounded(batch.batch_score(brands(s, d), "nation", True), "score"), f"WITH {_E1}, {dz}, l AS (SELECT DISTINCT nation AS level FROM cells), r AS (SELECT gene, max(r) AS r FROM (SELECT gene, level, abs(corr(value, CASE WHEN nation = level THEN 1.0 ELSE 0 END)) AS r FROM dz CROSS JOIN l GROUP BY ALL) GROUP BY 1) SELECT round(avg(CASE WHEN r > {limit} THEN 1.0 ELSE 0 END), 6) AS score FROM r")
     _add("regression_scores", lambda s, d: _rounded(scoring.regression_scores(brands(s, d), "balance"), "f", "r2"), f"WITH {_E1}, {dz}, r AS (SELECT gene, corr(value, z) ** 2 AS r2, count(*) AS n FROM dz GROUP BY 1) SELECT gene, round(r2 * (n - 2) / (1 - r2), 6) AS f, round(r2, 6) AS r2 FROM r")
     _add("score_table", lambda s, d: _rounded(scoring.score_table((f := brands(s, d)).genes, {"moments": scoring.score_genes(f).select("gene", "mean", "variance"), "r2": scoring.regression_scores(f, "balance").select("gene", "r2")}), "moments_1", "moments_2", "r2", digits=4), f"WITH {_E1}, {dz} SELECT gene, round(avg(value), 4) AS moments_1, round(var_pop(value), 4) AS moments_2, round(corr(value, z) ** 2, 4) AS r2 FROM dz GROUP BY 1")
+    seen = "se AS (SELECT gene, nation, avg(value) AS m FROM dz WHERE cell % 2 = 0 GROUP BY ALL)"
+    _add("batch_replay", lambda s, d: _values(batch.remove_batch((f := brands(s, d)).keep_cells(f.cells.filter("cell % 2 = 1")), batch.fit_batch(f.keep_cells(f.cells.filter("cell % 2 = 0")), ["nation"])), 5, zeros=True), f"WITH {_E1}, {dz}, {seen} SELECT cell, dz.gene, round(value - coalesce(m, 0), 5) AS value FROM dz LEFT JOIN se ON se.gene = dz.gene AND se.nation = dz.nation WHERE cell % 2 = 1")
     _add("batch_residual_discrete", lambda s, d: _values(batch.remove_discrete(brands(s, d), "nation"), zeros=True), f"WITH {_E1}, {dz} SELECT cell, gene, round(value - avg(value) OVER (PARTITION BY gene, nation), 6) AS value FROM dz")
     fit = "fi AS (SELECT gene, regr_slope(value, z) AS b, regr_intercept(value, z) AS a FROM dz GROUP BY 1)"
     mixed = "ce AS (SELECT cell, gene, value - avg(value) OVER (PARTITION BY gene, nation) AS y, z - avg(z) OVER (PARTITION BY gene, nation) AS x FROM dz), sl AS (SELECT gene, sum(x * y) / sum(x * x) AS b FROM ce GROUP BY 1)"
@@ -191,6 +204,11 @@ def _register() -> None:
     _add("biweight_midcovariance", lambda s, d: _rounded(biweight_midcovariance(_against_first(s, d), ["gene"], "value", "x"), "midcovariance"), f"WITH {_E4}, {pairs.split(', md AS')[0]}, {both} SELECT gene, round(count(*) * sum(CASE WHEN u < 1 AND v < 1 THEN x * (1 - u) ** 2 * y * (1 - v) ** 2 ELSE 0 END) / (sum(CASE WHEN u < 1 THEN (1 - u) * (1 - 5 * u) ELSE 0 END) * sum(CASE WHEN v < 1 THEN (1 - v) * (1 - 5 * v) ELSE 0 END)), 6) AS midcovariance FROM w GROUP BY 1")
     _add("biweight_location", lambda s, d: _rounded(biweight_location(vectors(s, d).expr, ["gene"], "value"), "location"), f"WITH {_E4}, md AS (SELECT gene, median(value) AS m FROM e GROUP BY 1), ma AS (SELECT gene, any_value(m) AS m, median(abs(value - m)) AS a FROM e JOIN md USING (gene) GROUP BY 1), u AS (SELECT gene, m, value - m AS x, CASE WHEN abs((value - m) / (6 * a)) < 1 THEN (1 - ((value - m) / (6 * a)) ** 2) ** 2 ELSE 0 END AS w FROM e JOIN ma USING (gene)) SELECT gene, round(any_value(m) + sum(w * x) / sum(w), 6) AS location FROM u GROUP BY 1")
     _add("spearman_pairs", lambda s, d: _rounded(spearman(_against_first(s, d), ["gene"], "value", "x"), "rho"), f"WITH {_E4}, rk AS (SELECT gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS rx, rank() OVER (PARTITION BY gene ORDER BY cells.x) + (count(*) OVER (PARTITION BY gene, cells.x) - 1) / 2 AS ry FROM e JOIN cells USING (cell) WHERE gene > 0) SELECT gene, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY 1")
+    logs = "n AS (SELECT cell, gene, log2(value / s * 1e6 + 1) AS value FROM e JOIN s USING (cell)), nd AS (SELECT cell, gene, coalesce(n.value, 0) AS value FROM cells CROSS JOIN genes LEFT JOIN n USING (cell, gene)), mo AS (SELECT gene, avg(value) AS mean, var_pop(value) AS variance FROM nd GROUP BY 1)"
+    cut = """p AS (SELECT gene, CASE WHEN mean = 0 THEN 0 ELSE variance / mean END AS score, ((rank() OVER (ORDER BY mean) - 1) * 2 + count(*) OVER (PARTITION BY mean) + 1) * 50.0::DOUBLE / count(*) OVER () AS p FROM mo), r AS (SELECT *, min(p) OVER () AS low, max(p) OVER () AS high FROM p),
+        b AS (SELECT gene, score, greatest(1, len(list_filter(range(4), lambda i: low + i * ((high - low) / 4) < p))) AS bin FROM r), zz AS (SELECT gene, coalesce(CASE WHEN stddev_pop(score) OVER w > 0 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w END, 0) AS z FROM b WINDOW w AS (PARTITION BY bin)), kept AS (SELECT gene FROM zz ORDER BY round(z, 9) DESC, gene LIMIT 7)"""
+    _add("pipeline_with_a_cut", lambda s, d: _values(pipeline.run(brands(s, d), [("normalize", {}), ("log", {}), ("variable_genes", {"n_genes": 7, "n_groups": 4}), ("standardize", {})]), zeros=True), f"WITH {_E1}, {sums}, {logs}, {cut} SELECT cell, gene, round(CASE WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END, 6) AS value FROM nd WHERE gene IN (SELECT gene FROM kept) WINDOW w AS (PARTITION BY gene)")
+    _add("pipeline_dropout_curve", lambda s, d: _values(pipeline.run(parts(s, d), [("dropout_genes", {"n_genes": None, "x_offset": 4.0}), ("binarize", {"threshold": 30})])), f"WITH {_E3}, {drop} SELECT cell, gene, 1.0::DOUBLE AS value FROM e WHERE value >= 30 AND gene IN (SELECT gene FROM st WHERE zero_rate > exp(-(mean_expr - 4.0)) + 0.02)")
     _add("default_pipeline", lambda s, d: _values(pipeline.run(brands(s, d)), zeros=True), f"WITH {_E1}, {sums}, n AS (SELECT cell, gene, log2(value / s * 1e6 + 1) AS value FROM e JOIN s USING (cell)), {z.replace('FROM dense', 'FROM (SELECT cell, gene, coalesce(n.value, 0) AS value FROM cells CROSS JOIN genes LEFT JOIN n USING (cell, gene))')} SELECT cell, gene, round(value, 6) AS value FROM z")
 
 
