@@ -214,10 +214,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
     items = benchmark.filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).collect()[0][0] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    plain = docs.select(*carry).schema.fields
+    names = [f"carried_{i}" for i in range(len(carry))]  # whatever the columns are called
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names)], F.col(text_col).alias("_text"))
+    plain = own.select(*names).schema.fields
     inner = StructType([*plain, StructField("_text", StringType()), StructField("_hits", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))])
     schema = StructType([*plain, *(StructField(n, LongType()) for n in ("n_words", "n_hit", "n_items")), StructField("items_sha256", StringType())])
-    state = docs.select(*carry, F.col(text_col).alias("_text"), F.array().cast("array<bigint>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    state = own.select(*names, "_text", F.array().cast("array<bigint>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for i in range(n_blocks):
         part = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == i)
         got = part.toArrow()
@@ -227,7 +229,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_c
         search = _search(spark.sparkContext.broadcast(table), inner)
         # the last search and the summary are one step of the same worker
         state = state.mapInArrow(search, inner) if i < n_blocks - 1 else state.mapInArrow(_then(search, _summary(schema)), schema)
-    return state.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = state.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumnsRenamed(dict(zip(names, carry)))
 
 
 def _then(first, second):

@@ -67,7 +67,8 @@ def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     """Learn from usable rows with a language and a text.
 
     The sample is max_rows_per_lang rows of each language in expectation, picked
-    by a hash of the id. Only the counts of each task reach the driver.
+    by a hash of the id; rows that share an id are picked together, and repeated
+    rows count as often as they occur. Only the counts of each task reach the driver.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -110,7 +111,9 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
     """carry columns, lang_pred and score, the posterior probability of lang_pred.
 
     `und` with score 0 for a text that is null or has no letter, or if the model
-    has no language. Equal posteriors go to the first language by name.
+    has no language. Equal posteriors go to the first language by name. Repeated
+    rows get equal results, an empty table none; texts of any length are taken
+    whole. Carried columns may have any names but those of the results.
     """
     kept = docs.select(*carry, text_col)
     schema = kept.select(*carry).schema.add("lang_pred", "string").add("score", "double")

@@ -75,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     """Fit on usable labelled rows, max_rows of them in expectation.
 
     Without rows of both classes, every text scores the share of label 1 (0.5
-    without any row).
+    without any row). Of an id that labels repeat the label counts once, or not at
+    all if its labels differ; all rows of documents with the id are learned from.
     """
     ids = labelled(labels, label, usable, max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))

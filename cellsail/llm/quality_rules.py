@@ -63,7 +63,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, label:
     """Fit on labelled rows that are usable, max_rows of them in expectation.
 
     Four fifths of the sample fit the weights, the rest the calibration. With no
-    labelled row the model scores every text 1, so that the base rules decide.
+    labelled row the model scores every text 1, so that the base rules decide. Of an
+    id that labels repeat the label counts once, or not at all if its labels differ.
     """
     ids = labelled(labels, label, F.lit(True) if usable is None else usable, max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("order", F.xxhash64("doc_id"))

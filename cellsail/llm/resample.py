@@ -99,7 +99,7 @@ def weights(docs: DataFrame, carry: list[str], text_col: str, gains: np.ndarray,
     buckets = len(gains)
     held = docs.sparkSession.sparkContext.broadcast(gains)
     kept = docs.select(*carry, F.col(text_col).alias("_text"))
-    schema = kept.select(*carry).schema.add("n_words", "long").add("n_features", "long").add("weight", "long")
+    schema = docs.select(*carry).schema.add("n_words", "long").add("n_features", "long").add("weight", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

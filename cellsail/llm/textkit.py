@@ -34,6 +34,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """name, longer if a column has it: Spark compares names without case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits depend on all input bits."""
     x = x.astype(U, copy=True)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellsail.llm.textkit import unused
+
 WORD_END = "</w>"
 #: Code points whose class and normal form are asked of the library beforehand; parts of a text with others go to the library.
 CODE_POINTS = 0x10000
@@ -199,8 +201,8 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, carry: list[str], limi
     if clash := {*carry} & {"n_bytes", "n_tokens", "over_limit"}:
         raise ValueError(f"columns named like results: {sorted(clash)}")
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = docs.select(*carry, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
-    schema = kept.select(*carry, "n_bytes").schema.add("n_tokens", "long")
+    kept = docs.select(*carry, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias(unused("_text", carry)))
+    schema = docs.select(*carry).schema.add("n_bytes", "long").add("n_tokens", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(held.value)

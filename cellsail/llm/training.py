@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsail.llm.textkit import Block, blocks
+from cellsail.llm.textkit import Block, blocks, unused
 
 #: Rows of a training sample, in expectation; a hash of the id picks them, alike at every run.
 MAX_TRAIN_ROWS = 3000
@@ -107,8 +107,8 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, f
 
 def score_texts(docs: DataFrame, carry: list[str], margins: Callable[[Block], np.ndarray], text_col: str = "text") -> DataFrame:
     """carry columns and a double score of each row, in Arrow batches."""
-    kept = docs.select(*carry, F.col(text_col).alias("_text"))
-    schema = kept.select(*carry).schema.add("score", "double")
+    kept = docs.select(*carry, F.col(text_col).alias(unused("_text", carry)))
+    schema = docs.select(*carry).schema.add("score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

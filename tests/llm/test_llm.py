@@ -221,6 +221,10 @@ def test_decontaminate(spark):
     for size in (1 << 20, 200):
         got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find_windows(docs_of(spark, texts), bench, ["doc_id"], block_bytes=size).collect()}
         assert got == expected
+    clash = docs_of(spark, texts, _text="int", _hits="int", _items="int", carried_0="int")
+    carried = decontaminate.find_windows(clash, bench, ["_hits", "doc_id", "_text", "text", "_items", "carried_0"])
+    assert carried.columns[:6] == ["_hits", "doc_id", "_text", "text", "_items", "carried_0"]
+    assert {r["doc_id"]: tuple(r)[6:] for r in carried.collect()} == expected
     none = decontaminate.find_windows(docs_of(spark, texts), bench.limit(0), ["doc_id", "text"]).collect()
     assert len(none) == len(texts) and not any(r["contaminated"] for r in none)
 

@@ -121,7 +121,7 @@ def test_tokens_of_the_library(spark, vocabulary, monkeypatch):
     texts = [None, "", " ", "a" * 3000, "don't we'll <|endoftext|>x's's", *odd_texts(1, 2000), *corpus(3, 100)]
     texts += texts[:20]
     rows = spark.createDataFrame([(i % 7, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _text string")
-    got = token_counts.count_tokens(rows.withColumn("at", F.monotonically_increasing_id()), vocabulary, ["at", "doc_id"], limit=40).orderBy("at").collect()
+    got = token_counts.count_tokens(rows.withColumn("at", F.monotonically_increasing_id()), vocabulary, ["at", "doc_id", "_text"], limit=40).orderBy("at").collect()
     want = library(vocabulary, texts)
     assert [r["n_tokens"] for r in got] == want
     assert [r["n_bytes"] for r in got] == [len((t or "").encode()) for t in texts]
