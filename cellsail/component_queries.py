@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsail.frame import from_long
-from cellsail.operators import align, display, harmony, principal
+from cellsail.operators import align, alignment, display, harmony, principal
 from cellsail.queries import _E1, _E3, _E4, Query, _rounded, _values, brands, parts, vectors
 from cellsail.sources import readers
 from cellsail.tables import shared_path
@@ -35,6 +35,29 @@ def _first_component_sql(squarings: int = 14) -> str:
         SELECT gene, round(w * s, 5) AS weight, round(l, 5) AS deviation FROM w CROSS JOIN s CROSS JOIN l"""
 
 
+def canonical_first(spark: SparkSession, d: str) -> DataFrame:
+    """(set, gene, weight, correlation) of the first canonical component of two halves of the suppliers."""
+    f = brands(spark, d)
+    found, _ = alignment.canonical_components([f.keep_cells(f.cells.filter(f"cell % 2 = {i}")) for i in (0, 1)], 2)
+    rows = [(i, g, float(x), float(found.correlations[0])) for i, w in enumerate(found.weights) for g, x in zip(found.genes, w[:, 0])]
+    return _rounded(spark.createDataFrame(rows, "set int, gene string, weight double, correlation double"), "weight", "correlation", digits=5)
+
+
+def _first_canonical_sql(squarings: int = 14) -> str:
+    """A high power of Y'Y X'X has the first set's weights in each column."""
+    power = ["p0 AS MATERIALIZED (SELECT b.i, a.j, sum(b.v * a.v) AS v FROM gb b JOIN ga a ON b.j = a.i GROUP BY ALL)"]
+    for k in range(squarings):
+        power.append(f"q{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{k} a JOIN p{k} b ON a.j = b.i GROUP BY ALL), p{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM q{k}) AS v FROM q{k})")
+    return f"""WITH {_E1}, z AS MATERIALIZED (SELECT cell, cell % 2 AS part, gene, CASE WHEN stddev_pop(value) OVER w > 1e-8 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z FROM dense WINDOW w AS (PARTITION BY gene, cell % 2)),
+        g AS MATERIALIZED (SELECT a.part, a.gene AS i, b.gene AS j, sum(a.z * b.z) AS v FROM z a JOIN z b ON a.cell = b.cell GROUP BY ALL), ga AS (SELECT i, j, v FROM g WHERE part = 0), gb AS (SELECT i, j, v FROM g WHERE part = 1), {", ".join(power)},
+        best AS (SELECT j FROM p{squarings} GROUP BY j ORDER BY sum(v * v) DESC LIMIT 1), r AS MATERIALIZED (SELECT i, v FROM p{squarings} WHERE j = (SELECT j FROM best)),
+        au AS (SELECT ga.i, sum(ga.v * r.v) AS v FROM ga JOIN r ON ga.j = r.i GROUP BY 1), l AS (SELECT sqrt(sum(r.v * au.v)) * CASE WHEN arg_max(r.v, abs(r.v)) < 0 THEN -1 ELSE 1 END AS l FROM r JOIN au ON r.i = au.i),
+        u AS MATERIALIZED (SELECT i, v / l AS v FROM r CROSS JOIN l), su AS MATERIALIZED (SELECT i, v / l AS v FROM au CROSS JOIN l),
+        bsu AS MATERIALIZED (SELECT gb.i, sum(gb.v * su.v) AS v FROM gb JOIN su ON gb.j = su.i GROUP BY 1), sg AS (SELECT sqrt(sum(su.v * bsu.v)) AS s FROM su JOIN bsu ON su.i = bsu.i),
+        c AS (SELECT corr(su.v, bsu.v) AS c FROM su JOIN bsu ON su.i = bsu.i)
+        SELECT CAST(part AS INTEGER) AS set, gene, round(w, 5) AS weight, round(c, 5) AS correlation FROM (SELECT 0 AS part, i AS gene, v AS w FROM u UNION ALL SELECT 1, i, v / s FROM su CROSS JOIN sg) CROSS JOIN c"""
+
+
 def harmony_pcs(spark: SparkSession, d: str) -> DataFrame:
     """The components of the embeddings, with labels as batches; few turns, as each is some jobs."""
     settings = harmony.Settings(clusters=4, rounds=2, inner=2, block_size=0.5)
@@ -149,6 +172,7 @@ sh AS (SELECT a.component, min(abs(a.dec - b.dec)) AS shift FROM dc a JOIN dc b
 
 for _name, _query, _sql in (
     ("principal_first", principal_first, _first_component_sql()),
+    ("canonical_first", canonical_first, _first_canonical_sql()),
     ("harmony_pcs", harmony_pcs, None),
     ("metagene_rank", metagene_rank, f"WITH {_SETS} SELECT component, gene, rank FROM ch"),
     ("component_spearman", component_spearman, f"WITH {_SETS}, pr AS (SELECT e.gene, component, value AS x, w AS y FROM e JOIN p ON e.cell = p.cell WHERE e.part = 0), rr AS (SELECT gene, component, rank() OVER (PARTITION BY gene, component ORDER BY x) + (count(*) OVER (PARTITION BY gene, component, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY gene, component ORDER BY y) + (count(*) OVER (PARTITION BY gene, component, y) - 1) / 2 AS ry FROM pr) SELECT gene, component, round(corr(rx, ry), 6) AS score FROM rr GROUP BY ALL"),

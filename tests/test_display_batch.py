@@ -89,3 +89,40 @@ def test_components_of_many_genes(spark, monkeypatch):
         assert np.allclose(a, b, atol=1e-6)
     with pytest.raises(ValueError):
         alignment.canonical_components([*frames, frames[0]], 3)
+
+
+def test_many_sets_by_hand(spark):
+    rng = np.random.default_rng(9)
+    shared = rng.normal(size=(4, 12))
+    xs = [rng.normal(size=(n, 4)) @ shared * np.array([2.0]) + rng.normal(size=(n, 12)) for n in (20, 25, 30)]
+    found, places = alignment.canonical_components([frame(spark, x) for x in xs], 2)
+    zs = [(x - x.mean(axis=0)) / x.std(axis=0) for x in xs]
+    done: list[list[np.ndarray]] = [[] for _ in zs]
+    for c in range(2):  # over cells, with all products of sets as matrices
+        w = [np.linalg.svd(z, full_matrices=False)[0][:, c] for z in zs]
+        # a start's sign is free; as the library has it, from the genes' side
+        for i, z in enumerate(zs):
+            s = np.linalg.eigh(z.T @ z)[1][:, -1 - c]
+            w[i] = z @ s / np.linalg.norm(z @ s)
+        before = 0.0
+        for _ in range(25):
+            for i, z in enumerate(zs):
+                v = sum(z @ (zs[j].T @ w[j]) for j in range(3) if j != i)
+                for t in done[i]:
+                    v = v - (t @ v) * t
+                w[i] = v / np.linalg.norm(v)
+            now = sum((zs[i].T @ w[i]) @ (zs[j].T @ w[j]) for i in range(3) for j in range(i))
+            if abs(now - before) <= 1e-3 * max(abs(before), 1e-300):
+                break
+            before = now
+        for i in range(3):
+            done[i].append(w[i])
+    for i, p in enumerate(places):
+        got = np.zeros((len(xs[i]), 2))
+        for r in p.collect():
+            got[r["cell"], r["component"]] = r["value"]
+        for c in range(2):
+            assert np.isclose(abs(got[:, c] @ done[i][c]), 1, atol=1e-6), (i, c)
+    for c in range(2):
+        want = np.mean([np.corrcoef(zs[i].T @ done[i][c], zs[j].T @ done[j][c])[0, 1] for i in range(3) for j in range(i)])
+        assert np.isclose(found.correlations[c], want, atol=1e-6)
