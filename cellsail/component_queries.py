@@ -136,8 +136,8 @@ def read_csv_quoted(spark: SparkSession, d: str) -> DataFrame:
     return _values(readers.read_delimited(spark, _written_wide(spark, d), genes_in_rows=False))
 
 
-#: Share of rows that read_sample takes, and columns of its file.
-_PERCENT, _WIDTH = 30.0, 26
+#: Share of rows that read_sample takes.
+_PERCENT = 30.0
 
 
 def read_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def read_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def _kept_places(n: int = 1000) -> str:
     """Places in the file, from 0 with the header, that the reader's stream of draws keeps: the first four, and those whose draw is low enough."""
-    drawn = np.random.RandomState(readers.SAMPLE_SEED).uniform(0, 100, _WIDTH - readers.ALWAYS_KEPT + n)[_WIDTH - readers.ALWAYS_KEPT :]
+    drawn = np.random.RandomState(readers.SAMPLE_SEED).uniform(0, 100, n)
     return ", ".join(str(i) for i in [*range(readers.ALWAYS_KEPT), *(np.flatnonzero(drawn <= _PERCENT) + readers.ALWAYS_KEPT)])
 
 

@@ -155,6 +155,11 @@ def keep_list(rng: np.random.RandomState, n: int, percent: float) -> np.ndarray:
     return np.flatnonzero(np.append(np.ones(min(n, ALWAYS_KEPT), dtype=bool), drawn))
 
 
+def _sampled(percent: float | None) -> bool:
+    """All of a hundred per cent is no sample, and draws nothing."""
+    return percent is not None and percent < 100
+
+
 def drawn_rows(body: DataFrame, percent: float, n_headers: int, drawn_before: int) -> DataFrame:
     """Rows of body(i, ...) that a sample keeps, i their place in the file: the leading ones, and others by one draw each.
 
@@ -215,13 +220,13 @@ def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, s
         raise InadequateHeaders(f"{path}: {n_headers} header rows and {n_labels} label columns expected")
     width = len(heads[0])
     names = [*heads[0][:n_labels], *_unique(heads[0][n_labels:])] if n_headers else [str(j - n_labels) if j >= n_labels else "" for j in range(width)]
-    columns = np.arange(width)
-    if columns_percent is not None:
-        columns = keep_list(np.random.RandomState(SAMPLE_SEED), width, columns_percent)
+    columns, drawn = np.arange(width), 0
+    if _sampled(columns_percent):
+        columns, drawn = keep_list(np.random.RandomState(SAMPLE_SEED), width, columns_percent), max(0, width - ALWAYS_KEPT)
     columns = [int(j) for j in columns if j >= n_labels]
     body = lines.filter(F.col("i") >= n_headers).select("i", "value")
-    if rows_percent is not None:
-        body = drawn_rows(body, rows_percent, n_headers, max(0, width - ALWAYS_KEPT))
+    if _sampled(rows_percent):
+        body = drawn_rows(body, rows_percent, n_headers, drawn)
     label = F.get(fields, F.lit(0)) if n_labels else (F.col("i") - n_headers).cast("string")
     rows = body.select((F.col("i") - n_headers).alias("row_idx"), label.alias("row"), fields.alias("f"))
     if n_labels:
@@ -260,9 +265,13 @@ def _companion(spark: SparkSession, folder: str, names: list[str]) -> str:
     raise ReadError(f"{folder}: none of {', '.join(names)} found")
 
 
-def read_mtx(spark: SparkSession, folder: str, genes: str | None = None, barcodes: str | None = None, matrix: str | None = None) -> ExpressionFrame:
+def read_mtx(spark: SparkSession, folder: str, genes: str | None = None, barcodes: str | None = None, matrix: str | None = None, rows_percent: float | None = None, columns_percent: float | None = None) -> ExpressionFrame:
     """A 10x triple: genes are rows, cells columns, entries 1-based; the matrix is never made dense.
 
+    rows_percent and columns_percent take a sample of genes and of cells that is the
+    same at every reading: cells are drawn first, and if genes are sampled, after as many
+    draws that nothing uses.
+
     Files not named are looked for: genes.tsv or features.tsv, barcodes.tsv and
     matrix.mtx, compressed or not. The first line that is no comment is the header,
     by its place in the file; entries that do not add up to it are an error.
@@ -287,6 +296,11 @@ def read_mtx(spark: SparkSession, folder: str, genes: str | None = None, barcode
     for side, table, expected in (("genes", g, n_genes), ("cells", c, n_cells)):
         if (got := table.count()) != expected:
             raise AnnotationMismatch(side, expected, got)
+    draws = max(0, n_cells - ALWAYS_KEPT)
+    if _sampled(columns_percent):
+        c = drawn_rows(c.withColumn("i", F.col("c").cast("long") - 1), columns_percent, 0, draws if _sampled(rows_percent) else 0).drop("i")
+    if _sampled(rows_percent):
+        g = drawn_rows(g.withColumn("i", F.col("g").cast("long") - 1), rows_percent, 0, draws * (2 if _sampled(columns_percent) else 1)).drop("i")
     expr = entries.join(g.select("g", "gene"), "g").join(c, "c").select("cell", "gene", "value")
     return ExpressionFrame(expr, c.select("cell", F.col("c").alias("cell_idx")), g.select("gene", "symbol", F.col("g").alias("gene_idx")))
 
