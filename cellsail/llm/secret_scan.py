@@ -74,7 +74,10 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", owner_col: s
         cols += [between.alias(f"{k}_between"), size.alias(f"{k}_size"), value.alias(f"{k}_value")]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, inner)], F.col(owner_col).cast("string").alias("owner"), F.xxhash64(F.col(repo_col)).alias("repo"), *cols)
     # the written ids stay what they are when a task runs again
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "secret-candidates")
+    some = F.lit(False)
+    for k in KINDS:
+        some = some | (F.size(f"{k}_size") > 0)
+    rows = materialize(rows.withColumns({"rid": F.monotonically_increasing_id(), "some": some}), "secret-candidates")
     matches = F.concat(*[
         F.transform(F.arrays_zip(F.slice(f"{k}_between", 1, F.size(f"{k}_size")).alias("gap"), F.col(f"{k}_size").alias("size"), F.col(f"{k}_value").alias("value")), _numbered(n))
         for n, k in enumerate(KINDS)
@@ -93,7 +96,9 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", owner_col: s
     verdict = F.when((F.col("owners") > LIVE_OWNERS) | (F.col("repos") > LIVE_REPOS), "example").when(looks_live(F.col("value")), "live").otherwise("unclear")
     span = F.struct("start", "order", "end", kind.alias("kind"), "value", "owners", "repos", verdict.alias("verdict"))
     spans = flat.join(owned, "hash").groupBy("rid").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    out = rows.select("rid", *inner).join(spans, "rid", "left").drop("rid")
+    # rows without a candidate, most of all, are not shuffled with their texts
+    found = rows.filter("some").select("rid", *inner).join(spans, "rid", "left").drop("rid")
+    out = found.unionByName(rows.filter("NOT some").select(*inner, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     base = F.filter("spans", lambda s: s["order"] < len(BASE))
     added = F.filter("spans", lambda s: (s["order"] < len(BASE)) | ((s["verdict"] == "live") & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     null_safe = lambda x: F.coalesce(x, F.array().cast(spans.schema["spans"].dataType))
