@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cellsail.llm import decontaminate, jaccard_join, mixing, secret_scan, toxicity
 from cellsail.llm.queries import table
+from cellsail.llm.sieve import maybe, sieve
 from cellsail.llm.store import materialize, small_batches
 from cellsail.llm.training import remainder
 
@@ -55,7 +56,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ours_is_first = (F.col("first.key1") == F.col("key1")) & (F.col("first.key2") == F.col("key2"))
     judged = found.join(first.drop("n"), "component_set").groupBy(*key).agg(F.max(~ours_is_first).alias("gone"), F.count("*").alias("n"))
     judged = materialize(judged.filter("gone OR n > 1").select(*key, "gone"), "near-judged")
-    kept = keyed.join(judged, key, "left_anti")
+    # what a sieve of the rows judged keeps out goes past the join, so that few texts are shuffled
+    judged_one = maybe(sieve(judged, "key1"), F.col("key1"))
+    kept = keyed.filter(~judged_one).unionByName(keyed.filter(judged_one).join(judged, key, "left_anti"))
     equal = judged.filter("NOT gone").select(*key)
     if not equal.isEmpty():  # rows alike in all columns: one of them
         kept = kept.unionByName(keyed.join(equal, key, "left_semi").dropDuplicates(key))
