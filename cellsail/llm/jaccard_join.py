@@ -461,7 +461,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool = Fal
         rows = rows.unionByName(some.select("b", salts, F.lit(1).alias("part"), F.col("a").alias("sid"), "several"))
     rows = rows.unionByName(many.select("b", salts, F.lit(0).alias("part"), F.col("b").alias("sid"), (F.col("parts") > 1).alias("several")))
     rows = rows.join(sets, "sid").select("b", "salt", "part", "sid", "several", "n", "tokens")
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "part", "sid")
+    # by ranges, so that tasks get about as many rows each, whatever the leads; a part of a lead's sets is in one
+    rows = rows.repartitionByRange("b", "salt").sortWithinPartitions("b", "salt", "part", "sid")
     return rows.mapInArrow(_compare(percent, exact), "kind int, x long, y long, n long, most long")
 
 
