@@ -9,7 +9,8 @@ def edges_by_hand(xy, k):
     xy = np.nan_to_num(np.array(xy, dtype=float), nan=0.0, posinf=0.0, neginf=0.0)
     out = set()
     for i in range(len(xy)):
-        d = ((xy - xy[i]) ** 2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            d = ((xy - xy[i]) ** 2).sum(axis=1)
         order = np.lexsort((np.arange(len(xy)), d))
         out |= {(i, int(j)) for j in order[order != i][:k]}
     return out
