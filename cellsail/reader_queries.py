@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsail.frame import ExpressionFrame
 from cellsail.queries import _E1, _E3, Query, _table, brands, parts
 from cellsail.sources import readers
+from cellsail.sources.writers import write_genes_in_rows, write_lines
 from cellsail.tables import shared_path
 
 QUERIES: dict[str, Query] = {}
@@ -23,17 +23,11 @@ def _lines(rows: DataFrame, order: list[str], line, head: list[str], path: str)
     return path
 
 
-def _genes_in_rows(f: ExpressionFrame) -> tuple[DataFrame, list]:
-    cells = [r[0] for r in f.cells.orderBy("cell").select("cell").collect()]
-    return f.genes.select("gene").join(f.expr, "gene", "left").groupBy("gene").pivot("cell", cells).agg(F.first("value")), cells
-
-
 def read_count_annotated(spark: SparkSession, d: str) -> DataFrame:
     """A .count file and the .meta file beside it: totals of cells with what the annotation says of them."""
     f, folder = brands(spark, d), shared_path(spark, "counts")
-    wide, cells = _genes_in_rows(f)
-    _lines(wide, ["gene"], F.concat_ws("\t", "gene", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).cast("string") for c in cells]), ["id\t" + "\t".join(f"s{c}" for c in cells)], f"{folder}/brands.count")
-    _lines(f.cells, ["cell"], F.concat_ws("\t", F.concat(F.lit("s"), "cell"), F.col("nation").cast("string"), F.col("balance").cast("string")), ["cell\tnation\tbalance"], f"{folder}/brands.meta")
+    write_genes_in_rows(f, f"{folder}/brands.count", "id", "s")
+    write_lines(f.cells, ["cell"], F.concat_ws("\t", F.concat(F.lit("s"), "cell"), F.col("nation").cast("string"), F.col("balance").cast("string")), ["cell\tnation\tbalance"], f"{folder}/brands.meta")
     got = readers.read_expression(spark, f"{folder}/brands.count")
     table, kinds = readers.typed(got.cells.select("cell", "nation", "balance"), max_discrete=1)
     total = got.expr.groupBy("cell").agg(F.sum("value").alias("total"))

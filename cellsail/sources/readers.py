@@ -18,6 +18,8 @@ SAMPLE_SEED, ALWAYS_KEPT = 0x667, 4
 DRAWS = 1 << 20
 #: Lines that may be dropped from a file before what is left is counted up.
 FEW = 50
+#: Names of columns that are broadcast; more are joined as Spark chooses.
+MAX_BROADCAST = 100_000
 #: Stands for a separator between quotes while a record is split; no character of any text.
 HELD = "\ufdd0"
 #: A text column with at most so many distinct values is discrete.
@@ -195,6 +197,22 @@ def drawn_rows(body: DataFrame, percent: float, n_headers: int, drawn_before: in
     return body.mapInArrow(work, body.schema)
 
 
+def _columns(heads: DataFrame, width: int, n_headers: int, n_labels: int, percent: float | None) -> DataFrame:
+    """(col, col_idx, header_2 and on) of the columns that are kept, from the header rows (i, f), which are lines of the file; without headers, positions."""
+    more = [f"header_{i}" for i in range(2, n_headers + 1)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r["f"] for r in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["i"])]
+        if rows:
+            kept = keep_list(np.random.RandomState(SAMPLE_SEED), width, percent) if _sampled(percent) else np.arange(width)
+            at = [int(j) - n_labels for j in kept if j >= n_labels]
+            names = _unique(rows[0][n_labels:]) if n_headers else [str(j) for j in range(width - n_labels)]
+            others = [pa.array([h[j + n_labels] if j + n_labels < len(h) else None for j in at], pa.string()) for h in rows[1:n_headers]]
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in at], pa.string()), pa.array(at, pa.int32()), *others], ["col", "col_idx", *more])
+
+    return heads.coalesce(1).mapInArrow(work, ", ".join(["col string", "col_idx int", *[f"{m} string" for m in more]]))
+
+
 def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, sep: str | None = None, n_headers: int = 1, n_labels: int = 1, rows_percent: float | None = None, columns_percent: float | None = None, quote: str | None = '"') -> ExpressionFrame:
     """A delimited matrix; NaN and empty fields are missing, zeros are not stored.
 
@@ -215,15 +233,13 @@ def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, s
     lines = records(spark, path, quote)
     sep = sep or separator(path)
     fields = record_fields(F.col("value"), sep, quote)
-    heads = [r["f"] for r in lines.filter(F.col("i") < max(n_headers, 1)).orderBy("i").limit(max(n_headers, 1)).select(fields.alias("f")).collect()]
-    if len(heads) < n_headers or (heads and len(heads[0]) < n_labels) or not heads:
+    heads = written(lines.filter(F.col("i") < max(n_headers, 1)).select("i", fields.alias("f")).repartition(1), "heads")
+    known = [(r["n"], r["labels"]) for r in heads.orderBy("i").select(F.size("f").alias("n"), F.slice("f", 1, n_labels).alias("labels")).collect()]
+    if len(known) < n_headers or not known or known[0][0] < n_labels:
         raise InadequateHeaders(f"{path}: {n_headers} header rows and {n_labels} label columns expected")
-    width = len(heads[0])
-    names = [*heads[0][:n_labels], *_unique(heads[0][n_labels:])] if n_headers else [str(j - n_labels) if j >= n_labels else "" for j in range(width)]
-    columns, drawn = np.arange(width), 0
-    if _sampled(columns_percent):
-        columns, drawn = keep_list(np.random.RandomState(SAMPLE_SEED), width, columns_percent), max(0, width - ALWAYS_KEPT)
-    columns = [int(j) for j in columns if j >= n_labels]
+    width, labels = known[0]
+    drawn = max(0, width - ALWAYS_KEPT) if _sampled(columns_percent) else 0
+    cols = written(_columns(heads, width, n_headers, n_labels, columns_percent), "columns")
     body = lines.filter(F.col("i") >= n_headers).select("i", "value")
     if _sampled(rows_percent):
         body = drawn_rows(body, rows_percent, n_headers, drawn)
@@ -234,11 +250,11 @@ def read_delimited(spark: SparkSession, path: str, genes_in_rows: bool = True, s
         if not twice.isEmpty():
             name = F.when(F.col("row_idx") != F.col("first"), F.concat("row", F.lit("."), F.col("row_idx"))).otherwise(F.col("row"))
             rows = rows.join(twice, "row", "left").select("row_idx", name.alias("row"), "f")
-    more = [F.get("f", F.lit(j)).alias(heads[0][j] if n_headers and heads[0][j] else f"label_{j + 1}") for j in range(1, n_labels)]
+    more = [F.get("f", F.lit(j)).alias(labels[j] if n_headers and labels[j] else f"label_{j + 1}") for j in range(1, n_labels)]
     row_side = rows.select("row", "row_idx", *more)
-    cols = spark.createDataFrame([(names[j], j - n_labels, *[h[j] if j < len(h) else None for h in heads[1:]]) for j in columns], ", ".join(["col string", "col_idx int", *[f"header_{i} string" for i in range(2, n_headers + 1)]]))
     cells = rows.select("row", F.posexplode(F.slice("f", n_labels + 1, max(width - n_labels, 0))).alias("col_idx", "text"))
-    values = cells.join(F.broadcast(cols.select("col", "col_idx")), "col_idx").select("row", "col", F.expr("try_cast(trim(text) AS double)").alias("value"))
+    at = cols.select("col", "col_idx")
+    values = cells.join(F.broadcast(at) if width <= MAX_BROADCAST else at, "col_idx").select("row", "col", F.expr("try_cast(trim(text) AS double)").alias("value"))
     cell, gene = ("col", "row") if genes_in_rows else ("row", "col")
     expr = from_long(values.select(F.col(cell).alias("cell"), F.col(gene).alias("gene"), "value")).expr.filter("value IS NULL OR value <> 0")
     sides = {"row": row_side, "col": cols}
