@@ -16,6 +16,7 @@ from cellsail.functions.robust import biweight_location, biweight_midcorrelation
 from cellsail.operators import alignment, batch, clusters, filters, scoring, selection, spatial, stack, transforms
 from cellsail.plans import pipeline
 from cellsail.sources import readers
+from cellsail.sources.writers import write_genes_in_rows
 from cellsail.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,10 +221,7 @@ def _against_first(spark: SparkSession, d: str) -> DataFrame:
 def read_tsv(spark: SparkSession, d: str) -> DataFrame:
     """Counts written as a table of genes in rows, and read again."""
     f = brands(spark, d)
-    cells = sorted(r[0] for r in f.cells.select("cell").collect())
-    wide = f.expr.groupBy("gene").pivot("cell", cells).agg(F.first("value"))
-    path = f"{shared_path(spark, "files")}/counts.tsv"
-    wide.coalesce(1).write.csv(path, sep="\t", header=True, nullValue="0")
+    path = write_genes_in_rows(f, f"{shared_path(spark, "files")}/counts.tsv")
     return _values(readers.read_expression(spark, path))
 
 

@@ -49,14 +49,14 @@ def test_genes_in_rows(spark, many_parts):
     assert got == set(rows)
 
 
-@pytest.mark.parametrize(("query", "file"), [("read_count_annotated", "brands.count")])
+@pytest.mark.parametrize(("query", "file"), [("read_tsv", "counts.tsv")])
 def test_files_are_written_by_many_tasks(spark, many_parts, query, file):
     assert __spark_entry__.queries()[query](spark, SF).count() > 0
     path = next(str(p) for p in many_parts.rglob(file))
     assert len(glob.glob(f"{path}/part-*")) > 2
 
 
-@pytest.mark.parametrize("query", ["read_count_annotated"])
+@pytest.mark.parametrize("query", ["read_count_annotated", "read_tsv"])
 def test_no_column_a_cell(spark, many_parts, monkeypatch, query):
     from pyspark.sql import GroupedData
 
