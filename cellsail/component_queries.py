@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsail.frame import from_long
 from cellsail.operators import align, alignment, display, harmony, principal
 from cellsail.queries import _E1, _E3, _E4, Query, _rounded, _values, brands, parts, vectors
 from cellsail.sources import readers
+from cellsail.sources.writers import write_lines
 from cellsail.tables import shared_path
 
 QUERIES: dict[str, Query] = {}
@@ -118,18 +119,18 @@ def value_density(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(display.density(display.display_values(brands(spark, d)), "value", 200), "x", "density", digits=7)
 
 
-def _wide(spark: SparkSession, d: str) -> DataFrame:
+def _quoted(x) -> Column:
+    return F.concat(F.lit('"'), F.replace(x.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _written_wide(spark: SparkSession, d: str) -> str:
     """One row a supplier, in their order, and one column a brand, with a separator, a quote and a line break in the names."""
     f = brands(spark, d)
     genes = [r[0] for r in f.genes.orderBy("gene").collect()]
     rows = f.cells.select("cell").join(f.expr, "cell", "left").groupBy("cell").pivot("gene", genes).agg(F.first("value"))
-    return rows.orderBy("cell").select(F.concat(F.lit('"s"\n'), "cell").alias("id, quoted"), *[F.col(f"`{g}`").alias(g.replace("#", ',"')) for g in genes])
-
-
-def _written_wide(spark: SparkSession, d: str) -> str:
-    path = f"{shared_path(spark, 'files')}/wide.csv"
-    _wide(spark, d).coalesce(1).write.csv(path, header=True, escape='"', quoteAll=True, nullValue="0")
-    return path
+    line = F.concat_ws(",", _quoted(F.concat(F.lit('"s"\n'), "cell")), *[_quoted(F.coalesce(F.col(f"`{g}`"), F.lit(0.0))) for g in genes])
+    head = F.concat_ws(",", *[_quoted(F.lit(x)) for x in ["id, quoted", *(g.replace("#", ',"') for g in genes)]])
+    return write_lines(rows, ["cell"], line, spark.range(1).select(head.alias("value")), f"{shared_path(spark, 'files')}/wide.csv")
 
 
 def read_csv_quoted(spark: SparkSession, d: str) -> DataFrame:

@@ -41,7 +41,7 @@ def read_headers_labels(spark: SparkSession, d: str) -> DataFrame:
     genes = [r[0] for r in f.genes.orderBy("gene").collect()]
     wide = f.cells.join(f.expr, "cell", "left").groupBy("cell", "nation").pivot("gene", genes).agg(F.first("value"))
     line = F.concat_ws(",", F.concat(F.lit("s"), "cell"), F.col("nation").cast("string"), *[F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).cast("string") for g in genes])
-    path = _lines(wide, ["cell"], line, [",".join(["cell", "nation", *genes]), ",".join(["", "", *(g[6] for g in genes)])], f"{shared_path(spark, 'headers')}.csv")
+    path = write_lines(wide, ["cell"], line, [",".join(["cell", "nation", *genes]), ",".join(["", "", *(g[6] for g in genes)])], f"{shared_path(spark, 'headers')}.csv")
     got = readers.read_expression(spark, path, genes_in_rows=False, n_headers=2, n_labels=2)
     sums = got.expr.join(got.cells, "cell").join(got.genes.select("gene", "header_2"), "gene").groupBy("nation", "header_2").agg(F.sum("value").alias("total"))
     return sums.select("nation", F.col("header_2").alias("maker"), F.round("total", 6).alias("total"))
