@@ -55,7 +55,7 @@ def read_genotype_calls(spark: SparkSession, d: str) -> DataFrame:
     nations = list(range(25))
     wide = q.groupBy("l_partkey").pivot("s_nationkey", nations).agg(F.first(call))
     text = F.concat_ws("\t", F.lit("1"), F.col("l_partkey").cast("string"), F.lit(".\tA\tC\t.\t.\t.\tGT:GQ"), *[F.coalesce(F.col(f"`{n}`"), F.lit("0/0:0")) for n in nations])
-    path = _lines(wide, ["l_partkey"], text, ["##fileformat=VCFv4.1", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"n{n}" for n in nations)], f"{shared_path(spark, 'calls')}.vcf")
+    path = write_lines(wide, ["l_partkey"], text, ["##fileformat=VCFv4.1", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"n{n}" for n in nations)], f"{shared_path(spark, 'calls')}.vcf")
     f = readers.read_genotypes(spark, path, quality=10, frequency=2)
     return f.expr.filter("value = 1").select("cell", "gene", "value")
 
