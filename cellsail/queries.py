@@ -16,7 +16,7 @@ from cellsail.functions.robust import biweight_location, biweight_midcorrelation
 from cellsail.operators import alignment, batch, clusters, filters, scoring, selection, spatial, stack, transforms
 from cellsail.plans import pipeline
 from cellsail.sources import readers
-from cellsail.sources.writers import write_genes_in_rows
+from cellsail.sources.writers import write_genes_in_rows, write_lines
 from cellsail.tables import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,8 @@ def _counts(spark: SparkSession, d: str, gene: str) -> ExpressionFrame:
     part = _table(spark, d, "part")
     line = _table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     rows = line.join(part.select("p_partkey", "p_brand"), line["l_partkey"] == part["p_partkey"]) if gene == "p_brand" else line
+    if gene == "l_partkey":  # nearly all pairs differ, so sums before the shuffle would only fill a task's memory
+        rows = rows.repartition("l_suppkey", gene)
     expr = rows.groupBy(F.col("l_suppkey").alias("cell"), F.col(gene).alias("gene")).agg(F.sum("l_quantity").cast("double").alias("value"))
     cells = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").cast("double").alias("balance"))
     genes = part.select(F.col("p_brand" if gene == "p_brand" else "p_partkey").alias("gene")).distinct()
@@ -229,11 +231,9 @@ def read_mtx(spark: SparkSession, d: str) -> DataFrame:
     """Counts written as a MatrixMarket triple, and read again."""
     f, folder = parts(spark, d), shared_path(spark, "files")
     n_genes, n_cells, n = f.genes.agg(F.max("gene")).first()[0] + 1, f.cells.agg(F.max("cell")).first()[0] + 1, f.expr.count()
-    lines = f.expr.select(F.lit(1).alias("part"), F.concat_ws(" ", F.col("gene") + 1, F.col("cell") + 1, F.col("value")).alias("value"))
-    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{n_genes} {n_cells} {n}")], "part int, value string")
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("part").select("value").write.text(f"{folder}/matrix.mtx")
+    write_lines(f.expr, [], F.concat_ws(" ", F.col("gene") + 1, F.col("cell") + 1, F.col("value")), ["%%MatrixMarket matrix coordinate real general", f"{n_genes} {n_cells} {n}"], f"{folder}/matrix.mtx")
     for name, letter, many in (("genes.tsv", "g", n_genes), ("barcodes.tsv", "c", n_cells)):
-        spark.range(0, many, numPartitions=1).select(F.concat(F.lit(letter), "id").alias("value")).write.text(f"{folder}/{name}")
+        spark.range(0, many).select(F.concat(F.lit(letter), "id").alias("value")).write.text(f"{folder}/{name}")
     return _values(readers.read_mtx(spark, folder))
 
 
