@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from cellsail.queries import _E1, _E3, Query, _table, brands, parts
 from cellsail.sources import readers
-from cellsail.sources.writers import write_genes_in_rows, write_lines
+from cellsail.sources.writers import placed, write_genes_in_rows, write_lines
 from cellsail.tables import shared_path
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def _lines(rows: DataFrame, order: list[str], line, head: list[str], path: str) -> str:
-    """One file: lines of head, then a line for each of rows, in order."""
-    spark = rows.sparkSession
-    body = rows.select(F.lit(len(head)).alias("at"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("value"))
-    first = spark.createDataFrame(list(enumerate(head)), "at int, value string")
-    first.unionByName(body, allowMissingColumns=True).coalesce(1).sortWithinPartitions("at", *[f"o{i}" for i in range(len(order))]).select("value").write.text(path)
-    return path
-
-
 def read_count_annotated(spark: SparkSession, d: str) -> DataFrame:
     """A .count file and the .meta file beside it: totals of cells with what the annotation says of them."""
     f, folder = brands(spark, d), shared_path(spark, "counts")
@@ -63,14 +54,15 @@ def read_genotype_calls(spark: SparkSession, d: str) -> DataFrame:
 def read_triple_annotated(spark: SparkSession, d: str) -> DataFrame:
     """Genes of a MatrixMarket triple with annotations by their place."""
     f, folder = parts(spark, d), shared_path(spark, "triple")
-    genes, cells = f.genes.selectExpr("gene", "row_number() OVER (ORDER BY gene) AS i"), f.cells.selectExpr("cell", "row_number() OVER (ORDER BY cell) AS j")  # names of the file's sides, written in order
+    genes = placed(f.genes, "gene", "at").select("gene", (F.col("at") + 1).alias("i"))  # names of the file's sides, written in order
+    cells = placed(f.cells.select("cell"), "cell", "at").select("cell", (F.col("at") + 1).alias("j"))
     entries = f.expr.join(genes, "gene").join(cells, "cell")
     size = (genes.count(), cells.count(), f.expr.count())
-    _lines(entries, [], F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")), ["%%MatrixMarket matrix coordinate real general", "%", " ".join(map(str, size))], f"{folder}/matrix.mtx")
-    _lines(genes, ["gene"], F.concat(F.lit("g"), "gene", F.lit("\tsymbol"), F.col("gene") % 7), [], f"{folder}/features.tsv")
-    _lines(cells, ["cell"], F.concat(F.lit("c"), "cell"), [], f"{folder}/barcodes.tsv")
+    write_lines(entries, [], F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")), ["%%MatrixMarket matrix coordinate real general", "%", " ".join(map(str, size))], f"{folder}/matrix.mtx")
+    write_lines(genes, ["gene"], F.concat(F.lit("g"), "gene", F.lit("\tsymbol"), F.col("gene") % 7), [], f"{folder}/features.tsv")
+    write_lines(cells, ["cell"], F.concat(F.lit("c"), "cell"), [], f"{folder}/barcodes.tsv")
     part = _table(spark, d, "part").join(genes, F.col("p_partkey") == F.col("gene"))
-    notes = _lines(part, ["p_partkey"], F.concat_ws(",", F.concat(F.lit("g"), "p_partkey"), F.concat(F.lit('"'), "p_brand", F.lit(', brand"'))), ["gene,brand"], f"{folder}/notes.csv")
+    notes = write_lines(part, ["p_partkey"], F.concat_ws(",", F.concat(F.lit("g"), "p_partkey"), F.concat(F.lit('"'), "p_brand", F.lit(', brand"'))), ["gene,brand"], f"{folder}/notes.csv")
     got = readers.annotate_genes(readers.read_expression(spark, folder), readers.read_table(spark, notes))
     out = got.expr.join(got.genes, "gene").groupBy("brand", "symbol").agg(F.sum("value").alias("total"))
     return out.select("brand", "symbol", F.round("total", 6).alias("total"))

@@ -49,7 +49,7 @@ def test_genes_in_rows(spark, many_parts):
     assert got == set(rows)
 
 
-@pytest.mark.parametrize(("query", "file"), [("read_mtx", "matrix.mtx"), ("read_genotype_calls", "calls-*.vcf"), ("read_headers_labels", "headers-*.csv"), ("read_tsv", "counts.tsv"), ("read_csv_quoted", "wide.csv")])
+@pytest.mark.parametrize(("query", "file"), [("read_triple_annotated", "matrix.mtx"), ("read_mtx", "matrix.mtx"), ("read_genotype_calls", "calls-*.vcf"), ("read_headers_labels", "headers-*.csv"), ("read_tsv", "counts.tsv"), ("read_csv_quoted", "wide.csv")])
 def test_files_are_written_by_many_tasks(spark, many_parts, query, file):
     assert __spark_entry__.queries()[query](spark, SF).count() > 0
     path = next(str(p) for p in many_parts.rglob(file))
