@@ -18,7 +18,9 @@ lead again. All comparisons are of sets that share a signature.
 
 Comparisons are first of images of the sets, which have half of each token: images
 differ in no more tokens than their sets, so what they leave apart is apart. What
-they leave together is compared exactly.
+they leave together is compared exactly. Before sets are compared in pairs, sketches
+tell most of those apart that share a difference and no more: bits that a token
+turns over, so that sets differ in as many tokens as their sketches in bits, at least.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellsail.llm.components import components, labelled, merged
-from cellsail.llm.sieve import passes, sieve
+from cellsail.llm.sieve import maybe, passes, sieve
 from cellsail.llm.store import materialize
 from cellsail.llm.textkit import LOWER, NOT_SPACE, Block, U, blocks, mix, unique_in_doc, windows, word_hashes, words
 
@@ -54,6 +56,9 @@ SAMPLE = 32
 #: Groups with so many pairs between components for each of their sets are compared in pairs; beyond that they have a lead.
 #: Each turn allows GROWTH times as many, so that turns come to an end.
 PAIRS, GROWTH = 16, 4
+#: Words of 64 bits of a sketch, and their columns. Sets that may differ in more tokens than half of its bits pass.
+WORDS = 16
+SKETCH = [f"s{i}_" for i in range(WORDS)]
 
 
 @dataclass
@@ -312,12 +317,25 @@ def _leads(members: DataFrame) -> DataFrame:
     return members.join(lead, "g").filter("a <> b").groupBy("a", "b").agg(F.max("several").alias("several"))
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The sketches of n sets with tokens h: a bit is set if an odd number of tokens falls on it."""
+    bits = np.bincount(doc * (64 * WORDS) + (h & U(64 * WORDS - 1)).astype(np.int64), minlength=n * 64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(n, WORDS)
+
+
+def _sketches_near(percent: int) -> Column:
+    """Whether sets of sizes size and size2 may link, by their sketches."""
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}2"))))
+    return bits * (100 + percent) <= (F.col("size") + F.col("size2")) * (100 - percent)
+
+
 def _sets(texts: DataFrame, active: DataFrame, k: int, exact: bool) -> DataFrame:
-    """(sid, n, tokens) of each active set, tokens of 8 bytes, or of the 4 of its image.
+    """(sid, n, tokens) of each active set, tokens of 8 bytes, or of the 4 of its image, which has a sketch too.
 
     Texts whose set is not active go before the shuffle, but for some that a sieve lets pass.
     """
     bits = sieve(active, "sid")
+    extra = [] if exact else SKETCH
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -326,12 +344,20 @@ def _sets(texts: DataFrame, active: DataFrame, k: int, exact: bool) -> DataFrame
                 _, h, size, sid = doc_sets(b, k)
                 end, sid = np.cumsum(size), sid.view(np.int64)
                 at = [i for i in np.flatnonzero((size > 0) & passes(bits.value, sid)) if sid[i] not in seen and not seen.add(sid[i])]
-                own = (h[end[i] - size[i] : end[i]] for i in at)
-                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(size[at].astype(np.int64)), pa.array([(x if exact else np.unique(x.astype(np.uint32))).tobytes() for x in own], pa.binary())], ["sid", "n", "tokens"])
+                own = [h[end[i] - size[i] : end[i]] for i in at]
+                sketch = [] if exact else [pa.array(x) for x in sketches(np.repeat(np.arange(len(at)), size[at]), np.concatenate([h[:0], *own]), len(at)).T]
+                tokens = pa.array([(x if exact else np.unique(x.astype(np.uint32))).tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array(size[at].astype(np.int64)), tokens, *sketch], ["sid", "n", "tokens", *extra])
                 if len(seen) > TASK_SIGNATURES:
                     seen.clear()
 
-    return texts.mapInArrow(work, "sid long, n long, tokens binary").join(active, "sid", "left_semi").dropDuplicates(["sid"])
+    return texts.mapInArrow(work, ", ".join(["sid long, n long, tokens binary", *(f"{c} long" for c in extra)])).join(active, "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of sets those that pairs name and the few that a sieve lets pass besides, so that the others are not shuffled."""
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    return sets.filter(maybe(sieve(ends, "sid"), F.col("sid")))
 
 
 class _Chunk:
@@ -466,7 +492,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool = Fal
     return rows.mapInArrow(_compare(percent, exact), "kind int, x long, y long, n long, most long")
 
 
-def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | None:
+def _next_pairs(found: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame | None:
     """Pairs (a, b, several) that may link two components, from differences (group, set, n, most)."""
     rows = found.filter("kind = 1").select(F.col("x").alias("g"), F.col("y").alias("a"), "n", "most")
     # most tokens are those of one set: they go before anything is joined with their rows
@@ -476,11 +502,17 @@ def _next_pairs(found: DataFrame, parts: DataFrame, turn: int) -> DataFrame | No
     if rows.isEmpty():
         return None
     size = rows.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("square"))
-    rows = rows.join(size.select("g", ((F.col("size") * F.col("size") - F.col("square")) / 2 <= PAIRS * GROWTH**turn * F.col("size")).alias("few")), "g")
-    few = rows.filter("few")
-    other = few.select("g", *[F.col(c).alias(f"{c}2") for c in ("a", "c", "n", "most")])
-    pairs = few.join(other, "g").filter("a > a2 AND c <> c2 AND n <= most2 AND n2 <= most").select("a", F.col("a2").alias("b"), F.lit(False).alias("several"))
-    pairs = pairs.unionByName(_leads(rows.filter("NOT few").select("g", "a"))).groupBy("a", "b").agg(F.max("several").alias("several"))
+    is_few = (F.col("size") * F.col("size") - F.col("square")) / 2 <= PAIRS * GROWTH**turn * F.col("size")
+    rows = materialize(rows.join(size.select("g", is_few.alias("few")), "g"), "jaccard-groups")
+    few = rows.filter("few").join(sets.select(F.col("sid").alias("a"), F.col("n").alias("size"), *SKETCH), "a")
+    few = materialize(few, "jaccard-few")
+    other = few.select("g", *[F.col(c).alias(f"{c}2") for c in ("a", "c", "n", "most", "size", *SKETCH)])
+    near = few.join(other, "g").filter("a > a2 AND c <> c2 AND n <= most2 AND n2 <= most").filter(_sketches_near(percent))
+    pairs = near.select("a", F.col("a2").alias("b"), F.lit(False).alias("several"))
+    large = rows.filter("NOT few").select("g", "a")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_leads(large))
+    pairs = pairs.groupBy("a", "b").agg(F.max("several").alias("several"))
     pairs = materialize(pairs, "jaccard-pairs")
     return None if pairs.isEmpty() else pairs
 
@@ -524,7 +556,7 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
 
     parts, turn = None, 0
     while pairs is not None:
-        found = materialize(_compared(pairs, sets, percent), "jaccard-found")
+        found = materialize(_compared(pairs, sets if turn == 0 else _named(sets, pairs), percent), "jaccard-found")
         near = found.filter("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("several"))
         links = near.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not near.isEmpty():
@@ -532,7 +564,7 @@ def jaccard_components(docs: DataFrame, carry: list[str], k: int = 5, percent: i
             links = _compared(near, _sets(rows.select("text"), ends, k, True), percent, exact=True)
             links = materialize(links.select(F.col("x").alias("u"), F.col("y").alias("v")), "jaccard-links")
         parts = merged(parts, links) if parts is not None else materialize(components(links), "jaccard-components")
-        pairs = _next_pairs(found, parts, turn)
+        pairs = _next_pairs(found, parts, sets, percent, turn)
         turn += 1
 
     comp = labelled(nodes.filter("n > 0").groupBy("sid").agg(F.min("id").alias("id")), parts, "sid", "c")

@@ -135,6 +135,45 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 40, 900):
+        common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)])) for _ in "ab")
+        two = jaccard_join.sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        apart = sum(int(x).bit_count() for x in (two[0] ^ two[1]).view(np.uint64))
+        assert 0 < apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_sets_that_share_differences_only_are_few_pairs(spark, monkeypatch):
+    """Near copies of one text, most too far apart to link, that share their edits: all links are found and few pairs compared in later turns."""
+    kept, pairs = jaccard_join.materialize, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "jaccard-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    rng = random.Random(11)
+    base = ["w%d" % i for i in range(150)]
+    texts = [" ".join(f"{w}x{rng.randrange(3)}" if rng.random() < edits else w for w in base) for edits in [0.01, 0.02, 0.04, 0.06] for _ in range(40)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    while True:
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs_of(spark, texts), ["doc_id"], 5, 80).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 140
+    assert len(pairs) > 1 and sum(pairs[1:]) < len(texts), pairs
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     texts = [*texts_of(seed, 60), "a" * 450, "ab" * 200, "a" * 99]
